@@ -97,7 +97,7 @@ def map_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("point_idx"),
     ).select(
         "scenario_id", F.lit("lane").alias("feature_class"), "feature_idx", "point_idx",
-        F.when(f == 4, 42.0).otherwise(4.0 * pd_).alias("x"),
+        F.when(f == 4, 40.0).otherwise(4.0 * pd_).alias("x"),
         F.when(f == 4, 2.0 * pd_ - 24.1).otherwise(3.5 * (f - 2).cast("double") + 0.1).alias("y"),
         F.lit(0.0).alias("z"), F.lit(2).alias("polyline_type"),
     )
