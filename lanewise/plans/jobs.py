@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.functions.expr import category
 from lanewise.operators import individual as I
 from lanewise.operators import maps as M
 from lanewise.operators import pairs as P
@@ -14,6 +15,7 @@ from lanewise.operators import probing as C
 from lanewise.operators import profiling as A
 from lanewise.operators import scoring as S
 from lanewise.schema import PRESETS, ScoreConfig
+from lanewise.session import stored
 
 
 @dataclass
@@ -85,14 +87,7 @@ class Profile:
         self.spark, self.root, self.t, self.criterion = spark, root.rstrip("/"), tables, criterion
 
     def _stage(self, name: str, build) -> DataFrame:
-        path = f"{self.root}/{name}"
-        try:
-            return self.spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        build().write.parquet(path)
-        return self.spark.read.parquet(path)
+        return stored(self.spark, f"{self.root}/{name}", build)
 
     def individual(self) -> DataFrame:
         return self._stage("individual", lambda: individual(self.t, criterion=self.criterion))
@@ -131,7 +126,6 @@ class Profile:
         def build():
             cuts = self.score_thresholds().groupBy("scorer").agg(F.transform(
                 F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda s: s["value"]).alias("cuts"))
-            from lanewise.functions.expr import category
             return self.agent_scores().join(F.broadcast(cuts), "scorer").withColumn(
                 "category", category(F.col("score"), F.col("cuts"))).drop("cuts")
         return self._stage("score_categories", build)

@@ -30,3 +30,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:8]}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Was the table at `path` written to the end?"""
+    jvm = spark._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def stored(spark: SparkSession, path: str, build) -> DataFrame:
+    """Read the table at `path`, building and writing it first unless it is already complete."""
+    if not is_complete(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
