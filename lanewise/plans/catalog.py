@@ -51,7 +51,8 @@ def tidy(c: str, digits: int = 6):
     return F.when(F.isnan(c), None).when(F.abs(c) == X.INF, 1e9 * F.signum(c)).when(r == 0, 0.0).otherwise(r).alias(c)
 
 
-COARSE = {"mttcp", "thw", "ttc", "value", "waiting_period", "density", "inv_separation"}
+COARSE = {"mttcp", "thw", "ttc", "value", "waiting_period", "density", "inv_separation",
+          "delta_mean", "delta_median", "low", "q1", "median", "q3", "high"}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -854,7 +855,7 @@ def _(d):
 
 @query("A26_profile_chain")
 def _(d):
-    prof = jobs.Profile(d.spark, f"{d.root}/profile", d.tables)
+    prof = jobs.Profile(d.spark, f"{d.root}/profile", d.tables, threshold=0.5, k_lanes=3)
     return prof.score_categories().select(*KEY, "scorer", "score", "category")
 
 

@@ -83,14 +83,16 @@ class Profile:
     Categories are a projection of stored continuous features, so features are computed once.
     """
 
-    def __init__(self, spark: SparkSession, root: str, tables: Tables, *, criterion: str = "critical"):
+    def __init__(self, spark: SparkSession, root: str, tables: Tables, *, criterion: str = "critical", **map_options):
         self.spark, self.root, self.t, self.criterion = spark, root.rstrip("/"), tables, criterion
+        self.map_options = map_options
 
     def _stage(self, name: str, build) -> DataFrame:
         return stored(self.spark, f"{self.root}/{name}", build)
 
     def individual(self) -> DataFrame:
-        return self._stage("individual", lambda: individual(self.t, criterion=self.criterion))
+        return self._stage("individual", lambda: individual(
+            self.t, criterion=self.criterion, **self.map_options))
 
     def pairs(self) -> DataFrame:
         return self._stage("pairs", lambda: P.pair_features(

@@ -57,7 +57,7 @@ def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(a == 4, 3.141592653589793).when(a == 6, 0.05 * t)
         .otherwise(0.01 * (F.col("k") % 7).cast("double")).alias("heading"),
         (F.when(~moving, 0.0).when(a == 4, -8.0).otherwise((5 + u % 7).cast("double"))
-         + F.when(moving, F.col("value") * 0.01).otherwise(0.0)).alias("vx"),
+         + F.when(moving, F.sqrt(F.abs("value")) * 0.1).otherwise(0.0)).alias("vx"),
         F.when(a == 6, t).otherwise(0.0).alias("vy"),
         (F.col("event_type") != "error").alias("valid"),
     )
