@@ -71,31 +71,39 @@ def _signed_part(accel: Column, positive: bool, critical: bool) -> Column:
     return F.coalesce(F.max(side) if critical else F.avg(side), F.lit(0.0))
 
 
-def kalman_error(history: Column, current: Column, target: Column) -> Column:
-    """Error of a constant-mean-velocity filter forecast at the last known future point, scaled by the horizon.
+def kalman_error(df: DataFrame, track: str, now: str, out: str) -> DataFrame:
+    """Adds the error of a constant-mean-velocity filter forecast at the last known future point, times the horizon.
 
-    `history` holds struct(t, x, y) in time order up to `current`; `target` is the last valid future struct or null.
+    `track` is an array of struct(t, x, y) in time order, `now` the last observed step. Every array is its own column,
+    so that no step of the fold evaluates another array expression.
     """
-    n = F.size(history)
-    head, tail = F.get(history, F.lit(0)), F.get(history, n - 1)
-    vx = (tail["x"] - head["x"]) / (n - 1)
-    vy = (tail["y"] - head["y"]) / (n - 1)
     q, r = 1e-5, 1e-4
-    start = F.struct(head["x"].alias("x"), head["y"].alias("y"), F.lit(1.0).alias("p"), F.lit(1.0).alias("v"))
+    last = F.element_at(track, -1)
+    df = df.withColumns({
+        "_hist": F.filter(track, lambda p: p["t"] <= F.col(now)), "_goal": F.when(last["t"] > F.col(now), last)})
+    n = F.size("_hist")
+    head, tail = F.get("_hist", F.lit(0)), F.get("_hist", n - 1)
+    df = df.withColumns({
+        "_n": n, "_x": head["x"], "_y": head["y"],
+        "_vx": X.ieee_div(tail["x"] - head["x"], (n - 1).cast("double")),
+        "_vy": X.ieee_div(tail["y"] - head["y"], (n - 1).cast("double"))})
+    start = F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"), F.lit(1.0).alias("p"), F.lit(1.0).alias("v"))
 
     def step(s, o):
         p = s["p"] + s["v"] + q
         v = s["v"] + q
         g = p / (p + r)
-        px, py = s["x"] + vx, s["y"] + vy
+        px, py = s["x"] + F.col("_vx"), s["y"] + F.col("_vy")
         return F.struct(
             (px + g * (o["x"] - px)).alias("x"), (py + g * (o["y"] - py)).alias("y"),
             (p * (1.0 - g)).alias("p"), (v * (1.0 - v / (v + r))).alias("v"))
 
-    state = F.aggregate(F.slice(history, 2, F.greatest(n - 1, F.lit(0))), start, step)
-    ahead = (target["t"] - current).cast("double")
-    miss = X.norm2(state["x"] + vx * ahead - target["x"], state["y"] + vy * ahead - target["y"])
-    return F.when((n < MIN_VALID) | target.isNull(), F.lit(-1.0)).otherwise(miss * ahead / 100.0)
+    df = df.withColumn("_state", F.aggregate(F.slice("_hist", 2, F.greatest(F.col("_n") - 1, F.lit(0))), start, step))
+    ahead = (F.col("_goal.t") - F.col(now)).cast("double")
+    miss = X.norm2(F.col("_state.x") + F.col("_vx") * ahead - F.col("_goal.x"),
+                   F.col("_state.y") + F.col("_vy") * ahead - F.col("_goal.y"))
+    return df.withColumn(out, F.when((F.col("_n") < MIN_VALID) | F.col("_goal").isNull(), F.lit(-1.0)).otherwise(
+        miss * ahead / 100.0)).drop("_hist", "_goal", "_n", "_x", "_y", "_vx", "_vy", "_state")
 
 
 def waiting_period(runs: DataFrame, conflict_points: DataFrame, *, criterion: str) -> DataFrame:
@@ -164,14 +172,12 @@ def agent_summary(
         at("first_step", "speed").alias("v0"), at("last_step", "speed").alias("v1"),
         F.max(F.when(F.col("first_step"), heading)).alias("h0"),
         F.max(F.when(F.col("last_step"), heading)).alias("h1"),
-        F.array_sort(F.collect_list(F.when(F.col("run_start"), F.struct("t", "ts_s", "x", "y", "z")))).alias("starts"),
-        F.array_sort(F.collect_list(F.when(F.col("run_end"), F.struct("t", "next_ts")))).alias("ends"),
-        F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("track"),
+        F.sort_array(F.collect_list(F.when(F.col("run_start"), F.struct("t", "ts_s", "x", "y", "z")))).alias("starts"),
+        F.sort_array(F.collect_list(F.when(F.col("run_end"), F.struct("t", "next_ts")))).alias("ends"),
+        F.sort_array(F.collect_list(F.struct("t", "x", "y"))).alias("track"),
     )
     out, lim = attach(out, scenarios, ("current_time_index",), limits)
-    now = F.col("current_time_index")
-    history = F.filter("track", lambda p: p["t"] <= now)
-    future = F.element_at("track", -1)
+    out = kalman_error(out, "track", "current_time_index", "kalman_difficulty")
     shape = X.track_shape(
         F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("h0"), F.col("h1"), F.col("v0"), F.col("v1"), lim)
     waits = F.zip_with("starts", "ends", lambda s, e: F.struct(
@@ -180,7 +186,7 @@ def agent_summary(
         *KEY, "agent_type", F.col("n_valid").cast("long").alias("n_valid"), "speed",
         F.coalesce("speed_limit_diff", X.lit_d(X.NAN)).alias("speed_limit_diff"), "acceleration", "deceleration",
         F.when(~F.isnan("jerk"), F.col("jerk")).alias("jerk"), shape.alias("trajectory_type"),
-        kalman_error(history, now, F.when(future["t"] > now, future)).alias("kalman_difficulty"),
+        "kalman_difficulty",
         waits.alias("waits"),
     )
 
@@ -204,7 +210,7 @@ def individual_features(
 
 def threshold_arrays(thresholds: DataFrame) -> DataFrame:
     """(type, feature) -> ascending array; a handful of rows per type, so it is always small."""
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "value")))
+    ordered = F.sort_array(F.collect_list(F.struct("ord", "value")))
     return thresholds.groupBy("type", "feature").agg(F.transform(ordered, lambda s: s["value"]).alias("cuts"))
 
 

@@ -21,7 +21,7 @@ def static_conflict_points(map_points: DataFrame, *, resample_factor: int = 1) -
     if resample_factor == 1:
         return pts.select("scenario_id", F.lit("static").alias("kind"), "x", "y", "z")
     shape = pts.groupBy("scenario_id", "feature_class", "feature_idx").agg(
-        F.array_sort(F.collect_list(F.struct("point_idx", "x", "y", "z"))).alias("p"))
+        F.sort_array(F.collect_list(F.struct("point_idx", "x", "y", "z"))).alias("p"))
     n = F.size("p")
     rows = shape.withColumn("m", F.explode(F.sequence(F.lit(0), n * resample_factor - 1)))
 
@@ -132,7 +132,7 @@ def closest_lanes(
     lanes = (
         map_points.filter((F.col("feature_class") == "lane") & (F.col("point_idx") % subsample == 0))
         .groupBy("scenario_id", F.col("feature_idx").alias("lane_idx"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("point_idx", "x", "y", "z"))), lambda p: F.struct(
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("point_idx", "x", "y", "z"))), lambda p: F.struct(
             p["x"].alias("x"), p["y"].alias("y"), (p["z"] if ndim == 3 else F.lit(0.0)).alias("z"))).alias("lane"))
     )
     pts = valid_points(points).select(*KEY, "t", "x", "y", (F.col("z") if ndim == 3 else F.lit(0.0)).alias("z"))
@@ -140,7 +140,8 @@ def closest_lanes(
     def gap(p):
         return X.norm3(p["x"] - F.col("x"), p["y"] - F.col("y"), p["z"] - F.col("z"))
 
-    rows = pts.join(lanes, "scenario_id").withColumn("dists", F.transform("lane", gap))
+    # Sort-merge keeps the search, which is most of the work, spread over the steps instead of the few lane rows.
+    rows = pts.join(lanes.hint("merge"), "scenario_id").withColumn("dists", F.transform("lane", gap))
     rows = rows.withColumn("near", F.array_min("dists")).withColumn(
         "idx", F.array_position("dists", F.col("near")).cast("int") - 1)
     last = F.size("lane") - 1

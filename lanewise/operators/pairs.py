@@ -25,20 +25,19 @@ def pair_speed(vx: Column, vy: Column) -> Column:
     return X.norm2(vx, vy) + EPS
 
 
-def pack_tracks(points: DataFrame) -> DataFrame:
-    """One row per agent: `steps[t]` is struct(t, x, y, z, v, h, len), null where the agent is not valid."""
-    return pack_steps(valid_points(points).select(
-        *KEY, "agent_type", "t", "x", "y", "z", pair_speed(F.col("vx"), F.col("vy")).alias("v"),
-        F.degrees("heading").alias("h"), F.col("length").alias("len")), KEY)
+def pack_tracks(points: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """One row per agent: `steps[t]` is struct(t, x, y, z, v, h, len), null where the agent is not valid.
 
-
-def pack_steps(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    step = F.struct("t", "x", "y", "z", "v", "h", "len")
-    seen = rows.groupBy(*keys).agg(
-        F.first("agent_type").alias("agent_type"), F.array_sort(F.collect_list(step)).alias("_seen"))
+    Agents that are never valid keep a row with no steps.
+    """
+    step = F.struct(
+        "t", "x", "y", "z", pair_speed(F.col("vx"), F.col("vy")).alias("v"), F.degrees("heading").alias("h"),
+        F.col("length").alias("len"))
+    seen = points.groupBy(*keys).agg(
+        F.first("agent_type").alias("agent_type"),
+        F.sort_array(F.collect_list(F.when(X.is_valid(F.col("valid")), step))).alias("_seen"))
     hole = F.lit(None).cast(seen.schema["_seen"].dataType.elementType.simpleString())
-    dense = _by_step("_seen", hole, hole)
-    return seen.select(*keys, "agent_type", dense.alias("steps"))
+    return seen.select(*keys, "agent_type", _by_step("_seen", hole, hole).alias("steps"))
 
 
 def _by_step(seen: str, hole: Column, null: Column) -> Column:
@@ -132,24 +131,24 @@ def nearby_pairs(tracks: DataFrame, scenarios: DataFrame | None = None, limits:
     )
 
 
-def with_tracks(pairs: DataFrame, tracks_i: DataFrame, tracks_j: DataFrame | None = None) -> DataFrame:
-    """Attach both packed tracks to each pair."""
-    ti = tracks_i.select("scenario_id", F.col("agent_idx").alias("i"), F.col("steps").alias("steps_i"))
-    tj = (tracks_i if tracks_j is None else tracks_j).select(
-        "scenario_id", F.col("agent_idx").alias("j"), F.col("steps").alias("steps_j"))
-    return pairs.join(ti, ["scenario_id", "i"], "left").join(tj, ["scenario_id", "j"], "left")
+def with_tracks(pairs: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Attach both packed tracks to each pair.
+
+    Sort-merge is asked for because the work per joined row is large: a broadcast would leave the few bytes of pairs,
+    and with them all that work, in a handful of tasks. Skewed keys are split at run time.
+    """
+    ti = tracks.select("scenario_id", F.col("agent_idx").alias("i"), F.col("steps").alias("steps_i"))
+    tj = tracks.select("scenario_id", F.col("agent_idx").alias("j"), F.col("steps").alias("steps_j"))
+    return pairs.join(ti.hint("merge"), ["scenario_id", "i"], "left").join(
+        tj.hint("merge"), ["scenario_id", "j"], "left")
 
 
-def ego_pair_tracks(tracks: DataFrame, agents: DataFrame, scenarios: DataFrame) -> DataFrame:
+def ego_pair_tracks(tracks: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Ego pairs with both tracks. The partner side is the track table itself, so only the ego rows travel."""
-    full = agents.join(tracks.select(*KEY, "steps"), KEY, "left")
-    ego = (
-        scenarios.select("scenario_id", F.col("ego_idx").alias("agent_idx"))
-        .join(full, KEY)
-        .select("scenario_id", F.col("agent_idx").alias("ego_idx"), F.col("agent_type").alias("ego_type"),
-                F.col("steps").alias("ego_steps"))
-    )
-    df = full.join(ego, "scenario_id").filter(F.col("agent_idx") != F.col("ego_idx"))
+    ego = tracks.join(scenarios.select("scenario_id", F.col("ego_idx").alias("agent_idx")), KEY).select(
+        "scenario_id", F.col("agent_idx").alias("ego_idx"), F.col("agent_type").alias("ego_type"),
+        F.col("steps").alias("ego_steps"))
+    df = tracks.join(ego, "scenario_id").filter(F.col("agent_idx") != F.col("ego_idx"))
     first = F.col("ego_idx") < F.col("agent_idx")
 
     def pick(ego_col, other_col, ego_first):
@@ -180,15 +179,14 @@ def conflict_times(shared: Column, radius: Column) -> Column:
         return dx * dx + dy * dy + dz * dz
 
     def nearest(z, k):
-        to_j = F.transform(shared, lambda s: d2(z["a"], s["b"]))
-        low = F.array_min(to_j)
-        return F.struct(z["a"].alias("p"), low.alias("d2"),
-                        F.least(k + 1, F.array_position(to_j, low).cast("int")).alias("upto"))
+        # Least struct: the nearest step of j, the earliest one on ties.
+        to_j = F.transform(shared, lambda s, n: F.struct(d2(z["a"], s["b"]).alias("d2"), n.alias("n")))
+        return F.struct(z["a"].alias("p"), k.alias("k"), F.array_min(to_j).alias("near"))
 
-    points = F.filter(F.transform(shared, nearest), lambda c: c["d2"] <= radius * radius)
+    points = F.filter(F.transform(shared, nearest), lambda c: c["near"]["d2"] <= radius * radius)
 
     def lead_time(c):
-        return F.array_min(F.transform(F.slice(shared, 1, c["upto"]), lambda s: F.abs(
+        return F.array_min(F.transform(F.slice(shared, 1, F.least(c["k"], c["near"]["n"]) + 1), lambda s: F.abs(
             F.sqrt(d2(s["a"], c["p"])) / s["a"]["v"] - F.sqrt(d2(s["b"], c["p"])) / s["b"]["v"])))
 
     return F.transform(points, lead_time)
@@ -309,9 +307,8 @@ def pair_features(
     (or out of scope) by construction, are counted by :func:`pair_totals`, and are listed only with `far_pairs`.
     """
     tracks = pack_tracks(points)
-    agents = agent_table(points)
     if scope == "ego":
-        rows = ego_pair_tracks(tracks, agents, scenarios)
+        rows = ego_pair_tracks(tracks, scenarios)
     elif scope == "all":
         rows = with_tracks(nearby_pairs(tracks, scenarios, limits), tracks)
     else:
@@ -320,7 +317,7 @@ def pair_features(
     near = pair_metrics(rows, PAIR, lim, criterion=criterion, include_vehicle_free=include_vehicle_free)
     if scope == "ego" or not far_pairs:
         return near
-    rest = all_pairs(agents).join(near.select(*PAIR), PAIR, "left_anti")
+    rest = all_pairs(agent_table(points)).join(near.select(*PAIR), PAIR, "left_anti")
     veh = (X.fold_ego(F.col("type_i")) == 1) | (X.fold_ego(F.col("type_j")) == 1)
     code = F.lit(int(PairStatus.TOO_FAR)) if include_vehicle_free else F.when(veh, int(PairStatus.TOO_FAR)).otherwise(
         int(PairStatus.OUT_OF_SCOPE))
@@ -335,11 +332,13 @@ def features_for_pairs(
     limits: Limits | None = None,
 ) -> DataFrame:
     """Features of an explicit pair list (scenario_id, i, j), without the range prefilter."""
-    agents = agent_table(points)
-    types = agents.select("scenario_id", F.col("agent_idx").alias("i"), F.col("agent_type").alias("type_i"))
-    types_j = agents.select("scenario_id", F.col("agent_idx").alias("j"), F.col("agent_type").alias("type_j"))
-    named = pairs.select(*PAIR).distinct().join(types, ["scenario_id", "i"]).join(types_j, ["scenario_id", "j"])
-    rows, lim = attach(with_tracks(named, pack_tracks(points)), scenarios, limits=limits)
+    tracks = pack_tracks(points)
+    ti = tracks.select("scenario_id", F.col("agent_idx").alias("i"), F.col("agent_type").alias("type_i"),
+                       F.col("steps").alias("steps_i")).hint("merge")
+    tj = tracks.select("scenario_id", F.col("agent_idx").alias("j"), F.col("agent_type").alias("type_j"),
+                       F.col("steps").alias("steps_j")).hint("merge")
+    named = pairs.select(*PAIR).distinct().join(ti, ["scenario_id", "i"]).join(tj, ["scenario_id", "j"])
+    rows, lim = attach(named, scenarios, limits=limits)
     return pair_metrics(rows, PAIR, lim, criterion=criterion, prefilter=False)
 
 
@@ -375,7 +374,7 @@ def closest_agent_distances(
     )
     pts = valid_points(points) if valid_only else points
     step = F.struct("t", "x", "y", "z")
-    packed = pts.groupBy(*KEY).agg(F.array_sort(F.collect_list(step)).alias("_seen"))
+    packed = pts.groupBy(*KEY).agg(F.sort_array(F.collect_list(step)).alias("_seen"))
     kind = packed.schema["_seen"].dataType.elementType.simpleString()
     null = F.lit(None).cast(kind)
     hole = null if valid_only else F.struct(F.lit(None).cast("int").alias("t"), *[

@@ -76,10 +76,9 @@ def probe_pairs(agents: DataFrame, altered: DataFrame, scenarios: DataFrame) ->
         *PROBE, F.least("probed", "other").alias("i"), F.greatest("probed", "other").alias("j"))
 
 
-def altered_pair_rows(points: DataFrame, altered: DataFrame, agents: DataFrame, scenarios: DataFrame) -> DataFrame:
+def altered_pair_rows(points: DataFrame, altered: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Probe pairs with both packed tracks, the probed side altered. At most 2(n-1) rows per scene of n agents."""
-    original = agents.select(*KEY, "agent_type").join(
-        P.pack_tracks(points).select(*KEY, "steps"), KEY, "left")
+    original = P.pack_tracks(points)
     changed = P.pack_tracks(altered)
     ego = scenarios.select("scenario_id", "ego_idx")
 
@@ -106,13 +105,13 @@ def altered_pair_rows(points: DataFrame, altered: DataFrame, agents: DataFrame,
         F.col("p_steps").alias("probe_steps"), F.col("o_steps").alias("other_steps"))
 
 
-def critical_frame(shared: Column, now: Column, lim: dict[str, Column]) -> Column:
-    """struct(metric, t) of the worst future frame of two agents, or null.
+def critical_frames(df: DataFrame, lim: dict[str, Column], out: str = "crit") -> DataFrame:
+    """Adds struct(metric, t): the worst future frame of two agents, or null.
 
     Least time to collision if any is finite, else greatest positive required deceleration, on aligned frames of pairs
-    that come within range (XY). `shared` is as made by :func:`pairs.shared_steps` with the probed agent first.
+    that come within range (XY). Needs `probe_steps`, `other_steps` and `current_time_index`.
     """
-    ahead = F.filter(shared, lambda s: s["a"]["t"] >= now)
+    shared = P.shared_steps(F.col("probe_steps"), F.col("other_steps"))
 
     def measure(s):
         a, b = s["a"], s["b"]
@@ -124,16 +123,21 @@ def critical_frame(shared: Column, now: Column, lim: dict[str, Column]) -> Colum
             X.time_to_collision(gap, closing).alias("ttc"),
             X.required_deceleration(gap, closing, lim["agent_max_deceleration"]).alias("drac"), a["t"].alias("t"))
 
-    frames = F.transform(ahead, measure)
-    near = F.exists(frames, lambda f: f["xy"] <= lim["agent_to_agent_max_distance"])
-    aligned = F.filter(frames, lambda f: f["aligned"])
-    ttc = F.array_min(F.transform(
-        F.filter(aligned, lambda f: f["ttc"] < X.INF), lambda f: F.struct(f["ttc"].alias("v"), f["t"].alias("t"))))
-    drac = F.array_min(F.transform(
-        F.filter(aligned, lambda f: f["drac"] > 0), lambda f: F.struct((-f["drac"]).alias("v"), f["t"].alias("t"))))
-    usable = (F.size(frames) >= MIN_VALID) & near & (F.size(aligned) >= MIN_VALID)
-    return F.when(usable & ttc.isNotNull(), F.struct(F.lit("TTC").alias("metric"), ttc["t"].alias("t"))).when(
-        usable & drac.isNotNull(), F.struct(F.lit("DRAC").alias("metric"), drac["t"].alias("t")))
+    def worst(name, keep, sign):
+        vals = F.transform(F.filter("_aligned", keep), lambda f: F.struct((f[name] * sign).alias("v"), f["t"].alias("t")))
+        return F.array_min(vals)["t"]
+
+    df = df.withColumn("_ahead", F.filter(shared, lambda s: s["a"]["t"] >= F.col("current_time_index")))
+    df = df.withColumn("_frames", F.transform("_ahead", measure))
+    df = df.withColumn("_aligned", F.filter("_frames", lambda f: f["aligned"]))
+    near = F.exists("_frames", lambda f: f["xy"] <= lim["agent_to_agent_max_distance"])
+    df = df.withColumns({
+        "_ok": (F.size("_frames") >= MIN_VALID) & near & (F.size("_aligned") >= MIN_VALID),
+        "_ttc": worst("ttc", lambda f: f["ttc"] < X.INF, 1.0), "_drac": worst("drac", lambda f: f["drac"] > 0, -1.0)})
+    return df.withColumn(out, F.when(
+        F.col("_ok") & F.col("_ttc").isNotNull(), F.struct(F.lit("TTC").alias("metric"), F.col("_ttc").alias("t"))).when(
+        F.col("_ok") & F.col("_drac").isNotNull(), F.struct(F.lit("DRAC").alias("metric"), F.col("_drac").alias("t")))
+    ).drop("_ahead", "_frames", "_aligned", "_ok", "_ttc", "_drac")
 
 
 def probe_deltas(after: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -208,7 +212,7 @@ def find_probes(
     baseline = stage(baseline_pair_scores(base, cfg, skip_types), "baseline")
     weights = agent_weights(agents, scenarios, cfg, points=points)
 
-    rows, lim = attach(altered_pair_rows(points, altered, agents, scenarios), scenarios, limits=limits)
+    rows, lim = attach(altered_pair_rows(points, altered, scenarios), scenarios, limits=limits)
     if skip_types:
         rows = rows.filter(~F.col("type_i").isin(*skip_types) & ~F.col("type_j").isin(*skip_types))
     met = P.pair_metrics(rows, [*PROBE, "i", "j"], lim, criterion=criterion, prefilter=False, carry=("other",))
@@ -217,16 +221,17 @@ def find_probes(
     winners = stage(VALIDATORS[validator](candidates(deltas, min_delta)), "winners")
 
     hit = deltas.join(winners.select(*PROBE), PROBE, "left_semi").filter(F.col("delta") >= min_delta)
-    tracks = rows.join(scenarios.select("scenario_id", "current_time_index"), "scenario_id").select(
-        *PROBE, "other", critical_frame(
-            P.shared_steps(F.col("probe_steps"), F.col("other_steps")), F.col("current_time_index"), lim).alias("crit"))
-    found = hit.join(tracks, [*PROBE, "other"]).filter(F.col("crit").isNotNull())
+    # Only the pairs of the winning probe that changed enough are searched for their critical frame.
+    tracks = rows.join(hit.select(*PROBE, "other"), [*PROBE, "other"], "left_semi").join(
+        scenarios.select("scenario_id", "current_time_index"), "scenario_id")
+    found = hit.join(critical_frames(tracks, lim).select(*PROBE, "other", "crit"), [*PROBE, "other"]).filter(
+        F.col("crit").isNotNull())
     entry = F.struct(
         (F.col("crit.metric") == "DRAC").cast("int").alias("rank"), F.col("crit.t").alias("t"), "other",
         F.col("crit.metric").alias("metric"), F.col("before"), F.col("pair_score").alias("after"))
     affected = found.groupBy(*PROBE).agg(
         F.array(F.min(entry)).alias("affected") if single_affected
-        else F.array_sort(F.collect_list(entry)).alias("affected"))
+        else F.sort_array(F.collect_list(entry)).alias("affected"))
 
     won = after.join(winners.select(*PROBE), PROBE, "left_semi").select(*PROBE, "i", "j", F.col("pair_score").alias("new"))
     old = baseline.join(winners.select(*PROBE), "scenario_id").select(*PROBE, "i", "j", F.col("pair_score").alias("old"))

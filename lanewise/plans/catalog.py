@@ -94,15 +94,15 @@ class Data:
 
     @property
     def map_points(self):
-        return self.keep("map_points", lambda: D.map_points(self.spark, self.sf))
+        return self.keep("map_points", lambda: D.map_points(self.scenarios))
 
     @property
     def lanes(self):
-        return self.keep("lanes", lambda: D.lanes(self.spark, self.sf))
+        return self.keep("lanes", lambda: D.lanes(self.scenarios))
 
     @property
     def signals(self):
-        return self.keep("signals", lambda: D.signals(self.spark, self.sf))
+        return self.keep("signals", lambda: D.signals(self.scenarios))
 
     @property
     def tables(self):
@@ -348,7 +348,7 @@ def _(d):
 
 @query("S25_speed_limit_mph")
 def _(d):
-    gap = D.lanes(d.spark, d.sf, with_gap=True)
+    gap = D.lanes(d.scenarios, with_gap=True)
     return gap.select("scenario_id", "lane_idx", N.speed_limit_mph(F.col("speed_limit_mph") * MPH_TO_MS).alias("mph"))
 
 
@@ -504,13 +504,13 @@ def _(d):
 def _(d):
     five = M.dynamic_conflict_points(d.signals, all_signals=True).withColumn("rule", F.lit("all"))
     strict = M.dynamic_conflict_points(d.signals).withColumn("rule", F.lit("strict_five"))
-    three = M.dynamic_conflict_points(D.signals(d.spark, d.sf, 3)).withColumn("rule", F.lit("strict_three"))
+    three = M.dynamic_conflict_points(D.signals(d.scenarios, 3)).withColumn("rule", F.lit("strict_three"))
     return five.unionByName(strict).unionByName(three).select("rule", "scenario_id", "x", "y")
 
 
 @query("M04_conflict_points")
 def _(d):
-    c = M.conflict_points(d.map_points, D.signals(d.spark, d.sf, 3), threshold=0.5)
+    c = M.conflict_points(d.map_points, D.signals(d.scenarios, 3), threshold=0.5)
     return c.groupBy("scenario_id", "kind").agg(
         F.count(F.lit(1)).alias("points"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
 
@@ -679,7 +679,7 @@ def _(d):
 
 
 def _deltas(d):
-    rows, lim = C.attach(C.altered_pair_rows(d.points, d.altered, d.agents, d.scenarios), d.scenarios)
+    rows, lim = C.attach(C.altered_pair_rows(d.points, d.altered, d.scenarios), d.scenarios)
     met = P.pair_metrics(rows, ["scenario_id", "probed", "i", "j"], lim, prefilter=False, carry=("other",))
     after = S.pair_scores(met, PROBE).select("scenario_id", "probed", "other", "i", "j", "pair_score")
     return C.probe_deltas(after, C.baseline_pair_scores(d.pairs, PROBE))

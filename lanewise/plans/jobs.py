@@ -127,7 +127,7 @@ class Profile:
         """Categorical agent scores with the category each falls in."""
         def build():
             cuts = self.score_thresholds().groupBy("scorer").agg(F.transform(
-                F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda s: s["value"]).alias("cuts"))
+                F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda s: s["value"]).alias("cuts"))
             return self.agent_scores().join(F.broadcast(cuts), "scorer").withColumn(
                 "category", category(F.col("score"), F.col("cuts"))).drop("cuts")
         return self._stage("score_categories", build)

@@ -81,13 +81,9 @@ def agents(points: DataFrame) -> DataFrame:
     ).withColumn("difficulty", diff)
 
 
-def _scene_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track_points(spark, sf_dir).select("scenario_id").distinct()
-
-
-def map_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def map_points(scenes: DataFrame) -> DataFrame:
     """Four parallel lanes, one crossing lane (25 points each) and one crosswalk per scene."""
-    s = _scene_ids(spark, sf_dir)
+    s = scenes.select("scenario_id")
     f, p = F.col("feature_idx"), F.col("point_idx")
     pd_ = p.cast("double")
     lanes_ = s.select(
@@ -111,9 +107,9 @@ def map_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes_.unionByName(walk)
 
 
-def lanes(spark: SparkSession, sf_dir: str, *, with_gap: bool = False) -> DataFrame:
+def lanes(scenes: DataFrame, *, with_gap: bool = False) -> DataFrame:
     """Five lanes per scene; `with_gap` leaves the limit of lane 4 unknown."""
-    s = _scene_ids(spark, sf_dir)
+    s = scenes.select("scenario_id")
     idx = F.col("lane_idx")
     out = s.select(
         "scenario_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("lane_idx"))
@@ -122,9 +118,9 @@ def lanes(spark: SparkSession, sf_dir: str, *, with_gap: bool = False) -> DataFr
         "speed_limit_mph", F.when(idx == 4, F.lit(None).cast("double")).otherwise(limit) if with_gap else limit)
 
 
-def signals(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
+def signals(scenes: DataFrame, n: int = 5) -> DataFrame:
     """One stop point per lane at steps 3 and 7 (nothing before)."""
-    s = _scene_ids(spark, sf_dir)
+    s = scenes.select("scenario_id")
     out = s.select(
         "scenario_id",
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("lane_idx"))

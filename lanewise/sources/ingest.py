@@ -57,7 +57,7 @@ def too_short(points: DataFrame, steps: int) -> DataFrame:
 def pad_tracks(points: DataFrame, steps: int, default_dt: float = 0.1) -> DataFrame:
     """Every track up to `steps` rows: missing tail rows are zero and not valid, their time runs on at the last dt."""
     pts = truncate_horizon(points, steps)
-    tail = F.slice(F.array_sort(F.collect_list(F.struct("t", "ts_s"))), -2, 2)
+    tail = F.slice(F.sort_array(F.collect_list(F.struct("t", "ts_s"))), -2, 2)
     ends = pts.groupBy(*KEY).agg(F.first("agent_type").alias("agent_type"), F.max("t").alias("last_t"),
                                  F.when(F.count(F.lit(1)) > 1, tail).alias("two"), F.max("ts_s").alias("last_ts"))
     dt = F.coalesce(F.get("two", F.lit(1))["ts_s"] - F.get("two", F.lit(0))["ts_s"], F.lit(default_dt))
@@ -390,7 +390,7 @@ def overlapping_scenarios(points: DataFrame, scenarios: DataFrame, *, shared: in
     pos = ego.select("scenario_id", "x", "y").distinct()
     common = pos.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     sets = pos.join(common, ["x", "y"]).groupBy("scenario_id").agg(
-        F.array_sort(F.collect_list(F.struct("n", "x", "y"))).alias("p"))
+        F.sort_array(F.collect_list(F.struct("n", "x", "y"))).alias("p"))
     sets = sets.filter(F.size("p") >= shared)
     groups = sets.groupBy("p").agg(F.min("scenario_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     tokens = groups.select("rep", F.explode(F.slice("p", 1, F.size("p") - shared + 1)).alias("k"))

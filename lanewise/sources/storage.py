@@ -73,9 +73,9 @@ def load_thresholds(spark: SparkSession, files: dict[str, str]) -> DataFrame:
 def thresholds_json(thresholds: DataFrame) -> DataFrame:
     """One JSON document per type: {feature: {label: value}}."""
     cuts = F.map_from_entries(F.transform(
-        F.array_sort(F.collect_list(F.struct("ord", "label", "value"))), lambda s: F.struct(s["label"], s["value"])))
+        F.sort_array(F.collect_list(F.struct("ord", "label", "value"))), lambda s: F.struct(s["label"], s["value"])))
     per = thresholds.groupBy("type", "feature").agg(cuts.alias("cuts"))
-    doc = F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", F.to_json("cuts").alias("cuts")))))
+    doc = F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", F.to_json("cuts").alias("cuts")))))
     parts = F.transform(F.map_entries("doc"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
     return per.groupBy("type").agg(doc.alias("doc")).select(
         "type", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("json"))

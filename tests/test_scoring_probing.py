@@ -128,8 +128,9 @@ def test_later_agent_wins_ties(spark):
 
 
 def test_affected_needs_a_critical_frame(spark):
-    shared = P.shared_steps(F.col("a"), F.col("b"))
-    df = P.pack_tracks(points(spark, {0: [(t, 0, 0, 1, 0, 0, True) for t in range(3)], 1: [(t, 500, 0, 1, 0, 0, True) for t in range(3)]}))
-    row = df.filter("agent_idx = 0").selectExpr("steps as a").crossJoin(df.filter("agent_idx = 1").selectExpr("steps as b"))
+    pts = points(spark, {0: [(t, 0, 0, 1, 0, 0, True) for t in range(3)], 1: [(t, 500, 0, 1, 0, 0, True) for t in range(3)]})
+    df = P.pack_tracks(pts)
+    a = df.filter("agent_idx = 0").selectExpr("scenario_id", "steps as probe_steps", "0 as current_time_index")
+    row = a.join(df.filter("agent_idx = 1").selectExpr("scenario_id", "steps as other_steps"), "scenario_id")
     lim = {k: F.lit(v) for k, v in dict(heading_threshold=45.0, agent_max_deceleration=20.0, agent_to_agent_max_distance=100.0).items()}
-    assert row.select(C.critical_frame(shared, F.lit(0), lim).alias("c")).collect()[0].c is None
+    assert C.critical_frames(row, lim).collect()[0].crit is None
