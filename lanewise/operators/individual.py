@@ -48,13 +48,9 @@ def speed_limit_gap(profile: DataFrame, closest_lanes: DataFrame, lanes: DataFra
 
     A missing limit among the closest lanes makes the step NaN; scenes without any known limit get no value.
     """
-    known = Window.partitionBy("scenario_id")
-    limits = (
-        lanes.withColumn("_known", F.count("speed_limit_mph").over(known))
-        .filter(F.col("_known") > 0)
-        .select("scenario_id", "lane_idx",
-                F.coalesce(F.col("speed_limit_mph"), X.lit_d(X.NAN)).alias("_mph"))
-    )
+    known = lanes.filter(F.col("speed_limit_mph").isNotNull()).select("scenario_id").distinct()
+    limits = lanes.join(known, "scenario_id", "left_semi").select(
+        "scenario_id", "lane_idx", F.coalesce(F.col("speed_limit_mph"), X.lit_d(X.NAN)).alias("_mph"))
     near = (
         closest_lanes.select(*KEY, "t", "lane_idx")
         .join(limits, ["scenario_id", "lane_idx"])

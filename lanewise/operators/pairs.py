@@ -95,14 +95,30 @@ def pair_totals(agents: DataFrame) -> DataFrame:
     same = F.expr("na * (na - 1) div 2")
     count = F.when(F.col("ta") == F.col("tb"), same).otherwise(F.col("na") * F.col("nb"))
     ego = (F.col("ta") == int(AgentType.EGO_AGENT)) | (F.col("tb") == int(AgentType.EGO_AGENT))
+    veh = (X.fold_ego(F.col("ta")) == 1) | (X.fold_ego(F.col("tb")) == 1)
     return (
         joined.withColumn("pair_type", X.pair_type(F.col("ta"), F.col("tb")))
         .groupBy("scenario_id", "pair_type")
-        .agg(F.sum(count).alias("pairs"), F.sum(F.when(ego, count).otherwise(0)).alias("with_ego"))
+        .agg(F.sum(count).alias("pairs"), F.sum(F.when(ego, count).otherwise(0)).alias("with_ego"),
+             F.sum(F.when(veh, count).otherwise(0)).alias("with_vehicle"))
         .filter(F.col("pairs") > 0)
     )
 
 
+def status_counts(near: DataFrame, totals: DataFrame, *, include_vehicle_free: bool = True) -> DataFrame:
+    """(scenario_id, status, pairs) over all enumerated pairs, from near pairs and :func:`pair_totals` alone."""
+    far, out = int(PairStatus.TOO_FAR), int(PairStatus.OUT_OF_SCOPE)
+    seen = near.filter(~F.col("status").isin(far, out)).select("scenario_id", "status", F.lit(1).cast("long").alias("n"))
+    whole = F.sum("pairs") if include_vehicle_free else F.sum("with_vehicle")
+    per = totals.groupBy("scenario_id").agg(whole.alias("whole"), (F.sum("pairs") - whole).alias("free"))
+    base = per.select("scenario_id", F.explode(F.array(
+        F.struct(F.lit(far).alias("status"), F.col("whole").alias("n")),
+        F.struct(F.lit(out).alias("status"), F.col("free").alias("n")))).alias("c")).select("scenario_id", "c.*")
+    minus = seen.select("scenario_id", F.lit(far).alias("status"), (-F.col("n")).alias("n"))
+    rows = seen.unionByName(base).unionByName(minus)
+    return rows.groupBy("scenario_id", "status").agg(F.sum("n").alias("pairs")).filter(F.col("pairs") > 0)
+
+
 def nearby_pairs(tracks: DataFrame, scenarios: DataFrame | None = None, limits: Limits | None = None) -> DataFrame:
     """Pairs whose tracks share or touch a grid cell of the maximum distance at any time.
 

@@ -86,7 +86,7 @@ def category_thresholds(long: DataFrame, keys: Sequence[str], categories=CATEGOR
     cell = [F.struct(F.lit(n).alias("ord"), F.lit(b[0]).alias("label"), F.col(f"b{n}").alias("value"))
             for n, b in enumerate(bounds)]
     return (
-        df.join(F.broadcast(nan), keys, "left").select(*keys, "_nan", F.explode(F.array(*cell)).alias("c"))
+        df.join(nan, keys, "left").select(*keys, "_nan", F.explode(F.array(*cell)).alias("c"))
         .select(*keys, "c.ord", "c.label", F.when(F.col("_nan"), X.lit_d(X.NAN)).otherwise(F.col("c.value")).alias("value"))
     )
 
@@ -102,7 +102,7 @@ def histogram(long: DataFrame, keys: Sequence[str], bins: int = 20, value: str =
                              "b": F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))})
     width = (F.col("b") - F.col("a")) / float(bins)
     pos = F.floor((F.col(value) - F.col("a")) / width)
-    binned = clean.join(F.broadcast(span), keys).withColumn(
+    binned = clean.join(span, keys).withColumn(
         "bin", F.least(F.greatest(pos, F.lit(0)), F.lit(bins - 1)).cast("int"))
     got = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
@@ -130,7 +130,7 @@ def scene_splits(scenes: DataFrame, percentile: float = 80.0) -> DataFrame:
     rounded = scenes.select("key", "scenario_id", F.round("scene_score", 3).alias("scene_score"))
     cut = exact_percentiles(rounded, ["key"], "scene_score", [percentile]).select(
         "key", F.col("percentile").alias("cut"))
-    return rounded.join(F.broadcast(cut), "key").select(
+    return rounded.join(cut, "key").select(
         "key", "scenario_id", "scene_score", (F.col("scene_score") >= F.col("cut")).alias("out_of_distribution"))
 
 
@@ -252,7 +252,7 @@ def interquartile_mean(long: DataFrame) -> DataFrame:
     keys = ["dataset", "column"]
     q = percentile_columns(long, keys, "value", {"q1": 25.0, "q3": 75.0})
     inside = F.when(F.col("value").between(F.col("q1"), F.col("q3")), F.col("value"))
-    return long.join(F.broadcast(q), keys).groupBy(*keys).agg(
+    return long.join(q, keys).groupBy(*keys).agg(
         F.coalesce(F.avg(inside), F.lit(0.0)).alias("iqm"), F.sum("value").alias("total"))
 
 
@@ -351,7 +351,7 @@ def percentile_folders(scores: DataFrame, wanted: DataFrame, percentiles: Sequen
     edges = [0, *percentiles, 100]
     cuts = percentile_columns(scores, [], "scene_score", {f"p{n}": float(p) for n, p in enumerate(edges)})
     df = wanted.select("scenario_id").join(scores.select("scenario_id", "scene_score"), "scenario_id", "left")
-    df = df.join(F.broadcast(cuts), F.lit(True), "left")
+    df = df.withColumn("_k", F.lit(1)).join(F.broadcast(cuts.withColumn("_k", F.lit(1))), "_k", "left")  # one row
     folder = F.when(F.col("scene_score").isNull(), "unknown")
     for n in range(1, len(edges)):
         name = f"percentile_{edges[n - 1]}-{edges[n]}"

@@ -526,9 +526,9 @@ def _(d):
         *KEY, "t", "rank", "lane_idx", "distance", "point_idx", "proj_x", "proj_y")
 
 
-@query("M09_all_distances")
+@query("M09_target_distances")
 def _(d):
-    return P.closest_agent_distances(d.points, d.scenarios, to="all", targets=d.agents)
+    return P.closest_agent_distances(d.points, d.scenarios, to="targets", targets=d.agents.filter("relevance = 1.0"))
 
 
 @query("M10_ego_distances")
@@ -552,11 +552,6 @@ def _(d):
     return e.select(*PAIR, "type_i", "type_j", X.pair_type(F.col("type_i"), F.col("type_j")).alias("pair_type"))
 
 
-@query("P01_all_pairs")
-def _(d):
-    return P.enumerate_pairs(d.agents, scope="all").select(*PAIR, "type_i", "type_j")
-
-
 @query("P02_pair_totals")
 def _(d):
     return P.pair_totals(d.agents)
@@ -579,8 +574,8 @@ def _(d):
 
 @query("P06_status_all")
 def _(d):
-    near = P.pair_features(d.points, d.scenarios, scope="all", include_vehicle_free=False, far_pairs=True)
-    return near.groupBy("scenario_id", "status").agg(F.count(F.lit(1)).alias("pairs"))
+    near = P.pair_features(d.points, d.scenarios, scope="all", include_vehicle_free=False)
+    return P.status_counts(near, P.pair_totals(d.agents), include_vehicle_free=False)
 
 
 @query("P16_pair_features_average")

@@ -107,18 +107,20 @@ def mark_ego(agents: DataFrame, scenarios: DataFrame) -> DataFrame:
         F.col("agent_idx") == F.col("ego_idx"), int(AgentType.EGO_AGENT)).otherwise(F.col("agent_type"))).drop("ego_idx")
 
 
-def resample(keyframes: DataFrame, *, hz: float = 10.0, steps: int, n_keyframes: Column | None = None) -> DataFrame:
+def resample(keyframes: DataFrame, *, hz: float = 10.0, steps: int, n_keyframes: DataFrame | None = None) -> DataFrame:
     """Linear interpolation of keyframes onto a regular grid of `steps` at `hz`.
 
     A grid time gets a row only between two consecutive valid keyframes, or on the very last keyframe of the scene.
-    Each segment generates its own grid steps, so no range join is needed.
+    Each segment generates its own grid steps, so no range join is needed. `n_keyframes` (scenario_id, n_keyframes)
+    gives the keyframes per scene where the last ones may hold no observation.
     """
     eps = 1e-6
     w = Window.partitionBy(*KEY).orderBy("t")
     nxt = {f"n_{c}": F.lead(c).over(w) for c in ("t", "ts_s", "valid", *BODY)}
-    last_t = F.coalesce(n_keyframes - 1, F.lit(-1)) if n_keyframes is not None else F.max("t").over(
-        Window.partitionBy("scenario_id"))
-    df = keyframes.withColumns(nxt).withColumn("last_t", last_t).filter(X.is_valid(F.col("valid")))
+    if n_keyframes is None:
+        n_keyframes = keyframes.groupBy("scenario_id").agg((F.max("t") + 1).alias("n_keyframes"))
+    df = keyframes.withColumns(nxt).join(n_keyframes.select("scenario_id", "n_keyframes"), "scenario_id").withColumn(
+        "last_t", F.col("n_keyframes") - 1).filter(X.is_valid(F.col("valid")))
     joined = (F.col("n_t") == F.col("t") + 1) & X.is_valid(F.col("n_valid"))
     k0 = F.greatest(F.ceil((F.col("ts_s") - eps) * hz), F.lit(0)).cast("int")
     k1 = F.least(F.ceil((F.col("n_ts_s") - eps) * hz) - 1, F.lit(steps - 1)).cast("int")

@@ -419,7 +419,9 @@ LEFT JOIN pts p ON p.scenario_id=a.scenario_id AND p.agent_idx=a.agent_idx AND p
 cte("dd", """
 SELECT a.scenario_id, a.agent_idx, b.agent_idx AS target_idx, min(sqrt((a.x-b.x)**2+(a.y-b.y)**2)) AS distance
 FROM den a JOIN den b ON b.scenario_id=a.scenario_id AND b.t=a.t GROUP BY ALL""")
-oracle("M09_all_distances", f"SELECT scenario_id, agent_idx, target_idx, {r('distance')} FROM dd")
+oracle("M09_target_distances", f"""
+SELECT d.scenario_id, d.agent_idx, d.target_idx, {r('d.distance','distance')} FROM dd d JOIN agt a ON a.scenario_id=d.scenario_id
+ AND a.agent_idx=d.target_idx AND (a.agent_idx=a.ego_idx OR a.difficulty=2)""")
 cte("de", "SELECT d.scenario_id, d.agent_idx, d.distance FROM dd d JOIN scen s ON s.scenario_id=d.scenario_id AND s.ego_idx=d.target_idx")
 oracle("M10_ego_distances", f"""
 WITH v AS (SELECT a.scenario_id, a.agent_idx, min(sqrt((a.x-b.x)**2+(a.y-b.y)**2)) AS d FROM vp a JOIN scen s
@@ -451,10 +453,10 @@ def ptype(a="type_i", b="type_j"):
 cte("ap", """
 SELECT a.scenario_id, a.agent_idx AS i, b.agent_idx AS j, a.agent_type AS type_i, b.agent_type AS type_j, a.ego_idx FROM agt a
 JOIN agt b ON b.scenario_id=a.scenario_id AND a.agent_idx < b.agent_idx""")
-oracle("P01_all_pairs", "SELECT scenario_id, i, j, type_i, type_j FROM ap")
 oracle("P01_ego_pairs", f"SELECT scenario_id, i, j, type_i, type_j, {ptype()} AS pair_type FROM ap WHERE ego_idx IN (i,j)")
 oracle("P02_pair_totals", f"""
-SELECT scenario_id, {ptype()} AS pair_type, count(*) AS pairs, count(*) FILTER (5 IN (type_i,type_j)) AS with_ego FROM ap GROUP BY ALL""")
+SELECT scenario_id, {ptype()} AS pair_type, count(*) AS pairs, count(*) FILTER (5 IN (type_i,type_j)) AS with_ego,
+ count(*) FILTER (type_i IN (1,5) OR type_j IN (1,5)) AS with_vehicle FROM ap GROUP BY ALL""")
 
 STEP = "t, x, y, z, sqrt(vx*vx+vy*vy)+1e-6 AS v, degrees(heading) AS h, length AS len"
 cte("st", f"SELECT scenario_id, agent_idx, {STEP} FROM vp")

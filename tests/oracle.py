@@ -55,7 +55,7 @@ def main() -> int:
     pattern = sys.argv[2] if len(sys.argv) > 2 else "."
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "16g").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
