@@ -190,13 +190,18 @@ def agent_summary(
 def individual_features(
     points: DataFrame, scenarios: DataFrame, *, criterion: str = "critical", limits: Limits | None = None,
     conflict_points: DataFrame | None = None, closest_lanes: DataFrame | None = None, lanes: DataFrame | None = None,
+    stage=None,
 ) -> DataFrame:
-    """The per-agent feature table. Jerk is null where timestamps do not increase, the limit gap NaN where unknown."""
+    """The per-agent feature table. Jerk is null where timestamps do not increase, the limit gap NaN where unknown.
+
+    `stage(df, name)` may write the motion summary, which the waiting period reads a second time.
+    """
     base = agent_summary(
         points, scenarios, criterion=criterion, limits=limits, closest_lanes=closest_lanes, lanes=lanes)
     if conflict_points is None:
         base = base.withColumn("waiting_period", F.lit(0.0))
     else:
+        base = stage(base, "summary") if stage else base
         wait = waiting_period(base.select(*KEY, "waits"), conflict_points, criterion=criterion)
         base = base.join(wait, KEY, "left").withColumn("waiting_period", F.coalesce("waiting_period", F.lit(0.0)))
     return base.select(

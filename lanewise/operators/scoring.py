@@ -187,22 +187,42 @@ def score_category(scores: DataFrame, thresholds, column: str = "score") -> Data
     return scores.withColumn("category", X.category(F.col(column), _cut_array(thresholds)))
 
 
-def score_scenarios(
-    points: DataFrame, agents: DataFrame, scenarios: DataFrame, individual: DataFrame, pairs: DataFrame,
-    cfg: ScoreConfig,
-) -> tuple[DataFrame, DataFrame]:
-    """Agent and scene scores of all three scorers, in long form: (agent table, scene table)."""
-    weights = agent_weights(agents, scenarios, cfg, points=points)
-    ind = individual_scores(individual, weights, cfg)
-    inter = interaction_scores(pairs, weights, cfg, scenarios)
-    both = combined_scores(ind, inter)
-    ind_s, int_s = scene_scores(ind, cfg), scene_scores(inter, cfg)
-    both_s = combined_scene_scores(ind_s, int_s, cfg)
-    named = lambda df, n: df.withColumn("scorer", F.lit(n))
-    return (
-        named(ind, "individual").unionByName(named(inter, "interaction")).unionByName(named(both, "combined")),
-        named(ind_s, "individual").unionByName(named(int_s, "interaction")).unionByName(named(both_s, "combined")),
-    )
+def agent_scores(
+    weights: DataFrame, individual: DataFrame, pairs: DataFrame, cfg: ScoreConfig, scenarios: DataFrame, *,
+    thresholds: dict | None = None,
+) -> DataFrame:
+    """All three scorers in one pass, long form: (scenario_id, agent_idx, scorer, score, valid)."""
+    cuts = thresholds or {}
+    ind = F.col("weight") * INDIVIDUAL_FUNCTIONS[cfg.individual_function](cfg)
+    if cuts.get("individual") is not None:
+        ind = X.category(ind, _cut_array(cuts["individual"]))
+    feats = individual.drop("agent_type", "n_valid").withColumn("_seen", F.lit(True))
+    inter = interaction_scores(pairs, weights, cfg, scenarios, thresholds=cuts.get("interaction")).select(
+        *KEY, F.col("score").alias("_int"), F.col("valid").alias("_iv"))
+    wide = weights.join(feats, KEY, "left").join(inter, KEY).select(
+        *KEY, F.when(F.col("_seen"), _no_nan(ind)).otherwise(0.0).alias("a"),
+        F.coalesce("_seen", F.lit(False)).alias("va"), F.col("_int").alias("b"), F.col("_iv").alias("vb"))
+
+    def row(name, score, valid):
+        return F.struct(F.lit(name).alias("scorer"), score.alias("score"), valid.alias("valid"))
+
+    a, b, va, vb = (F.col(c) for c in ("a", "b", "va", "vb"))
+    rows = F.array(row("individual", a, va), row("interaction", b, vb), row("combined", a + b, va | vb))
+    return wide.select(*KEY, F.explode(rows).alias("r")).select(*KEY, "r.score", "r.valid", "r.scorer")
+
+
+def all_scene_scores(agents: DataFrame, cfg: ScoreConfig) -> DataFrame:
+    """(scenario_id, scorer, scene_score) of the long agent scores; the combined score averages the other two."""
+    def part(name):
+        mine = F.col("scorer") == name
+        n = F.greatest(F.count(F.when(mine & F.col("valid"), 1)), F.lit(1))
+        return _clip(F.coalesce(F.sum(F.when(mine, F.col("score"))), F.lit(0.0)) / n, cfg)
+
+    both = agents.groupBy("scenario_id").agg(part("individual").alias("a"), part("interaction").alias("b"))
+    total = _clip(F.lit(cfg.combine_weight) * (F.col("a") + F.col("b")), cfg)
+    rows = F.array(*[F.struct(F.lit(n).alias("scorer"), v.alias("scene_score")) for n, v in (
+        ("individual", F.col("a")), ("interaction", F.col("b")), ("combined", total))])
+    return both.select("scenario_id", F.explode(rows).alias("r")).select("scenario_id", "r.scene_score", "r.scorer")
 
 
 def missing_features(scenarios: DataFrame, features: DataFrame) -> DataFrame:

@@ -114,7 +114,8 @@ class Data:
 
     @property
     def individual(self):
-        return self.keep("individual", lambda: jobs.individual(self.tables, threshold=0.5, k_lanes=3))
+        return self.keep("individual", lambda: jobs.individual(
+            self.tables, threshold=0.5, k_lanes=3, stage=materialize))
 
     @property
     def pairs(self):
@@ -139,7 +140,7 @@ class Data:
 
     @property
     def scene_scores(self):
-        return self.keep("scene_scores", lambda: jobs.scores(self.tables, self.individual, self.pairs, PIPE)[1]) \
+        return self.keep("scene_scores", lambda: S.all_scene_scores(self.agent_scores, PIPE)) \
             .withColumnRenamed("scorer", "key")
 
     @property
@@ -485,7 +486,7 @@ def _(d):
 
 @query("F16_individual_features")
 def _(d):
-    return jobs.individual(d.tables, threshold=0.5, k_lanes=3)
+    return jobs.individual(d.tables, threshold=0.5, k_lanes=3, stage=materialize)
 
 
 # --- map and distances --------------------------------------------------------------------------------------------
@@ -867,5 +868,5 @@ def _(d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scene criticality: motion features, ego pairs, weights and the three scene scores."""
     d = Data(spark, sf_dir)
-    return plain(jobs.scores(d.tables, jobs.individual(d.tables, threshold=0.5, k_lanes=3),
-                             P.pair_features(d.points, d.scenarios), PIPE)[1])
+    ind = jobs.individual(d.tables, threshold=0.5, k_lanes=3, stage=materialize)
+    return plain(jobs.scores(d.tables, ind, P.pair_features(d.points, d.scenarios), PIPE)[1])

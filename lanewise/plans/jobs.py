@@ -15,7 +15,7 @@ from lanewise.operators import probing as C
 from lanewise.operators import profiling as A
 from lanewise.operators import scoring as S
 from lanewise.schema import PRESETS, ScoreConfig
-from lanewise.session import stored
+from lanewise.session import materialize, stored
 
 
 @dataclass
@@ -30,15 +30,17 @@ class Tables:
     signals: DataFrame | None = None
 
 
-def individual(t: Tables, *, criterion: str = "critical", threshold: float = 0.1, k_lanes: int = 16) -> DataFrame:
-    """Per-agent features with whatever the map allows."""
+def individual(t: Tables, *, criterion: str = "critical", threshold: float = 0.1, k_lanes: int = 16,
+               stage=None) -> DataFrame:
+    """Per-agent features with whatever the map allows. With `stage` the motion summary is written once and reused."""
     cps = near = None
     if t.map_points is not None:
         cps = M.conflict_points(t.map_points, t.signals, threshold=threshold)
         if t.lanes is not None:
             near = M.closest_lanes(t.points, t.map_points, k=k_lanes)
     return I.individual_features(
-        t.points, t.scenarios, criterion=criterion, conflict_points=cps, closest_lanes=near, lanes=t.lanes)
+        t.points, t.scenarios, criterion=criterion, conflict_points=cps, closest_lanes=near, lanes=t.lanes,
+        stage=stage)
 
 
 def features(t: Tables, cfg: ScoreConfig, *, criterion: str = "critical", include_vehicle_free: bool = True):
@@ -53,22 +55,21 @@ def features(t: Tables, cfg: ScoreConfig, *, criterion: str = "critical", includ
     return individual(t, criterion=criterion), pairs, dist
 
 
-def scores(t: Tables, ind: DataFrame, pairs: DataFrame, cfg: ScoreConfig, *, thresholds: dict | None = None):
-    """(agent scores, scene scores) of the scenarios that have features; see `scoring.missing_features` for the rest."""
+def scores(t: Tables, ind: DataFrame, pairs: DataFrame, cfg: ScoreConfig, *, thresholds: dict | None = None, stage=None):
+    """(agent scores, scene scores) of the scenarios that have features; see `scoring.missing_features` for the rest.
+
+    With `stage` the agent table is written once and the scene table read from it.
+    """
     have = ind.select("scenario_id").distinct()
     keep = lambda df: df.join(have, "scenario_id", "left_semi")
     agents, scen = keep(t.agents), keep(t.scenarios)
-    if thresholds is None:
-        return S.score_scenarios(t.points, agents, scen, ind, pairs, cfg)
     weights = S.agent_weights(agents, scen, cfg, points=t.points)
-    a = S.individual_scores(ind, weights, cfg, thresholds=thresholds.get("individual"))
-    b = S.interaction_scores(pairs, weights, cfg, scen, thresholds=thresholds.get("interaction"))
-    both = S.combined_scores(a, b)
-    sa, sb = S.scene_scores(a, cfg), S.scene_scores(b, cfg)
-    tag = lambda df, n: df.withColumn("scorer", F.lit(n))
-    return (tag(a, "individual").unionByName(tag(b, "interaction")).unionByName(tag(both, "combined")),
-            tag(sa, "individual").unionByName(tag(sb, "interaction")).unionByName(
-                tag(S.combined_scene_scores(sa, sb, cfg), "combined")))
+    if stage:
+        weights = stage(weights, "weights")
+    out = S.agent_scores(weights, ind, pairs, cfg, scen, thresholds=thresholds)
+    if stage:
+        out = stage(out, "agent_scores")
+    return out, S.all_scene_scores(out, cfg)
 
 
 def probes(t: Tables, cfg: ScoreConfig, *, stage=None, **options) -> DataFrame:
@@ -92,7 +93,7 @@ class Profile:
 
     def individual(self) -> DataFrame:
         return self._stage("individual", lambda: individual(
-            self.t, criterion=self.criterion, **self.map_options))
+            self.t, criterion=self.criterion, stage=materialize, **self.map_options))
 
     def pairs(self) -> DataFrame:
         return self._stage("pairs", lambda: P.pair_features(
