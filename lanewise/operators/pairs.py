@@ -389,20 +389,24 @@ def closest_agent_distances(
         else targets.select(*KEY).distinct()
     )
     pts = valid_points(points) if valid_only else points
-    step = F.struct("t", "x", "y", "z")
-    packed = pts.groupBy(*KEY).agg(F.sort_array(F.collect_list(step)).alias("_seen"))
-    kind = packed.schema["_seen"].dataType.elementType.simpleString()
-    null = F.lit(None).cast(kind)
-    hole = null if valid_only else F.struct(F.lit(None).cast("int").alias("t"), *[
-        F.lit(0.0).alias(c) for c in ("x", "y", "z")]).cast(kind)
-    dense = _by_step("_seen", hole, null)
-    packed = packed.withColumn("steps", dense).drop("_seen")
-    if not valid_only:
-        packed = packed.join(scenarios.select("scenario_id", "n_steps"), "scenario_id").withColumn(
-            "steps", F.concat("steps", F.array_repeat(hole, F.col("n_steps") - F.size("steps")))).drop("n_steps")
-    aim = packed.join(goal, KEY, "left_semi").select(
+    sizes = scenarios.select("scenario_id", "n_steps")
+
+    def pack(rows: DataFrame) -> DataFrame:
+        packed = rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("t", "x", "y", "z"))).alias("_seen"))
+        kind = packed.schema["_seen"].dataType.elementType.simpleString()
+        null = F.lit(None).cast(kind)
+        hole = null if valid_only else F.struct(F.lit(None).cast("int").alias("t"), *[
+            F.lit(0.0).alias(c) for c in ("x", "y", "z")]).cast(kind)
+        steps = _by_step("_seen", hole, null)
+        if valid_only:
+            return packed.select(*KEY, steps.alias("steps"))
+        return packed.join(sizes, "scenario_id").withColumn("_steps", steps).select(*KEY, F.concat(
+            "_steps", F.array_repeat(hole, F.col("n_steps") - F.size("_steps"))).alias("steps"))
+
+    # The targets' rows are picked before packing, so that only they travel to the other side of the join.
+    aim = pack(pts.join(goal, KEY, "left_semi")).select(
         "scenario_id", F.col("agent_idx").alias("target_idx"), F.col("steps").alias("goal"))
     near = F.filter(F.zip_with("steps", "goal", lambda p, q: X.norm3(
         p["x"] - q["x"], p["y"] - q["y"], p["z"] - q["z"])), lambda d: d.isNotNull() & ~F.isnan(d))
-    return packed.join(aim, "scenario_id").select(
+    return pack(pts).join(aim, "scenario_id").select(
         *KEY, "target_idx", F.coalesce(F.array_min(near), X.lit_d(X.INF)).alias("distance"))

@@ -48,25 +48,31 @@ def features(t: Tables, cfg: ScoreConfig, *, criterion: str = "critical", includ
     ego = cfg.weighting == "ego_distance"
     pairs = P.pair_features(t.points, t.scenarios, scope="ego" if ego else "all", criterion=criterion,
                             include_vehicle_free=include_vehicle_free)
-    if ego:
-        dist = P.closest_agent_distances(t.points, t.scenarios)
-    else:
-        dist = P.closest_agent_distances(t.points, t.scenarios, to="all", targets=t.agents)
-    return individual(t, criterion=criterion), pairs, dist
+    return individual(t, criterion=criterion), pairs, distances(t, cfg)
 
 
-def scores(t: Tables, ind: DataFrame, pairs: DataFrame, cfg: ScoreConfig, *, thresholds: dict | None = None, stage=None):
+def distances(t: Tables, cfg: ScoreConfig) -> DataFrame | None:
+    """The closest distances the weights need: to the ego, to the relevant agents, or none for uniform weights."""
+    if cfg.weighting == "ego_distance":
+        return P.closest_agent_distances(t.points, t.scenarios)
+    if cfg.weighting == "relevant_distance" and "relevance" in t.agents.columns:
+        return P.closest_agent_distances(t.points, t.scenarios, to="relevant", targets=t.agents.filter("relevance > 0"))
+    return None
+
+
+def scores(t: Tables, ind: DataFrame, pairs: DataFrame, cfg: ScoreConfig, *, thresholds: dict | None = None,
+           stored_distances: DataFrame | None = None, stage=None):
     """(agent scores, scene scores) of the scenarios that have features; see `scoring.missing_features` for the rest.
 
-    With `stage` the agent table is written once and the scene table read from it.
+    `stored_distances` are those of :func:`distances`; without them they are measured again. With `stage` the agent
+    table is written once and the scene table read from it.
     """
-    have = ind.select("scenario_id").distinct()
-    keep = lambda df: df.join(have, "scenario_id", "left_semi")
-    agents, scen = keep(t.agents), keep(t.scenarios)
-    weights = S.agent_weights(agents, scen, cfg, points=t.points)
+    known = {f"{cfg.weighting.split('_')[0]}_distances": stored_distances} if stored_distances is not None else {}
+    weights = S.agent_weights(t.agents, t.scenarios, cfg, points=t.points, **known)
     if stage:
         weights = stage(weights, "weights")
-    out = S.agent_scores(weights, ind, pairs, cfg, scen, thresholds=thresholds)
+    out = S.agent_scores(weights, ind, pairs, cfg, t.scenarios, thresholds=thresholds).join(
+        ind.select("scenario_id").distinct(), "scenario_id", "left_semi")
     if stage:
         out = stage(out, "agent_scores")
     return out, S.all_scene_scores(out, cfg)
