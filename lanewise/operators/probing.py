@@ -12,7 +12,8 @@ from lanewise.operators import pairs as P
 from lanewise.operators.individual import valid_points
 from lanewise.operators.limits import attach
 from lanewise.operators.scoring import agent_weights, distance_weight, pair_scores, scene_score_from_pairs
-from lanewise.schema import MIN_VALID, Limits, PairStatus, ScoreConfig
+from lanewise.schema import MIN_VALID, Limits, ScoreConfig
+from lanewise.session import materialize
 
 KEY = ["scenario_id", "agent_idx"]
 PROBE = ["scenario_id", "probed"]
@@ -200,9 +201,10 @@ def find_probes(
 ) -> DataFrame:
     """At most one row per scene: the most critical probe with scores before and after and the affected agents.
 
-    `stage(df, name)` may write a table that is read more than once (altered tracks, probe pairs) and return it.
+    `stage(df, name)` writes a table that is read more than once (altered tracks, pair changes, winners) and returns it
+    read back; by default into the shared folder of the session.
     """
-    stage = stage or (lambda df, name: df)
+    stage = stage or materialize
     altered = PROBES[probe](points, scenarios)
     if skip_types:
         altered = altered.filter(~F.col("agent_type").isin(*skip_types))

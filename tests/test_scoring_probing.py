@@ -110,12 +110,13 @@ def test_probe_finds_the_braking_follower(spark):
     far = [(t, 20, 60, 5, 0, 0, True) for t in range(n)]
     pts = points(spark, {0: ego, 1: car, 2: far}, {0: 5, 1: 1, 2: 1}, length=4.0)
     s, a = scenarios(spark, now=8, n=n), agents(spark, {0: 5, 1: 1, 2: 1})
-    got = C.find_probes(pts, a, s, PRESETS["probe"], min_delta=1.0).collect()
+    found = C.find_probes(pts, a, s, PRESETS["probe"], min_delta=1.0)
+    got = found.collect()
     assert len(got) == 1
     r = got[0]
     assert r.probed_agent == 0 and r.is_ego and r.score_after > r.score_before
     assert [x.other for x in r.affected] == [1] and r.affected[0].metric == "TTC" and r.affected[0].t >= 8
-    text = C.probe_summary(C.find_probes(pts, a, s, PRESETS["probe"]), s).collect()[0]
+    text = C.probe_summary(found, s).collect()[0]
     assert text.probe_found == "yes" and text.affected_agent_ids == "1"
     assert float(text.score_delta) == pytest.approx(r.score_after - r.score_before, abs=1e-6)
     none = C.find_probes(pts, a, s, PRESETS["probe"], min_delta=1e6)
