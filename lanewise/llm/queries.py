@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm.common import table
+from lanewise.llm.licenses import scan_licenses
 from lanewise.llm.packing import pack
 
 
@@ -12,8 +13,13 @@ def op8_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op10_license_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op8_power_of_two_packing": op8_power_of_two_packing,
+    "op10_license_diagonal_voting": op10_license_diagonal_voting,
 }
 
 ORACLES: dict[str, str] = {}
