@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm.common import table
 from lanewise.llm.licenses import scan_licenses
+from lanewise.llm.ngram_join import jaccard_components
 from lanewise.llm.packing import pack
 
 
@@ -17,7 +18,12 @@ def op10_license_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_adaptive_prefix_join": op9_adaptive_prefix_join,
     "op8_power_of_two_packing": op8_power_of_two_packing,
     "op10_license_diagonal_voting": op10_license_diagonal_voting,
 }
