@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm.common import table
+from lanewise.llm.decontamination import find_leaks
 from lanewise.llm.licenses import scan_licenses
 from lanewise.llm.ngram_join import jaccard_components
 from lanewise.llm.packing import pack
@@ -22,7 +23,12 @@ def op9_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_block_max_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op6_block_max_decontamination": op6_block_max_decontamination,
     "op9_adaptive_prefix_join": op9_adaptive_prefix_join,
     "op8_power_of_two_packing": op8_power_of_two_packing,
     "op10_license_diagonal_voting": op10_license_diagonal_voting,
