@@ -22,7 +22,7 @@ from lanewise.llm.components import components
 HELD = 400_000
 BLOCKS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("metas", pa.binary())])
 BLOCKS_SQL = "part int, keys binary, nodes binary, metas binary"
-ENTRY_BYTES = 24
+ENTRY_BYTES = 20
 
 
 class Posting:
@@ -32,7 +32,7 @@ class Posting:
         self.parts, self.held, self.size = parts, [], 0
 
     def add(self, key: np.ndarray, node: np.ndarray, meta: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((key.view(np.int64), node.view(np.int64), meta.astype(np.int64)))
+        self.held.append((key.view(np.int64), node.view(np.int64), meta.astype(np.int32)))
         self.size += len(key)
         if self.size >= HELD:
             yield from self.flush()
@@ -60,7 +60,8 @@ def stars(blocks: DataFrame, parts: int, name: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            key, node, meta = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("keys", "nodes", "metas"))
+            key, node = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("keys", "nodes"))
+            meta = np.frombuffer(b"".join(batch.column("metas").to_pylist()), np.int32).astype(np.int64)
             order = np.argsort(key, kind="stable")
             key, node, meta = key[order], node[order], meta[order]
             new = np.ones(len(key), bool)
@@ -85,6 +86,30 @@ def stars(blocks: DataFrame, parts: int, name: str) -> DataFrame:
         task, "key long, node long, meta long, hub long, hub_meta long").distinct(), name)
 
 
+class Sieve:
+    """A bit per slot of a fixed number of slots: lets a task skip what certainly isn't wanted before it is shuffled."""
+
+    def __init__(self, wanted: DataFrame, column: str, log2: int = 23):
+        slot = F.shiftrightunsigned(F.col(column), 64 - log2)
+        bits = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, CAST(slot AS INT) & 63)")).alias("bits"))
+        table = np.zeros(1 << (log2 - 6), np.int64)
+        # One row per 64 slots at most.
+        for r in bits.collect():
+            table[r["word"]] = r["bits"]
+        self.shift, self.bits = np.uint64(64 - log2), wanted.sparkSession.sparkContext.broadcast(table)
+
+    def may_hold(self, x: np.ndarray) -> np.ndarray:
+        slot = x.view(np.uint64) >> self.shift
+        return (self.bits.value.view(np.uint64)[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+    def __getstate__(self):
+        return self.shift, self.bits
+
+    def __setstate__(self, state):
+        self.shift, self.bits = state
+
+
 def link(star: DataFrame, fits: Callable, verify: Callable[[DataFrame], DataFrame], name: str, top: int = 3) -> DataFrame:
     """(node, component) of all nodes that verified pairs join.
 

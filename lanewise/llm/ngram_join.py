@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lanewise.llm.common import materialize, parts_for
 from lanewise.llm.hashing import WHITE, grams, runs, words
-from lanewise.llm.linking import BLOCKS_SQL, ENTRY_BYTES, Posting, link, stars
+from lanewise.llm.linking import BLOCKS_SQL, ENTRY_BYTES, Posting, Sieve, link, stars
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -142,17 +142,24 @@ def _fits(shared: Column | None, a: Column, b: Column) -> Column:
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, grams) of wanted (doc_id, node); a row of that doc_id that is another set is skipped."""
-    schema = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
+    """(node, grams) of the wanted nodes. Tasks skip the sets that a fixed-size sieve excludes; a join decides on the rest."""
+    sieve, schema = Sieve(wanted, "node"), pa.schema([("node", pa.int64()), ("grams", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            node = batch.column("node").to_pylist()
-            for first, sets in shingle_sets(batch):
-                own = [(node[first + i], s.tobytes()) for i, s in enumerate(sets) if len(s) and node_of(s) == node[first + i]]
+            for _, sets in shingle_sets(batch):
+                sets = [s for s in sets if len(s)]
+                node = np.array([node_of(s) for s in sets], np.int64)
+                own = []
+                for i in np.flatnonzero(sieve.may_hold(node)).tolist():
+                    if (x := int(node[i])) not in seen:
+                        seen.add(x)
+                        own.append((x, sets[i].tobytes()))
                 yield pa.record_batch([pa.array([x[i] for x in own], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return docs.join(wanted, "doc_id").select("text", "node").mapInArrow(task, "node long, grams binary").dropDuplicates(["node"])
+    found = docs.select("text").mapInArrow(task, "node long, grams binary")
+    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,7 +195,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     star = stars(_prefixes(docs, _count_table(measured), parts), parts, "ngram-stars")
     held = star.select("node").union(star.select("hub")).distinct()
     first = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(_candidate_sets(docs, held.join(first, "node")), "ngram-sets")
+    sets = materialize(_candidate_sets(docs, held), "ngram-sets")
     joined = link(star, _fits, lambda pairs: _verify(pairs, sets), "ngram")
     named = first.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

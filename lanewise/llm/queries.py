@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanewise.llm.common import table
 from lanewise.llm.decontamination import find_leaks
 from lanewise.llm.licenses import scan_licenses
+from lanewise.llm.line_dedup import dedup_lines
 from lanewise.llm.ngram_join import jaccard_components
 from lanewise.llm.packing import pack
 
@@ -27,7 +28,12 @@ def op6_block_max_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_minhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op3_minhash_line_dedup": op3_minhash_line_dedup,
     "op6_block_max_decontamination": op6_block_max_decontamination,
     "op9_adaptive_prefix_join": op9_adaptive_prefix_join,
     "op8_power_of_two_packing": op8_power_of_two_packing,
