@@ -10,6 +10,7 @@ from lanewise.llm.licenses import scan_licenses
 from lanewise.llm.line_dedup import dedup_lines
 from lanewise.llm.ngram_join import jaccard_components
 from lanewise.llm.packing import pack
+from lanewise.llm.quality import score_quality
 
 
 def op8_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +33,12 @@ def op3_minhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op4_positive_unlabelled_quality": op4_positive_unlabelled_quality,
     "op3_minhash_line_dedup": op3_minhash_line_dedup,
     "op6_block_max_decontamination": op6_block_max_decontamination,
     "op9_adaptive_prefix_join": op9_adaptive_prefix_join,
