@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm.common import table
 from lanewise.llm.decontamination import find_leaks
+from lanewise.llm.language import identify
 from lanewise.llm.licenses import scan_licenses
 from lanewise.llm.line_dedup import dedup_lines
 from lanewise.llm.ngram_join import jaccard_components
@@ -37,7 +38,12 @@ def op4_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFra
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_partial_matching_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_partial_matching_language": op7_partial_matching_language,
     "op4_positive_unlabelled_quality": op4_positive_unlabelled_quality,
     "op3_minhash_line_dedup": op3_minhash_line_dedup,
     "op6_block_max_decontamination": op6_block_max_decontamination,
