@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+VALUES = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 CHUNK = 1 << 20
 
 
@@ -71,22 +71,27 @@ def runs(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> Ite
         i = j
 
 
-def _prefix(values: np.ndarray) -> np.ndarray:
+def prefix_sums(values: np.ndarray) -> np.ndarray:
     power, _ = _powers_to(len(values) + 1)
     out = np.zeros(len(values) + 1, U)
     np.cumsum(values * power[:len(values)], out=out[1:])
     return out
 
 
-def _spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     _, inverse = _powers_to(len(prefix))
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U) * U(0xE7037ED1A0B428DB))
 
 
-def word_spans(off: np.ndarray, data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a run of rows, and where each row's words begin among them (one more at the end)."""
+def word_spans(off: np.ndarray, data: np.ndarray, table: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a run of rows, and where each row's words begin among them (one more at the end).
+
+    `cuts` marks bytes at which a word begins anew.
+    """
     inside = ~table[data]
     first = np.zeros(len(data) + 1, bool)
+    if cuts is not None:
+        first[:-1] = cuts
     first[off] = True
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside
@@ -98,9 +103,9 @@ def word_spans(off: np.ndarray, data: np.ndarray, table: np.ndarray) -> tuple[np
 
 def words(off: np.ndarray, data: np.ndarray, table: np.ndarray = WHITE, lower: bool = True):
     """(hash of every word, where each row's words begin, starts, ends); A-Z are lower-cased first unless told otherwise."""
-    data = _LOWER[data] if lower else data
+    data = LOWER[data] if lower else data
     start, end, rows = word_spans(off, data, table)
-    return _spans(_prefix(_VALUES[data]), start, end), rows, start, end
+    return span_hashes(prefix_sums(VALUES[data]), start, end), rows, start, end
 
 
 def grams(word: np.ndarray, rows: np.ndarray, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +120,7 @@ def grams(word: np.ndarray, rows: np.ndarray, k: int, short: bool = False) -> tu
     begin = np.concatenate(([0], np.cumsum(count)))
     at = np.repeat(rows[:-1] - begin[:-1], count) + np.arange(begin[-1])
     end = np.minimum(at + k, np.repeat(rows[1:], count))
-    return _spans(_prefix(word), at, end), begin
+    return span_hashes(prefix_sums(word), at, end), begin
 
 
 def code_points(text: str) -> np.ndarray:
@@ -129,7 +134,7 @@ def char_grams(points: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     begin = np.concatenate(([0], np.cumsum(count)))
     at = np.repeat(off[:-1] - begin[:-1], count) + np.arange(begin[-1])
     end = np.minimum(at + k, np.repeat(off[1:], count))
-    return _spans(_prefix(mix(points.astype(U) + U(1))), at, end), begin
+    return span_hashes(prefix_sums(mix(points.astype(U) + U(1))), at, end), begin
 
 
 def hash_words(text: bytes, table: np.ndarray = WHITE, lower: bool = True) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.hashing import runs, separators, words
+from lanewise.llm.hashing import LOWER, VALUES, prefix_sums, runs, separators, span_hashes, word_spans
 
 END_ID = 2
 MAX_TOKENS = 4096
@@ -35,51 +35,74 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = ~_ALNUM[33:127]
+
+
 @functools.cache
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+    return tokenizer, ends, {}
 
 
 class Encoder:
     """Ids of whole texts, by the ids of their distinct words.
 
-    The tokenizer drops white space and merges inside words only, so the ids of a text are those of its words one after
-    another. A text that names a special token is given to the tokenizer whole.
+    The tokenizer drops white space, merges inside words only, always parts an ASCII letter or digit from a mark that follows it, and
+    lower-cases. So the ids of a text are those of its words, cut there, one after another, and ASCII words are known by their lower
+    case. A text that names a special token is given to the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path)
+        self.tokenizer, self.ends, self.known = _tokenizer(path)
 
     def _learn(self, missing: list[bytes]) -> None:
+        """Encode words many at a time, joined by spaces."""
         if len(self.known) + len(missing) > CACHE_WORDS:
             self.known.clear()
-        for i in range(0, len(missing), 4096):
-            part = missing[i:i + 4096]
-            # An encoding of words joined by spaces; offsets tell whose each id is.
+        plain = [w for w in missing if w.isalpha()]
+        for i in range(0, len(plain), 4096):
+            part = plain[i:i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join([w.decode() for w in part]), add_special_tokens=False).ids, np.uint32)
+            # A word of letters alone ends where a token with the end mark stands.
+            cut = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+        other = [w for w in missing if not w.isalpha()]
+        for i in range(0, len(other), 4096):
+            part = other[i:i + 4096]
             texts = [w.decode("utf-8", "replace") for w in part]
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
             found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-            owner = np.searchsorted(np.cumsum(sizes + 1), at, "right")
-            cut = np.searchsorted(owner, np.arange(len(part) + 1))
-            ids = np.array(found.ids, np.uint32)
-            for j, w in enumerate(part):
-                self.known[w] = ids[cut[j]:cut[j + 1]].tobytes()
+            owner = np.searchsorted(np.cumsum(size + 1), at, "right")
+            cut = (np.searchsorted(owner, np.arange(len(part) + 1)) * 4).tolist()
+            raw = np.array(found.ids, np.uint32).tobytes()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True))
 
     def encode(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of rows, one after another, and where each row's begin."""
-        h, rows, start, end = words(off, data, _GAPS, lower=False)
+        cuts = np.zeros(len(data), bool)
+        cuts[1:] = _ALNUM[data[:-1]] & _MARK[data[1:]]
+        start, end, rows = word_spans(off, data, _GAPS, cuts)
+        ascii_only = np.diff(np.concatenate(([0], np.cumsum(data > 127)))[np.stack((start, end))], axis=0)[0] == 0
+        small = LOWER[data]
+        h = np.where(ascii_only, *(span_hashes(prefix_sums(VALUES[d]), start, end) for d in (small, data)))
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        keys = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        self._learn([w for w in keys if w not in self.known])
-        if len(missing := [w for w in keys if w not in self.known]):  # a run of more distinct words than the worker keeps
+        raw, low = data.tobytes(), small.tobytes()
+        keys = [(low if x else raw)[a:b] for a, b, x in zip(start[first].tolist(), end[first].tolist(), ascii_only[first].tolist(), strict=True)]
+        known = self.known
+        if missing := [w for w in keys if w not in known]:
+            self._learn(missing)
+        if missing := [w for w in keys if w not in known]:  # the cache began anew
             self._learn(missing)
-        ids = [self.known[w] for w in keys]
+        ids = [known[w] for w in keys]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
         begin = np.concatenate(([0], np.cumsum(size)))
