@@ -11,6 +11,7 @@ from lanewise.llm.licenses import scan_licenses
 from lanewise.llm.line_dedup import dedup_lines
 from lanewise.llm.ngram_join import jaccard_components
 from lanewise.llm.packing import pack
+from lanewise.llm.pii import find_pii
 from lanewise.llm.quality import score_quality
 
 
@@ -42,7 +43,12 @@ def op7_partial_matching_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op7_partial_matching_language": op7_partial_matching_language,
     "op4_positive_unlabelled_quality": op4_positive_unlabelled_quality,
     "op3_minhash_line_dedup": op3_minhash_line_dedup,
