@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm.common import table
 from lanewise.llm.decontamination import find_leaks
+from lanewise.llm.embedding_join import near_duplicates
 from lanewise.llm.language import identify
 from lanewise.llm.licenses import scan_licenses
 from lanewise.llm.line_dedup import dedup_lines
@@ -47,7 +48,12 @@ def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_grid_order_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op2_grid_order_embeddings": op2_grid_order_embeddings,
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op7_partial_matching_language": op7_partial_matching_language,
     "op4_positive_unlabelled_quality": op4_positive_unlabelled_quality,
