@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanewise.llm.common import table
 from lanewise.llm.decontamination import find_leaks
 from lanewise.llm.embedding_join import near_duplicates
+from lanewise.llm.html_text import extract_text
 from lanewise.llm.language import identify
 from lanewise.llm.licenses import scan_licenses
 from lanewise.llm.line_dedup import dedup_lines
@@ -52,7 +53,12 @@ def op2_grid_order_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_layout_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op5_layout_html_text": op5_layout_html_text,
     "op2_grid_order_embeddings": op2_grid_order_embeddings,
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op7_partial_matching_language": op7_partial_matching_language,
