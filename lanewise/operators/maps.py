@@ -75,11 +75,11 @@ def signal_steps(signals: DataFrame) -> DataFrame:
     return signals.join(seen.withColumn("step", step.cast("int")), ["scenario_id", "t"])
 
 
-def dynamic_conflict_points(signals: DataFrame, *, all_signals: bool = False, ndim: int = 3) -> DataFrame:
-    """Stop points of the first signal step. They count only where exactly `ndim` of them exist, unless `all_signals`."""
+def dynamic_conflict_points(signals: DataFrame, *, only_full_sets: bool = False, ndim: int = 3) -> DataFrame:
+    """Stop points of the first signal step; with `only_full_sets`, of scenes that have exactly `ndim` of them."""
     per = signals.groupBy("scenario_id").agg(F.min("t").alias("t"))
     first = signals.join(per, ["scenario_id", "t"])
-    if not all_signals:
+    if only_full_sets:
         n = first.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == ndim)
         first = first.join(n, "scenario_id", "left_semi")
     return first.select("scenario_id", F.lit("dynamic").alias("kind"), "x", "y", "z")
@@ -87,14 +87,14 @@ def dynamic_conflict_points(signals: DataFrame, *, all_signals: bool = False, nd
 
 def conflict_points(
     map_points: DataFrame, signals: DataFrame | None = None, *, resample_factor: int = 1, threshold: float = 0.1,
-    ndim: int = 3, all_signals: bool = False, kinds: tuple[str, ...] = ("static", "dynamic", "lane_intersection"),
+    ndim: int = 3, only_full_sets: bool = False, kinds: tuple[str, ...] = ("static", "dynamic", "lane_intersection"),
 ) -> DataFrame:
     """(scenario_id, kind, x, y, z) of every conflict point of the requested kinds."""
     parts = []
     if "static" in kinds:
         parts.append(static_conflict_points(map_points, resample_factor=resample_factor))
     if "dynamic" in kinds and signals is not None:
-        parts.append(dynamic_conflict_points(signals, all_signals=all_signals, ndim=ndim))
+        parts.append(dynamic_conflict_points(signals, only_full_sets=only_full_sets, ndim=ndim))
     if "lane_intersection" in kinds:
         parts.append(lane_intersections(map_points, threshold=threshold, ndim=ndim))
     out = parts[0]
@@ -122,7 +122,7 @@ def reaches_conflict(points: DataFrame, conflicts: DataFrame, *, within: float)
 
 
 def closest_lanes(
-    points: DataFrame, map_points: DataFrame, *, k: int = 16, threshold: float = 10.0, subsample: int = 2, ndim: int = 3
+    points: DataFrame, map_points: DataFrame, *, k: int = 16, threshold: float = 10.0, subsample: int = 1, ndim: int = 3
 ) -> DataFrame:
     """K nearest lanes of each valid agent step: (.., t, rank, lane_idx, distance, point_idx, proj_x, proj_y, proj_z).
 

@@ -28,7 +28,7 @@ def pair_speed(vx: Column, vy: Column) -> Column:
 def pack_tracks(points: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """One row per agent: `steps[t]` is struct(t, x, y, z, v, h, len), null where the agent is not valid.
 
-    Agents that are never valid keep a row with no steps.
+    Agents that are never valid keep a row with no steps. Of repeated rows of a step the smallest by (x, y, z, ...) counts.
     """
     step = F.struct(
         "t", "x", "y", "z", pair_speed(F.col("vx"), F.col("vy")).alias("v"), F.degrees("heading").alias("h"),
@@ -37,13 +37,14 @@ def pack_tracks(points: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
         F.first("agent_type").alias("agent_type"),
         F.sort_array(F.collect_list(F.when(X.is_valid(F.col("valid")), step))).alias("_seen"))
     hole = F.lit(None).cast(seen.schema["_seen"].dataType.elementType.simpleString())
-    return seen.select(*keys, "agent_type", _by_step("_seen", hole, hole).alias("steps"))
+    return seen.select(*keys, "agent_type", _by_step("_seen", hole).alias("steps"))
 
 
-def _by_step(seen: str, hole: Column, null: Column) -> Column:
-    """Place time-ordered structs at their step index, filling skipped steps with `hole`."""
-    return F.aggregate(seen, F.array_repeat(null, 0), lambda acc, s: F.concat(
-        acc, F.array_repeat(hole, s["t"] - F.size(acc)), F.array(s)))
+def _by_step(seen: str, hole: Column) -> Column:
+    """Place time-ordered structs at their step index, filling skipped steps with `hole`. Of a repeated step the first stays."""
+    before = lambda i: F.coalesce(F.get(F.col(seen), i - 1)["t"], F.lit(-1))
+    return F.flatten(F.transform(seen, lambda s, i: F.when(s["t"] == before(i), F.array_repeat(hole, 0)).otherwise(
+        F.concat(F.array_repeat(hole, s["t"] - before(i) - 1), F.array(s)))))
 
 
 def agent_table(points: DataFrame) -> DataFrame:
@@ -319,8 +320,8 @@ def pair_features(
 ) -> DataFrame:
     """Interaction features of every pair in scope.
 
-    Ego scope returns all pairs. All scope returns the pairs found by the grid join; the remaining pairs are too far
-    (or out of scope) by construction, are counted by :func:`pair_totals`, and are listed only with `far_pairs`.
+    Ego scope returns all pairs. All scope returns the pairs of the grid join that are not too far, wherever the grid lies; the
+    remaining pairs are counted by :func:`pair_totals`, and are listed only with `far_pairs`.
     """
     tracks = pack_tracks(points)
     if scope == "ego":
@@ -331,7 +332,10 @@ def pair_features(
         raise ValueError(f"unsupported pair scope {scope!r}; expected 'all' or 'ego'")
     rows, lim = attach(rows, scenarios, limits=limits)
     near = pair_metrics(rows, PAIR, lim, criterion=criterion, include_vehicle_free=include_vehicle_free)
-    if scope == "ego" or not far_pairs:
+    if scope == "ego":
+        return near
+    near = near.filter(F.col("status") != int(PairStatus.TOO_FAR))
+    if not far_pairs:
         return near
     rest = all_pairs(agent_table(points)).join(near.select(*PAIR), PAIR, "left_anti")
     veh = (X.fold_ego(F.col("type_i")) == 1) | (X.fold_ego(F.col("type_j")) == 1)
@@ -397,7 +401,7 @@ def closest_agent_distances(
         null = F.lit(None).cast(kind)
         hole = null if valid_only else F.struct(F.lit(None).cast("int").alias("t"), *[
             F.lit(0.0).alias(c) for c in ("x", "y", "z")]).cast(kind)
-        steps = _by_step("_seen", hole, null)
+        steps = _by_step("_seen", hole)
         if valid_only:
             return packed.select(*KEY, steps.alias("steps"))
         return packed.join(sizes, "scenario_id").withColumn("_steps", steps).select(*KEY, F.concat(

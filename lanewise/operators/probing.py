@@ -254,9 +254,16 @@ def find_probes(
     )
 
 
-def probe_summary(probes: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """One text row per scene with fixed columns; scenes without a probe say so."""
-    df = scenarios.select("scenario_id").join(probes, "scenario_id", "left")
+def probe_summary(probes: DataFrame, scenarios: DataFrame, agents: DataFrame) -> DataFrame:
+    """One text row per scene with fixed columns; scenes without a probe say so. Agents go by their ids, in the order of `affected`."""
+    ids = agents.select("scenario_id", "agent_idx", F.col("agent_id").cast("string").alias("agent_id"))
+    others = (
+        probes.select("scenario_id", F.posexplode("affected").alias("n", "a")).select("scenario_id", "n", F.col("a.other").alias("agent_idx"))
+        .join(ids, ["scenario_id", "agent_idx"]).groupBy("scenario_id")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "agent_id"))), lambda x: x["agent_id"]).alias("affected_ids")))
+    probed = ids.select("scenario_id", F.col("agent_idx").alias("probed_agent"), F.col("agent_id").alias("probed_id"))
+    df = scenarios.select("scenario_id").join(probes, "scenario_id", "left").join(
+        probed, ["scenario_id", "probed_agent"], "left").join(others, "scenario_id", "left")
     found = F.col("probed_agent").isNotNull()
     num = lambda c: F.when(found, F.format_string("%.6f", c)).otherwise("")
     return df.select(
@@ -264,8 +271,7 @@ def probe_summary(probes: DataFrame, scenarios: DataFrame) -> DataFrame:
         F.when(found, "yes").otherwise("no").alias("probe_found"),
         F.coalesce("probe_type", F.lit("N/A")).alias("probe_type"),
         F.when(~found, "N/A").when(F.col("is_ego"), "yes").otherwise("no").alias("is_ego_agent"),
-        F.coalesce(F.col("probed_agent").cast("string"), F.lit("")).alias("probed_agent_id"),
+        F.coalesce("probed_id", F.lit("")).alias("probed_agent_id"),
         num(F.col("score_before")).alias("score_before"), num(F.col("score_after")).alias("score_after"),
         num(F.col("score_after") - F.col("score_before")).alias("score_delta"),
-        F.coalesce(F.array_join(F.transform("affected", lambda a: a["other"].cast("string")), ";"), F.lit("")).alias(
-            "affected_agent_ids"))
+        F.coalesce(F.array_join("affected_ids", ";"), F.lit("")).alias("affected_agent_ids"))

@@ -125,6 +125,11 @@ def complete_scenes(scenes: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.count_distinct(F.when(good, F.col("key"))) == len(keys)).alias("complete"))
 
 
+def complete_only(scenes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The score rows of complete scenes; the others have no place in splits, overlaps and score thresholds."""
+    return scenes.join(complete_scenes(scenes, keys).filter("complete").select("scenario_id"), "scenario_id", "left_semi")
+
+
 def scene_splits(scenes: DataFrame, percentile: float = 80.0) -> DataFrame:
     """(key, scenario_id, scene_score, out_of_distribution) at a percentile of the 3-decimal scene scores."""
     rounded = scenes.select("key", "scenario_id", F.round("scene_score", 3).alias("scene_score"))

@@ -147,11 +147,17 @@ def spread_pair_scores(scores: DataFrame, weights: DataFrame, cfg: ScoreConfig,
     return out.select(*keys, "agent_idx", _no_nan(score).alias("score"), F.col("_sum").isNotNull().alias("valid"))
 
 
+def paired_scenes(weights: DataFrame) -> DataFrame:
+    """Scenes with two agents or more: only these have an interaction half."""
+    return weights.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("scenario_id")
+
+
 def interaction_scores(
     pairs: DataFrame, weights: DataFrame, cfg: ScoreConfig, scenarios: DataFrame, *, thresholds=None
 ) -> DataFrame:
-    """(scenario_id, agent_idx, score, valid); ego weighting counts ego pairs only."""
+    """(scenario_id, agent_idx, score, valid); ego weighting counts ego pairs only. A scene of one agent has no rows."""
     scores = pair_scores(pairs, cfg)
+    weights = weights.join(paired_scenes(weights), "scenario_id", "left_semi")
     if cfg.weighting == "ego_distance":
         scores = scores.join(scenarios.select("scenario_id", "ego_idx"), "scenario_id").filter(
             (F.col("i") == F.col("ego_idx")) | (F.col("j") == F.col("ego_idx")))
@@ -184,14 +190,19 @@ def combined_scene_scores(individual: DataFrame, interaction: DataFrame, cfg: Sc
 
 
 def score_category(scores: DataFrame, thresholds, column: str = "score") -> DataFrame:
-    return scores.withColumn("category", X.category(F.col(column), _cut_array(thresholds)))
+    """Category of each score; a missing score has none."""
+    return scores.withColumn("category", F.when(F.col(column).isNotNull(), X.category(F.col(column), _cut_array(thresholds))))
 
 
 def agent_scores(
     weights: DataFrame, individual: DataFrame, pairs: DataFrame, cfg: ScoreConfig, scenarios: DataFrame, *,
     thresholds: dict | None = None,
 ) -> DataFrame:
-    """All three scorers in one pass, long form: (scenario_id, agent_idx, scorer, score, valid)."""
+    """All three scorers in one pass, long form: (scenario_id, agent_idx, scorer, score, valid).
+
+    Where a scene has no interaction half its interaction score is null, and so is the validity of both it and the combined
+    score, which is then the individual one.
+    """
     cuts = thresholds or {}
     ind = F.col("weight") * INDIVIDUAL_FUNCTIONS[cfg.individual_function](cfg)
     if cuts.get("individual") is not None:
@@ -199,7 +210,7 @@ def agent_scores(
     feats = individual.drop("agent_type", "n_valid").withColumn("_seen", F.lit(True))
     inter = interaction_scores(pairs, weights, cfg, scenarios, thresholds=cuts.get("interaction")).select(
         *KEY, F.col("score").alias("_int"), F.col("valid").alias("_iv"))
-    wide = weights.join(feats, KEY, "left").join(inter, KEY).select(
+    wide = weights.join(feats, KEY, "left").join(inter, KEY, "left").select(
         *KEY, F.when(F.col("_seen"), _no_nan(ind)).otherwise(0.0).alias("a"),
         F.coalesce("_seen", F.lit(False)).alias("va"), F.col("_int").alias("b"), F.col("_iv").alias("vb"))
 
@@ -207,19 +218,23 @@ def agent_scores(
         return F.struct(F.lit(name).alias("scorer"), score.alias("score"), valid.alias("valid"))
 
     a, b, va, vb = (F.col(c) for c in ("a", "b", "va", "vb"))
-    rows = F.array(row("individual", a, va), row("interaction", b, vb), row("combined", a + b, va | vb))
+    rows = F.array(row("individual", a, va), row("interaction", b, vb), row("combined", a + F.coalesce(b, F.lit(0.0)), F.when(vb.isNotNull(), va | vb)))
     return wide.select(*KEY, F.explode(rows).alias("r")).select(*KEY, "r.score", "r.valid", "r.scorer")
 
 
 def all_scene_scores(agents: DataFrame, cfg: ScoreConfig) -> DataFrame:
-    """(scenario_id, scorer, scene_score) of the long agent scores; the combined score averages the other two."""
+    """(scenario_id, scorer, scene_score) of the long agent scores; the combined score weighs the sum of the other two.
+
+    A missing half has a null score and counts as zero in the combined one.
+    """
     def part(name):
         mine = F.col("scorer") == name
         n = F.greatest(F.count(F.when(mine & F.col("valid"), 1)), F.lit(1))
-        return _clip(F.coalesce(F.sum(F.when(mine, F.col("score"))), F.lit(0.0)) / n, cfg)
+        total = F.sum(F.when(mine, F.col("score")))
+        return F.when(total.isNotNull(), _clip(total / n, cfg))
 
     both = agents.groupBy("scenario_id").agg(part("individual").alias("a"), part("interaction").alias("b"))
-    total = _clip(F.lit(cfg.combine_weight) * (F.col("a") + F.col("b")), cfg)
+    total = _clip(F.lit(cfg.combine_weight) * (F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))), cfg)
     rows = F.array(*[F.struct(F.lit(n).alias("scorer"), v.alias("scene_score")) for n, v in (
         ("individual", F.col("a")), ("interaction", F.col("b")), ("combined", total))])
     return both.select("scenario_id", F.explode(rows).alias("r")).select("scenario_id", "r.scene_score", "r.scorer")

@@ -143,6 +143,10 @@ class Data:
         return self.keep("scene_scores", lambda: S.all_scene_scores(self.agent_scores, PIPE)) \
             .withColumnRenamed("scorer", "key")
 
+    @property
+    def complete_scores(self):
+        return A.complete_only(self.scene_scores, SCORERS)
+
     @property
     def altered(self):
         return self.keep("altered", lambda: C.constant_velocity(self.points, self.scenarios))
@@ -154,7 +158,7 @@ class Data:
 
     @property
     def summary(self):
-        return self.keep("summary", lambda: C.probe_summary(self.probes, self.scenarios))
+        return self.keep("summary", lambda: C.probe_summary(self.probes, self.scenarios, self.agents))
 
     @property
     def counts(self):
@@ -278,7 +282,7 @@ def _(d):
 @query("S17_first_keyframes")
 def _(d):
     f = d.frames.select(F.col("user_id").alias("scene"), F.col("event_id").alias("frame_id"), "ts_us")
-    return N.scene_seconds(N.first_keyframes(f, scene="scene", tie="frame_id"), scene="scene").select(
+    return N.scene_seconds(N.first_keyframes(f, scene="scene", n=13, tie="frame_id"), scene="scene").select(
         "scene", "frame_id", "keyframe", "ts_s")
 
 
@@ -503,9 +507,9 @@ def _(d):
 
 @query("M03_dynamic_conflict_points")
 def _(d):
-    five = M.dynamic_conflict_points(d.signals, all_signals=True).withColumn("rule", F.lit("all"))
-    strict = M.dynamic_conflict_points(d.signals).withColumn("rule", F.lit("strict_five"))
-    three = M.dynamic_conflict_points(D.signals(d.scenarios, 3)).withColumn("rule", F.lit("strict_three"))
+    five = M.dynamic_conflict_points(d.signals).withColumn("rule", F.lit("all"))
+    strict = M.dynamic_conflict_points(d.signals, only_full_sets=True).withColumn("rule", F.lit("strict_five"))
+    three = M.dynamic_conflict_points(D.signals(d.scenarios, 3), only_full_sets=True).withColumn("rule", F.lit("strict_three"))
     return five.unionByName(strict).unionByName(three).select("rule", "scenario_id", "x", "y")
 
 
@@ -570,7 +574,7 @@ def _(d):
 @query("P20_pair_features_all")
 def _(d):
     near = P.pair_features(d.points, d.scenarios, scope="all")
-    return _pair_out(near.filter("status <> 3"))
+    return _pair_out(near)
 
 
 @query("P06_status_all")
@@ -636,6 +640,12 @@ def _(d):
     return S.combined_scores(a, b)
 
 
+@query("W09_single_agent_scenes")
+def _(d):
+    whole = d.complete_scores.select("scenario_id").distinct()
+    return d.agent_scores.join(whole, "scenario_id", "left_anti").select(*KEY, "scorer", "score", "valid")
+
+
 @query("W09_scene_scores")
 def _(d):
     return jobs.scores(d.tables, d.individual, d.pairs, PIPE)[1]
@@ -654,7 +664,7 @@ def _(d):
 
 @query("W12_missing_features")
 def _(d):
-    return S.missing_features(d.scenarios, d.individual.filter("agent_type = 3"))
+    return S.missing_features(d.scenarios, d.individual)
 
 
 # --- probes -------------------------------------------------------------------------------------------------------
@@ -701,7 +711,7 @@ def _(d):
 
 @query("C11_probe_summary")
 def _(d):
-    return C.probe_summary(d.probes, d.scenarios).drop("score_before", "score_after", "score_delta")
+    return C.probe_summary(d.probes, d.scenarios, d.agents)
 
 
 # --- profiles -----------------------------------------------------------------------------------------------------
@@ -725,35 +735,32 @@ def _(d):
 
 @query("A04_histogram")
 def _(d):
-    speeds = A.individual_long(d.individual).filter("feature IN ('speed', 'jerk', 'kalman_difficulty')")
-    return A.histogram(speeds, ["type", "feature"]).select("type", "feature", "bin", "count", "density")
+    return A.histogram(A.individual_long(d.individual), ["type", "feature"]).select("type", "feature", "bin", "count", "density")
 
 
 @query("A05_score_thresholds")
 def _(d):
-    return A.score_thresholds(d.agent_scores)
+    return A.score_thresholds(d.agent_scores.join(d.complete_scores.select("scenario_id").distinct(), "scenario_id", "left_semi"))
 
 
 @query("A06_complete_scenes")
 def _(d):
-    scenes = d.scene_scores.withColumn("scene_score", F.when(
-        (F.col("key") != "interaction") | (F.col("scene_score") > 0), F.col("scene_score")))
-    return A.complete_scenes(scenes, SCORERS)
+    return A.complete_scenes(d.scene_scores, SCORERS)
 
 
 @query("A07_scene_splits")
 def _(d):
-    return A.scene_splits(d.scene_scores)
+    return A.scene_splits(d.complete_scores)
 
 
 @query("A07_split_sizes")
 def _(d):
-    return A.split_sizes(A.scene_splits(d.scene_scores))
+    return A.split_sizes(A.scene_splits(d.complete_scores))
 
 
 @query("A08_jaccard")
 def _(d):
-    return A.jaccard(A.scene_splits(d.scene_scores), SCORERS)
+    return A.jaccard(A.scene_splits(d.complete_scores), SCORERS)
 
 
 @query("A09_score_grid")
@@ -852,7 +859,13 @@ def _(d):
 @query("A26_profile_chain")
 def _(d):
     prof = jobs.Profile(d.spark, f"{d.root}/profile", d.tables, threshold=0.5, k_lanes=3)
-    return prof.score_categories().select(*KEY, "scorer", "score", "category")
+    return prof.score_categories().select(*KEY, "scorer", "score", "valid")
+
+
+@query("A26_scene_categories")
+def _(d):
+    prof = jobs.Profile(d.spark, f"{d.root}/profile", d.tables, threshold=0.5, k_lanes=3)
+    return prof.scene_categories().select("scenario_id", "scorer", "scene_score")
 
 
 @query("A27_ego_path_ends")

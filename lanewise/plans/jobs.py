@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.functions.expr import category
 from lanewise.operators import individual as I
 from lanewise.operators import maps as M
 from lanewise.operators import pairs as P
@@ -18,6 +17,9 @@ from lanewise.schema import PRESETS, ScoreConfig
 from lanewise.session import materialize, stored
 
 
+SCORERS = ("individual", "interaction", "combined")
+
+
 @dataclass
 class Tables:
     """The canonical tables; the map parts may be absent."""
@@ -30,14 +32,14 @@ class Tables:
     signals: DataFrame | None = None
 
 
-def individual(t: Tables, *, criterion: str = "critical", threshold: float = 0.1, k_lanes: int = 16,
+def individual(t: Tables, *, criterion: str = "critical", threshold: float = 0.1, k_lanes: int = 16, lane_step: int = 1,
                stage=None) -> DataFrame:
-    """Per-agent features with whatever the map allows. With `stage` the motion summary is written once and reused."""
+    """Per-agent features with whatever the map allows; `lane_step` takes every n-th lane point. With `stage` the motion summary is written once and reused."""
     cps = near = None
     if t.map_points is not None:
         cps = M.conflict_points(t.map_points, t.signals, threshold=threshold)
         if t.lanes is not None:
-            near = M.closest_lanes(t.points, t.map_points, k=k_lanes)
+            near = M.closest_lanes(t.points, t.map_points, k=k_lanes, subsample=lane_step)
     return I.individual_features(
         t.points, t.scenarios, criterion=criterion, conflict_points=cps, closest_lanes=near, lanes=t.lanes,
         stage=stage)
@@ -61,8 +63,9 @@ def distances(t: Tables, cfg: ScoreConfig) -> DataFrame | None:
 
 
 def scores(t: Tables, ind: DataFrame, pairs: DataFrame, cfg: ScoreConfig, *, thresholds: dict | None = None,
-           stored_distances: DataFrame | None = None, stage=None):
-    """(agent scores, scene scores) of the scenarios that have features; see `scoring.missing_features` for the rest.
+           stored_distances: DataFrame | None = None, featured: DataFrame | None = None, stage=None):
+    """(agent scores, scene scores) of all scenarios, or of those whose ids `featured` has: the ones with stored features, which
+    may hold no usable agent at all. See `scoring.missing_features` for the rest.
 
     `stored_distances` are those of :func:`distances`; without them they are measured again. With `stage` the agent
     table is written once and the scene table read from it.
@@ -71,8 +74,9 @@ def scores(t: Tables, ind: DataFrame, pairs: DataFrame, cfg: ScoreConfig, *, thr
     weights = S.agent_weights(t.agents, t.scenarios, cfg, points=t.points, **known)
     if stage:
         weights = stage(weights, "weights")
-    out = S.agent_scores(weights, ind, pairs, cfg, t.scenarios, thresholds=thresholds).join(
-        ind.select("scenario_id").distinct(), "scenario_id", "left_semi")
+    if featured is not None:
+        weights = weights.join(featured.select("scenario_id").distinct(), "scenario_id", "left_semi")
+    out = S.agent_scores(weights, ind, pairs, cfg, t.scenarios, thresholds=thresholds)
     if stage:
         out = stage(out, "agent_scores")
     return out, S.all_scene_scores(out, cfg)
@@ -81,7 +85,7 @@ def scores(t: Tables, ind: DataFrame, pairs: DataFrame, cfg: ScoreConfig, *, thr
 def probes(t: Tables, cfg: ScoreConfig, *, stage=None, **options) -> DataFrame:
     """One summary row per scenario, with or without a probe."""
     found = C.find_probes(t.points, t.agents, t.scenarios, cfg, stage=stage, **options)
-    return C.probe_summary(stage(found, "probes") if stage else found, t.scenarios)
+    return C.probe_summary(stage(found, "probes") if stage else found, t.scenarios, t.agents)
 
 
 class Profile:
@@ -91,7 +95,9 @@ class Profile:
     """
 
     def __init__(self, spark: SparkSession, root: str, tables: Tables, *, criterion: str = "critical", **map_options):
-        self.spark, self.root, self.t, self.criterion = spark, root.rstrip("/"), tables, criterion
+        # What a stage depends on is part of its path, so other options never meet its tables.
+        chosen = "-".join([criterion, *(f"{k}={v}" for k, v in sorted(map_options.items()))])
+        self.spark, self.root, self.t, self.criterion = spark, f"{root.rstrip('/')}/{chosen}", tables, criterion
         self.map_options = map_options
 
     def _stage(self, name: str, build) -> DataFrame:
@@ -128,13 +134,22 @@ class Profile:
         return self._stage(f"agent_scores_{kind}", build)
 
     def score_thresholds(self) -> DataFrame:
-        return self._stage("score_thresholds", lambda: A.score_thresholds(self.agent_scores()))
+        def build():
+            raw = self.agent_scores()
+            scenes = A.complete_only(S.all_scene_scores(raw, PRESETS["combined_categorical"]).withColumnRenamed("scorer", "key"), SCORERS)
+            return A.score_thresholds(raw.join(scenes.select("scenario_id").distinct(), "scenario_id", "left_semi"))
+        return self._stage("score_thresholds", build)
 
     def score_categories(self) -> DataFrame:
-        """Categorical agent scores with the category each falls in."""
+        """Agent scores whose halves are categories, by their own thresholds, and the sum of the two."""
         def build():
-            cuts = self.score_thresholds().groupBy("scorer").agg(F.transform(
-                F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda s: s["value"]).alias("cuts"))
-            return self.agent_scores().join(F.broadcast(cuts), "scorer").withColumn(
-                "category", category(F.col("score"), F.col("cuts"))).drop("cuts")
+            # A few boundaries for each of two scorers.
+            cuts: dict[str, list[float]] = {}
+            for r in self.score_thresholds().filter("scorer <> 'combined'").orderBy("scorer", "ord").collect():
+                cuts.setdefault(r["scorer"], []).append(r["value"])
+            return scores(self.t, self.individual_categories(), self.pair_categories(), PRESETS["combined_categorical"], thresholds=cuts)[0]
         return self._stage("score_categories", build)
+
+    def scene_categories(self) -> DataFrame:
+        """Scene scores of the categorised agent scores."""
+        return self._stage("scene_categories", lambda: S.all_scene_scores(self.score_categories(), PRESETS["combined_categorical"]))

@@ -232,7 +232,7 @@ def scene_seconds(frames: DataFrame, *, scene: str, ts_us: str = "ts_us") -> Dat
     return frames.join(start, scene).withColumn("ts_s", (F.col(ts_us) - F.col("_t0")) / 1e6).drop("_t0")
 
 
-def first_keyframes(frames: DataFrame, *, scene: str, n: int = 13, ts_us: str = "ts_us", tie: str) -> DataFrame:
+def first_keyframes(frames: DataFrame, *, scene: str, n: int, ts_us: str = "ts_us", tie: str) -> DataFrame:
     return balanced_row_number(frames, [scene], ts_us, [tie], out="keyframe").filter(F.col("keyframe") <= n)
 
 
@@ -259,10 +259,19 @@ def _jump(ts: np.ndarray, i: int, gap: int) -> list[int]:
     kept = []
     while i < len(ts):
         kept.append(i)
-        i = int(np.searchsorted(ts, ts[i] + gap))
+        i = max(i + 1, int(np.searchsorted(ts, ts[i] + gap)))
     return kept
 
 
+def _last_kept(ts: np.ndarray, gap: int) -> np.ndarray:
+    """For each frame the last one kept when it is the first: its next one's, followed by doubling."""
+    last, after = np.arange(len(ts)), np.minimum(np.searchsorted(ts, ts + gap), len(ts) - 1)
+    after = np.where(ts[after] - ts >= gap, after, last)
+    while not np.array_equal(after, further := after[after]):
+        after = further
+    return after
+
+
 def _enter(starts: np.ndarray, exits: np.ndarray, last: int, gap: int) -> int:
     i = int(np.searchsorted(starts, last + gap))
     return int(exits[i]) if i < len(starts) else last
@@ -274,9 +283,12 @@ def thin_frames(frames: DataFrame, min_gap_s: float, *, chunk_gaps: int = 64, su
     The choice depends on the previous one, so a long log is cut into chunks. A chunk's first kept frame lies within one
     gap of its start; for each such frame the chunk is walked once and its last kept time noted. These small maps are
     chained, over super-chunks first, to find how each chunk is entered, and each chunk then lists its kept frames.
-    No task sees more than one chunk of frames or one super-chunk of maps.
+    No task sees more than one chunk of frames or one super-chunk of maps. Without a gap every frame stays, those of equal times
+    too.
     """
     gap = int(round(min_gap_s * 1e6))
+    if gap <= 0:
+        return frames.select("log_id", "frame_id", "ts_us")
     width = max(gap * chunk_gaps, 1)
     never = -(2**62)
     one = frames.groupBy("log_id", "ts_us").agg(F.min("frame_id").alias("frame_id")).withColumn(
@@ -284,9 +296,8 @@ def thin_frames(frames: DataFrame, min_gap_s: float, *, chunk_gaps: int = 64, su
 
     def chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
         ts = np.sort(pdf["ts_us"].to_numpy())
-        upto = int(np.searchsorted(ts, pdf["chunk"].iloc[0] * width + gap)) + 1
-        rows = [(int(ts[i]), int(ts[_jump(ts, i, gap)[-1]])) for i in range(min(upto, len(ts)))]
-        return pd.DataFrame(rows, columns=["start", "exit"]).assign(
+        upto = min(int(np.searchsorted(ts, pdf["chunk"].iloc[0] * width + gap)) + 1, len(ts))
+        return pd.DataFrame({"start": ts[:upto], "exit": ts[_last_kept(ts, gap)[:upto]]}).assign(
             log_id=pdf["log_id"].iloc[0], chunk=pdf["chunk"].iloc[0])[["log_id", "chunk", "start", "exit"]]
 
     maps = one.groupBy("log_id", "chunk").applyInPandas(chunk_map, _MAP).withColumn(

@@ -212,9 +212,8 @@ WITH n AS (SELECT scenario_id, feature_class, feature_idx, count(*) AS n FROM mp
 o AS (SELECT *, CAST(sum(n) OVER (PARTITION BY scenario_id ORDER BY feature_class, feature_idx) AS BIGINT) AS e FROM n)
 SELECT scenario_id, feature_class, feature_idx, e - n AS start, e AS "end" FROM o""")
 oracle("S22_polyline_directions", f"""
-WITH d AS (SELECT a.*, a.x-coalesce(b.x,a.x) AS ex, a.y-coalesce(b.y,a.y) AS ey, a.z-coalesce(b.z,a.z) AS ez FROM mp a
- LEFT JOIN mp b ON b.scenario_id=a.scenario_id AND b.feature_class=a.feature_class AND b.feature_idx=a.feature_idx
- AND b.point_idx=a.point_idx-1), m AS (SELECT *, greatest(sqrt(ex*ex+ey*ey+ez*ez),1e-6) AS n FROM d)
+WITH d AS (SELECT *, x-coalesce(lag(x) OVER w,x) AS ex, y-coalesce(lag(y) OVER w,y) AS ey, z-coalesce(lag(z) OVER w,z) AS ez FROM mp
+ WINDOW w AS (PARTITION BY scenario_id, feature_class, feature_idx ORDER BY point_idx)), m AS (SELECT *, greatest(sqrt(ex*ex+ey*ey+ez*ez),1e-6) AS n FROM d)
 SELECT scenario_id, feature_class, feature_idx, point_idx, {r('ex/n','dx')}, {r('ey/n','dy')}, {r('ez/n','dz')} FROM m""")
 oracle("S23_yaw_and_direction", f"""
 SELECT scenario_id, agent_idx, t, {r('heading','yaw')}, {r('cos(heading)','dir_x')}, {r('sin(heading)','dir_y')} FROM pts""")
@@ -308,9 +307,10 @@ SELECT DISTINCT p.scenario_id, p.feature_idx AS la, q.feature_idx AS lb, e.lane,
  AND sqrt((p.x-q.x)**2+(p.y-q.y)**2) < 5e-1,
  LATERAL (SELECT p.feature_idx AS lane, p.point_idx AS pi, p.x AS x, p.y AS y UNION ALL
           SELECT q.feature_idx, q.point_idx, q.x, q.y) e""")
-cte("cps", """
+cte("cps0", """
 SELECT scenario_id, 'static' AS kind, x, y FROM mp WHERE feature_class='crosswalk'
 UNION ALL SELECT scenario_id, 'lane_intersection', x, y FROM lint""")
+cte("cps", "SELECT * FROM cps0 UNION ALL SELECT scenario_id, 'dynamic', x, y FROM sig WHERE t=3")
 cte("runs", """
 WITH s AS (SELECT *, speed <= 2 AS still FROM sm), g AS (SELECT *, a - row_number() OVER (PARTITION BY scenario_id, agent_idx,
   still ORDER BY a) AS grp FROM s),
@@ -406,7 +406,7 @@ SELECT 'all' AS rule, scenario_id, {rs('x','y')} FROM sig WHERE t=3
 UNION ALL SELECT 'strict_three', scenario_id, {rs('x','y')} FROM sig WHERE t=3 AND lane_id < 103""")
 oracle("M04_conflict_points", f"""
 SELECT scenario_id, kind, count(*) AS points, {r('sum(x)','sum_x')}, {r('sum(y)','sum_y')} FROM
-(SELECT * FROM cps UNION ALL SELECT scenario_id, 'dynamic', x, y FROM sig WHERE t=3 AND lane_id < 103) GROUP BY ALL""")
+(SELECT * FROM cps0 UNION ALL SELECT scenario_id, 'dynamic', x, y FROM sig WHERE t=3 AND lane_id < 103) GROUP BY ALL""")
 cte("ncp", """
 SELECT p.scenario_id, p.agent_idx, p.t, min(sqrt((p.x-c.x)**2+(p.y-c.y)**2)) AS distance FROM pts p JOIN cps c
  ON c.scenario_id=p.scenario_id GROUP BY ALL""")
@@ -666,9 +666,11 @@ WITH p AS (SELECT p.*, {pair_score(cfg)} AS ps FROM {pairs} p WHERE p.status < 2
 e AS (SELECT scenario_id, i AS agent_idx, ps FROM p UNION ALL SELECT scenario_id, j, ps FROM p),
 s AS (SELECT scenario_id, agent_idx, sum(ps) AS ps FROM e GROUP BY ALL)
 SELECT w.scenario_id, w.agent_idx, coalesce(w.weight*s.ps,0) AS score, s.ps IS NOT NULL AS valid FROM {weights} w
-LEFT JOIN s ON s.scenario_id=w.scenario_id AND s.agent_idx=w.agent_idx""")
+LEFT JOIN s ON s.scenario_id=w.scenario_id AND s.agent_idx=w.agent_idx
+WHERE w.scenario_id IN (SELECT scenario_id FROM {weights} GROUP BY 1 HAVING count(*) > 1)""")
     cte(f"{tag}_c", f"""
-SELECT a.scenario_id, a.agent_idx, a.score+b.score AS score, a.valid OR b.valid AS valid FROM {tag}_a a JOIN {tag}_b b
+SELECT a.scenario_id, a.agent_idx, a.score+coalesce(b.score,0) AS score,
+ CASE WHEN b.valid IS NOT NULL THEN a.valid OR b.valid END AS valid FROM {tag}_a a LEFT JOIN {tag}_b b
  ON b.scenario_id=a.scenario_id AND b.agent_idx=a.agent_idx""")
 
 
@@ -679,16 +681,18 @@ cte("wu", "SELECT scenario_id, agent_idx, CASE WHEN n=1 THEN rel ELSE 1e0 END AS
 agent_score_ctes("su", "ind", "pa_critical", "wu", PIPE)
 oracle("W08_interaction_scores_uniform", f"SELECT scenario_id, agent_idx, {r('score')}, valid FROM su_b")
 cte("asc_", """
-SELECT x.* FROM (SELECT *, 'individual' AS scorer FROM sc_a UNION ALL SELECT *, 'interaction' FROM sc_b UNION ALL
- SELECT *, 'combined' FROM sc_c) x WHERE scenario_id IN (SELECT scenario_id FROM ind)""")
+SELECT *, 'individual' AS scorer FROM sc_a UNION ALL
+SELECT a.scenario_id, a.agent_idx, b.score, b.valid, 'interaction' FROM sc_a a LEFT JOIN sc_b b ON b.scenario_id=a.scenario_id
+ AND b.agent_idx=a.agent_idx UNION ALL SELECT *, 'combined' FROM sc_c""")
 cte("ssc", """
-WITH s AS (SELECT scenario_id, scorer, least(greatest(sum(score)/greatest(count(*) FILTER (valid),1),0),200) AS v
- FROM asc_ WHERE scorer <> 'combined' GROUP BY ALL)
+WITH s AS (SELECT scenario_id, scorer, CASE WHEN count(score) > 0 THEN
+  least(greatest(sum(score)/greatest(count(*) FILTER (valid),1),0),200) END AS v FROM asc_ WHERE scorer <> 'combined' GROUP BY ALL)
 SELECT scenario_id, scorer, v AS scene_score FROM s UNION ALL
 SELECT scenario_id, 'combined', least(greatest(0.5e0*sum(v),0),200) FROM s GROUP BY scenario_id""")
+cte("full_", "SELECT scenario_id FROM ssc GROUP BY 1 HAVING count(scene_score) = 3")
 oracle("W09_scene_scores", f"SELECT scenario_id, scorer, {r('scene_score')} FROM ssc")
 oracle("W10_score_category", """
-SELECT scenario_id, agent_idx, scorer, CASE WHEN score <= 2 THEN 1e0 WHEN score <= 5 THEN 2e0 WHEN score <= 9 THEN 3e0
+SELECT scenario_id, agent_idx, scorer, CASE WHEN score IS NULL THEN NULL WHEN score <= 2 THEN 1e0 WHEN score <= 5 THEN 2e0 WHEN score <= 9 THEN 3e0
  ELSE 4e0 END AS category FROM asc_""")
 
 
@@ -705,7 +709,7 @@ FROM {weights} w LEFT JOIN e ON {on} GROUP BY {', '.join('w.' + k for k in ks)}"
 cte("psa", f"SELECT p.scenario_id, p.i, p.j, {pair_score(PROBE)} AS ps FROM pa_critical p WHERE p.status < 2")
 cte("psa_s", scene_from_pairs("psa", "we", "scenario_id"))
 oracle("W11_scene_score_from_pairs", f"SELECT scenario_id, {r('scene_score')} FROM psa_s")
-oracle("W12_missing_features", "SELECT scenario_id FROM scen WHERE scenario_id NOT IN (SELECT scenario_id FROM ind WHERE agent_type=3)")
+oracle("W12_missing_features", "SELECT scenario_id FROM scen WHERE scenario_id NOT IN (SELECT scenario_id FROM ind)")
 oracle("S32_score_mapping", """
 SELECT scenario_id, round(max(scene_score) FILTER (scorer='individual'),3) AS individual,
  round(max(scene_score) FILTER (scorer='interaction'),3) AS interaction,
@@ -804,7 +808,10 @@ SELECT CAST(s.scenario_id AS VARCHAR) AS scenario_id, s.dataset, p.probed_agent
 oracle("C11_probe_summary", """
 SELECT scenario_id, CASE WHEN found THEN 'yes' ELSE 'no' END AS probe_found, CASE WHEN found THEN 'CONSTANT_VELOCITY' ELSE 'N/A' END
  AS probe_type, CASE WHEN NOT found THEN 'N/A' WHEN is_ego THEN 'yes' ELSE 'no' END AS is_ego_agent,
- coalesce(CAST(probed_agent AS VARCHAR),'') AS probed_agent_id, coalesce(CAST(affected_agent AS VARCHAR),'') AS affected_agent_ids FROM sum_""")
+ coalesce((SELECT CAST(any_value(agent_id) AS VARCHAR) FROM agt a WHERE CAST(a.scenario_id AS VARCHAR)=s.scenario_id AND a.agent_idx=s.probed_agent),'') AS probed_agent_id,
+ coalesce((SELECT CAST(any_value(agent_id) AS VARCHAR) FROM agt a WHERE CAST(a.scenario_id AS VARCHAR)=s.scenario_id AND a.agent_idx=s.affected_agent),'') AS affected_agent_ids,
+ CASE WHEN found THEN printf('%.6f', score_before) ELSE '' END AS score_before, CASE WHEN found THEN printf('%.6f', score_after) ELSE '' END AS score_after,
+ CASE WHEN found THEN printf('%.6f', score_delta) ELSE '' END AS score_delta FROM sum_ s""")
 oracle("S29_common_ids", """
 SELECT DISTINCT i.scenario_id FROM ind i JOIN pe p ON p.scenario_id=i.scenario_id AND p.status=0 JOIN sum_ s
  ON s.scenario_id=CAST(i.scenario_id AS VARCHAR) AND NOT s.found WHERE i.agent_type=3""")
@@ -814,19 +821,19 @@ SELECT DISTINCT i.scenario_id FROM ind i JOIN pe p ON p.scenario_id=i.scenario_i
 oracle("A01_individual_by_type", f"SELECT type, feature, count(value) AS n, {r('avg(value)','mean')} FROM il GROUP BY ALL")
 oracle("A02_pairs_by_type", f"SELECT type, feature, count(value) AS n, {r('min(value)','low',4)}, {r('max(value)','high',4)} FROM pla GROUP BY ALL")
 oracle("A04_histogram", f"""
-WITH v AS (SELECT * FROM il WHERE feature IN ('speed','jerk','kalman_difficulty') AND value IS NOT NULL),
+WITH v AS (SELECT * FROM il WHERE value IS NOT NULL AND NOT isnan(value)),
 s AS (SELECT type, feature, CASE WHEN min(value)=max(value) THEN min(value)-5e-1 ELSE min(value) END AS a,
  CASE WHEN min(value)=max(value) THEN max(value)+5e-1 ELSE max(value) END AS b, count(*) AS n FROM v GROUP BY ALL),
 g AS (SELECT s.*, CAST(k AS INTEGER) AS bin, (b-a)/20 AS w FROM s, (SELECT unnest(range(0,20)) AS k))
 SELECT g.type, g.feature, g.bin, count(v.value) AS count, {r('count(v.value)/(g.n*g.w)','density',4)} FROM g LEFT JOIN v
  ON v.type=g.type AND v.feature=g.feature AND least(greatest(floor((v.value-g.a)/g.w),0),19)=g.bin GROUP BY g.type, g.feature, g.bin, g.n, g.w""")
-cte("asv", "SELECT scorer, score FROM asc_ WHERE valid AND score >= 0")
+cte("asv", "SELECT scorer, score FROM asc_ WHERE valid AND score >= 0 AND scenario_id IN (SELECT scenario_id FROM full_)")
 cte("sth", threshold_sql("asv", "scorer", "score"))
 oracle("A05_score_thresholds", f"SELECT scorer, ord, label, {r('value',digits=4)} FROM sth")
 oracle("A06_complete_scenes", """
-SELECT scenario_id, bool_and(scorer<>'interaction' OR scene_score > 0) AS complete FROM ssc GROUP BY 1""")
+SELECT scenario_id, count(scene_score) = 3 AS complete FROM ssc GROUP BY 1""")
 cte("sp", """
-WITH s AS (SELECT scorer AS key, scenario_id, round(scene_score,3) AS v FROM ssc), q AS (SELECT key, quantile_cont(v,0.8) AS c FROM s GROUP BY 1)
+WITH s AS (SELECT scorer AS key, scenario_id, round(scene_score,3) AS v FROM ssc WHERE scenario_id IN (SELECT scenario_id FROM full_)), q AS (SELECT key, quantile_cont(v,0.8) AS c FROM s GROUP BY 1)
 SELECT s.key, s.scenario_id, s.v AS scene_score, s.v >= q.c AS out_of_distribution FROM s JOIN q ON q.key=s.key""")
 oracle("A07_scene_splits", "SELECT key, scenario_id, scene_score, out_of_distribution FROM sp")
 oracle("A07_split_sizes", """
@@ -915,10 +922,23 @@ FROM vp v JOIN scen s ON s.scenario_id=v.scenario_id AND s.ego_idx=v.agent_idx G
 oracle("A28_score_bound", f"SELECT {r('coalesce(max(score_before)*1.02e0,1e0)','bound')} FROM sum_")
 agent_score_ctes("cc", "ic", "pc", "we", PRESETS["combined_categorical"])
 cte("ccl", """
-SELECT * FROM (SELECT *, 'individual' AS scorer FROM cc_a UNION ALL SELECT *, 'interaction' FROM cc_b UNION ALL
- SELECT *, 'combined' FROM cc_c) x WHERE scenario_id IN (SELECT scenario_id FROM ind)""")
-cte("ccv", "SELECT scorer, score FROM ccl WHERE valid AND score >= 0")
+SELECT *, 'individual' AS scorer FROM cc_a UNION ALL SELECT *, 'interaction' FROM cc_b""")
+cte("ccv", """SELECT scorer, score FROM ccl WHERE valid AND score >= 0
+ AND scenario_id IN (SELECT scenario_id FROM we GROUP BY 1 HAVING count(*) > 1)""")
 cte("cct", threshold_sql("ccv", "scorer", "score"))
-oracle("A26_profile_chain", f"""
-SELECT c.scenario_id, c.agent_idx, c.scorer, {r('c.score','score')},
- 1e0 + (SELECT count(*) FROM cct t WHERE t.scorer=c.scorer AND t.value < c.score) AS category FROM ccl c""")
+cte("cat_", """
+WITH a AS (SELECT c.*, CASE WHEN valid THEN 1e0 + (SELECT count(*) FROM cct t WHERE t.scorer='individual' AND t.value < c.score) ELSE 0e0 END AS k FROM cc_a c),
+b AS (SELECT c.*, 1e0 + (SELECT count(*) FROM cct t WHERE t.scorer='interaction' AND t.value < c.score) AS k FROM cc_b c)
+SELECT scenario_id, agent_idx, 'individual' AS scorer, k AS score, valid FROM a UNION ALL
+SELECT a.scenario_id, a.agent_idx, 'interaction', b.k, b.valid FROM a LEFT JOIN b ON b.scenario_id=a.scenario_id AND b.agent_idx=a.agent_idx UNION ALL
+SELECT a.scenario_id, a.agent_idx, 'combined', a.k+coalesce(b.k,0), CASE WHEN b.valid IS NOT NULL THEN a.valid OR b.valid END
+ FROM a LEFT JOIN b ON b.scenario_id=a.scenario_id AND b.agent_idx=a.agent_idx""")
+oracle("A26_profile_chain", """
+SELECT scenario_id, agent_idx, scorer, score, valid FROM cat_""")
+oracle("A26_scene_categories", f"""
+WITH s AS (SELECT scenario_id, scorer, CASE WHEN count(score) > 0 THEN
+  least(greatest(sum(score)/greatest(count(*) FILTER (valid),1),0),200) END AS v FROM cat_ WHERE scorer <> 'combined' GROUP BY ALL)
+SELECT scenario_id, scorer, {r('v','scene_score')} FROM s UNION ALL
+SELECT scenario_id, 'combined', {r('least(greatest(0.5e0*sum(v),0),200)','scene_score')} FROM s GROUP BY scenario_id""")
+oracle("W09_single_agent_scenes", f"""
+SELECT scenario_id, agent_idx, scorer, {r('score')}, valid FROM asc_ WHERE scenario_id NOT IN (SELECT scenario_id FROM full_)""")

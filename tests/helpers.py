@@ -23,8 +23,8 @@ def scenarios(spark, ego=0, now=0, hz=10.0, n=10, ids=(1,), **limits):
 
 
 def agents(spark, types, scenario=1, **extra):
-    rows = [(scenario, a, t, *[v.get(a) for v in extra.values()]) for a, t in types.items()]
-    cols = "scenario_id long, agent_idx long, agent_type int" + "".join(f", {k} double" for k in extra)
+    rows = [(scenario, a, a + 100, t, *[v.get(a) for v in extra.values()]) for a, t in types.items()]
+    cols = "scenario_id long, agent_idx long, agent_id long, agent_type int" + "".join(f", {k} double" for k in extra)
     return spark.createDataFrame(rows, cols)
 
 

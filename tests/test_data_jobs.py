@@ -216,10 +216,14 @@ def test_profile_resumes(spark, tmp_path):
     t = jobs.Tables(points(spark, tracks, {0: 5, 1: 1, 2: 2, 3: 3}), scenarios(spark, now=5, n=14),
                     agents(spark, {0: 5, 1: 1, 2: 2, 3: 3}))
     prof = jobs.Profile(spark, str(tmp_path / "p"), t)
-    first = {(r.agent_idx, r.scorer): r.category for r in prof.score_categories().collect()}
-    assert len(first) == 12 and set(first.values()) <= {1.0, 2.0, 3.0, 4.0}
+    first = {(r.agent_idx, r.scorer): r.score for r in prof.score_categories().collect()}
+    assert len(first) == 12 and {v for (_, s), v in first.items() if s != "combined"} <= {0.0, 1.0, 2.0, 3.0, 4.0}
+    assert all(first[a, "combined"] == first[a, "individual"] + first[a, "interaction"] for a in range(4))
+    assert {r.scorer: r.scene_score for r in prof.scene_categories().collect()}.keys() == {"individual", "interaction", "combined"}
+    other = jobs.Profile(spark, str(tmp_path / "p"), t, criterion="average")
+    assert other.root != prof.root
     broken = jobs.Profile(spark, str(tmp_path / "p"), jobs.Tables(None, None, None))
-    assert {(r.agent_idx, r.scorer): r.category for r in broken.score_categories().collect()} == first
+    assert {(r.agent_idx, r.scorer): r.score for r in broken.score_categories().collect()} == first
 
 
 def test_plans_stay_distributed(spark):
@@ -231,3 +235,11 @@ def test_plans_stay_distributed(spark):
         for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval", "SinglePartition"):
             assert word not in plan, word
     assert PRESETS["pipeline_default"].weighting == "ego_distance"
+
+
+def test_thinning_without_a_gap_keeps_every_frame(spark):
+    from lanewise.sources import ingest
+    frames = spark.createDataFrame([(0, 1, 0), (0, 2, 0), (0, 3, 5)], "log_id long, frame_id long, ts_us long")
+    assert {r.frame_id for r in ingest.thin_frames(frames, 0.0).collect()} == {1, 2, 3}
+    dense = spark.createDataFrame([(0, i, i * 100_000) for i in range(3000)], "log_id long, frame_id long, ts_us long")
+    assert sorted(r.ts_us for r in ingest.thin_frames(dense, 30.0).collect()) == list(range(0, 300_000_000, 30_000_000))

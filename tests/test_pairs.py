@@ -194,3 +194,13 @@ def test_bad_scope_and_missing_ego(spark):
         P.enumerate_pairs(a, scope="some")
     assert P.missing_ego(a, scenarios(spark, ego=7)).count() == 1
     assert P.missing_ego(a, scenarios(spark, ego=1)).count() == 0
+
+
+def test_repeated_steps_count_once(spark):
+    from lanewise.operators import pairs as P
+    n = 6
+    p = points(spark, {0: [(t, t, 0, 10, 0, 0, True) for t in range(n)], 1: [(t, t, 1, 10, 0, 0, True) for t in range(n)]}, {0: 5, 1: 1})
+    s = scenarios(spark, n=n)
+    twice = p.union(p.filter("agent_idx = 1 AND t = 2"))
+    once, again = (P.pair_features(x, s).collect()[0] for x in (p, twice))
+    assert once.separation == again.separation == 1.0 and once.n_shared == again.n_shared

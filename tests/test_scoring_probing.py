@@ -116,11 +116,11 @@ def test_probe_finds_the_braking_follower(spark):
     r = got[0]
     assert r.probed_agent == 0 and r.is_ego and r.score_after > r.score_before
     assert [x.other for x in r.affected] == [1] and r.affected[0].metric == "TTC" and r.affected[0].t >= 8
-    text = C.probe_summary(found, s).collect()[0]
-    assert text.probe_found == "yes" and text.affected_agent_ids == "1"
+    text = C.probe_summary(found, s, a).collect()[0]
+    assert text.probe_found == "yes" and (text.probed_agent_id, text.affected_agent_ids) == ("100", "101")
     assert float(text.score_delta) == pytest.approx(r.score_after - r.score_before, abs=1e-6)
     none = C.find_probes(pts, a, s, PRESETS["probe"], min_delta=1e6)
-    assert none.count() == 0 and C.probe_summary(none, s).collect()[0].probe_type == "N/A"
+    assert none.count() == 0 and C.probe_summary(none, s, a).collect()[0].probe_type == "N/A"
 
 
 def test_later_agent_wins_ties(spark):
@@ -135,3 +135,29 @@ def test_affected_needs_a_critical_frame(spark):
     row = a.join(df.filter("agent_idx = 1").selectExpr("scenario_id", "steps as other_steps"), "scenario_id")
     lim = {k: F.lit(v) for k, v in dict(heading_threshold=45.0, agent_max_deceleration=20.0, agent_to_agent_max_distance=100.0).items()}
     assert C.critical_frames(row, lim).collect()[0].crit is None
+
+
+def test_scenes_without_a_half_keep_their_rows(spark):
+    """A lone agent has no interaction half; two agents without usable tracks have a score of 0 in both."""
+    from lanewise.operators import pairs as P
+    from lanewise.operators import profiling as A
+    from lanewise.plans import jobs
+
+    def scene(i, tracks):
+        return points(spark, tracks, {0: 5, 1: 1}, scenario=i), scenarios(spark, n=12, now=4, ids=(i,)), agents(spark, {a: 5 - 4 * a for a in tracks}, scenario=i)
+
+    drive = [(t, t, 0, 10, 0, 0, True) for t in range(12)]
+    parts = [scene(1, {0: drive}), scene(2, {0: drive, 1: [(t, t + 5, 1, 10, 0, 0, True) for t in range(12)]}), scene(3, {0: drive[:1], 1: drive[:1]})]
+    p, s, a = (x[0].union(x[1]).union(x[2]) for x in zip(*parts, strict=True))
+    t = jobs.Tables(p, s, a)
+    cfg = PRESETS["pipeline_default"]
+    agent, scene_rows = jobs.scores(t, jobs.individual(t), P.pair_features(p, s), cfg)
+    got = {(r.scenario_id, r.agent_idx, r.scorer): r for r in agent.collect()}
+    alone = got[1, 0, "combined"]
+    assert alone.valid is None and alone.score == got[1, 0, "individual"].score > 0 and got[1, 0, "interaction"].score is None
+    assert got[2, 0, "combined"].valid and got[3, 1, "individual"].valid is False and got[3, 0, "combined"].score == 0
+    scores = scene_rows.withColumnRenamed("scorer", "key")
+    kept = {r.scenario_id for r in A.complete_only(scores, ("individual", "interaction", "combined")).collect()}
+    assert kept == {2, 3} and scores.count() == 9
+    some = jobs.scores(t, jobs.individual(t), P.pair_features(p, s), cfg, featured=s.filter("scenario_id = 3"))[1]
+    assert {r.scenario_id for r in some.collect()} == {3}
