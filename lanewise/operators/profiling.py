@@ -102,7 +102,8 @@ def histogram(long: DataFrame, keys: Sequence[str], bins: int = 20, value: str =
                              "b": F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))})
     width = (F.col("b") - F.col("a")) / float(bins)
     pos = F.floor((F.col(value) - F.col("a")) / width)
-    binned = clean.join(span, keys).withColumn(
+    # One row per key: types and features, not scenes.
+    binned = clean.join(F.broadcast(span), keys).withColumn(
         "bin", F.least(F.greatest(pos, F.lit(0)), F.lit(bins - 1)).cast("int"))
     got = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
@@ -118,6 +119,15 @@ def score_thresholds(agent_scores: DataFrame, keys: Sequence[str] = ("scorer",),
     return category_thresholds(ok, keys, categories, "score")
 
 
+ALL_DATASETS = "all"
+
+
+def per_dataset(df: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Rows of scenes once under their dataset and once under the combined view; analyses then take `by=("dataset",)`."""
+    own = scenarios.select("scenario_id", F.explode(F.array("dataset", F.lit(ALL_DATASETS))).alias("dataset"))
+    return df.drop("dataset").join(own, "scenario_id")
+
+
 def complete_scenes(scenes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(scenario_id, complete): does the scene have a non-null score for every requested key?"""
     good = F.col("scene_score").isNotNull() & F.col("key").isin(list(keys))
@@ -130,36 +140,37 @@ def complete_only(scenes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scenes.join(complete_scenes(scenes, keys).filter("complete").select("scenario_id"), "scenario_id", "left_semi")
 
 
-def scene_splits(scenes: DataFrame, percentile: float = 80.0) -> DataFrame:
-    """(key, scenario_id, scene_score, out_of_distribution) at a percentile of the 3-decimal scene scores."""
-    rounded = scenes.select("key", "scenario_id", F.round("scene_score", 3).alias("scene_score"))
-    cut = exact_percentiles(rounded, ["key"], "scene_score", [percentile]).select(
-        "key", F.col("percentile").alias("cut"))
-    return rounded.join(cut, "key").select(
-        "key", "scenario_id", "scene_score", (F.col("scene_score") >= F.col("cut")).alias("out_of_distribution"))
+def scene_splits(scenes: DataFrame, percentile: float = 80.0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, scenario_id, scene_score, out_of_distribution) at a percentile of the 3-decimal scene scores."""
+    rounded = scenes.select(*by, "key", "scenario_id", F.round("scene_score", 3).alias("scene_score"))
+    cut = exact_percentiles(rounded, [*by, "key"], "scene_score", [percentile]).select(
+        *by, "key", F.col("percentile").alias("cut"))
+    # One row per score key (and dataset).
+    return rounded.join(F.broadcast(cut), [*by, "key"]).select(
+        *by, "key", "scenario_id", "scene_score", (F.col("scene_score") >= F.col("cut")).alias("out_of_distribution"))
 
 
-def split_sizes(splits: DataFrame) -> DataFrame:
+def split_sizes(splits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     out = F.col("out_of_distribution")
-    return splits.groupBy("key").agg(
+    return splits.groupBy(*by, "key").agg(
         F.count(F.when(~out, 1)).alias("num_in_distribution"), F.count(F.when(out, 1)).alias("num_out_of_distribution"))
 
 
-def jaccard(splits: DataFrame, keys: Sequence[str]) -> DataFrame:
+def jaccard(splits: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Jaccard index of the out-of-distribution sets of every pair of score keys (0 for two empty sets)."""
-    flags = splits.groupBy("scenario_id").pivot("key", list(keys)).agg(F.max("out_of_distribution"))
+    flags = splits.groupBy(*by, "scenario_id").pivot("key", list(keys)).agg(F.max("out_of_distribution"))
     for k in keys:
         flags = flags.withColumn(k, F.coalesce(k, F.lit(False)))
     aggs = []
     for a, b in combinations(keys, 2):
         aggs += [F.count(F.when(F.col(a) & F.col(b), 1)).alias(f"{a}&{b}"),
                  F.count(F.when(F.col(a) | F.col(b), 1)).alias(f"{a}|{b}")]
-    one = flags.agg(*aggs)
+    one = flags.groupBy(*by).agg(*aggs) if by else flags.agg(*aggs)
     rows = [F.struct(
         F.lit(a).alias("a"), F.lit(b).alias("b"),
         F.when(F.col(f"`{a}|{b}`") > 0, F.col(f"`{a}&{b}`") / F.col(f"`{a}|{b}`")).otherwise(0.0).alias("jaccard"))
         for a, b in combinations(keys, 2)]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return one.select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.*")
 
 
 def score_grid(agent_scores: DataFrame, scorers: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -257,7 +268,8 @@ def interquartile_mean(long: DataFrame) -> DataFrame:
     keys = ["dataset", "column"]
     q = percentile_columns(long, keys, "value", {"q1": 25.0, "q3": 75.0})
     inside = F.when(F.col("value").between(F.col("q1"), F.col("q3")), F.col("value"))
-    return long.join(q, keys).groupBy(*keys).agg(
+    # One row per dataset and count column.
+    return long.join(F.broadcast(q), keys).groupBy(*keys).agg(
         F.coalesce(F.avg(inside), F.lit(0.0)).alias("iqm"), F.sum("value").alias("total"))
 
 

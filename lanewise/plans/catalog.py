@@ -763,6 +763,28 @@ def _(d):
     return A.jaccard(A.scene_splits(d.complete_scores), SCORERS)
 
 
+@query("S35_splits_per_dataset")
+def _(d):
+    return A.scene_splits(A.per_dataset(d.complete_scores, d.scenarios), by=("dataset",))
+
+
+@query("S35_jaccard_per_dataset")
+def _(d):
+    return A.jaccard(A.scene_splits(A.per_dataset(d.complete_scores, d.scenarios), by=("dataset",)), SCORERS, by=("dataset",))
+
+
+@query("S35_score_thresholds_per_dataset")
+def _(d):
+    scores = d.agent_scores.join(d.complete_scores.select("scenario_id").distinct(), "scenario_id", "left_semi")
+    return A.score_thresholds(A.per_dataset(scores, d.scenarios), ("dataset", "scorer"))
+
+
+@query("S35_score_grid_per_dataset")
+def _(d):
+    wide = A.per_dataset(A.wide_agent_scores(d.agent_scores), d.scenarios)
+    return A.score_grid(wide, ("individual", "interaction"), by=("dataset",))
+
+
 @query("A09_score_grid")
 def _(d):
     return A.score_grid(A.wide_agent_scores(d.agent_scores), ("individual", "interaction"))

@@ -852,6 +852,24 @@ oracle("A10_score_grid_by_type", """
 SELECT a.agent_type, individual, interaction, combined, count(*) AS agents FROM wd JOIN agt a ON a.scenario_id=wd.scenario_id
  AND a.agent_idx=wd.agent_idx GROUP BY ALL""")
 
+cte("dsv", "SELECT scenario_id, dataset FROM scen UNION ALL SELECT scenario_id, 'all' FROM scen")
+cte("spd", """
+WITH s AS (SELECT dataset, scorer AS key, x.scenario_id, round(scene_score,3) AS v FROM ssc x JOIN dsv y ON y.scenario_id=x.scenario_id
+ WHERE x.scenario_id IN (SELECT scenario_id FROM full_)), q AS (SELECT dataset, key, quantile_cont(v,0.8) AS c FROM s GROUP BY ALL)
+SELECT s.dataset, s.key, s.scenario_id, s.v AS scene_score, s.v >= q.c AS out_of_distribution FROM s JOIN q ON q.key=s.key AND q.dataset=s.dataset""")
+oracle("S35_splits_per_dataset", "SELECT * FROM spd")
+oracle("S35_jaccard_per_dataset", f"""
+WITH f AS (SELECT dataset, scenario_id, bool_or(out_of_distribution AND key='individual') AS i, bool_or(out_of_distribution AND key='interaction') AS n,
+ bool_or(out_of_distribution AND key='combined') AS c FROM spd GROUP BY ALL),
+p AS (SELECT dataset, 'individual' AS a, 'interaction' AS b, count(*) FILTER (i AND n) AS x, count(*) FILTER (i OR n) AS y FROM f GROUP BY 1
+ UNION ALL SELECT dataset, 'individual', 'combined', count(*) FILTER (i AND c), count(*) FILTER (i OR c) FROM f GROUP BY 1
+ UNION ALL SELECT dataset, 'interaction', 'combined', count(*) FILTER (n AND c), count(*) FILTER (n OR c) FROM f GROUP BY 1)
+SELECT dataset, a, b, {r('x/greatest(y,1)','jaccard')} FROM p""")
+cte("asd", "SELECT dataset, scorer, score FROM asc_ x JOIN dsv y ON y.scenario_id=x.scenario_id WHERE valid AND score >= 0 AND x.scenario_id IN (SELECT scenario_id FROM full_)")
+cte("std", threshold_sql("asd", "dataset, scorer", "score"))
+oracle("S35_score_thresholds_per_dataset", f"SELECT dataset, scorer, ord, label, {r('value',digits=4)} FROM std")
+oracle("S35_score_grid_per_dataset", "SELECT dataset, individual, interaction, count(*) AS agents FROM wd JOIN dsv y ON y.scenario_id=wd.scenario_id GROUP BY ALL")
+
 
 def count_cte(name: str, pairs: str) -> list[str]:
     cols = [f"(SELECT count(*) FROM {pairs} p WHERE p.scenario_id=s.scenario_id AND 5 IN (p.type_i,p.type_j)) AS pairs_with_ego_total",
@@ -891,7 +909,9 @@ oracle("A16_composition", " UNION ALL ".join(
 oracle("A17_count_quartiles", f"""
 SELECT dataset, col AS "column", {', '.join(r(f'quantile_cont(CAST(value AS DOUBLE),{p})', n, 4) for n, p in (('low',0),('q1',0.25),('median',0.5),('q3',0.75),('high',1)))}
 FROM cl3 GROUP BY ALL""")
-oracle("A18_probed_rows", "SELECT scenario_id, CAST(probed_agent AS VARCHAR) AS probed_agent_id, 1 AS n_affected FROM sum_ WHERE found")
+oracle("A18_probed_rows", """
+SELECT s.scenario_id, CAST(a.agent_id AS VARCHAR) AS probed_agent_id, 1 AS n_affected FROM sum_ s JOIN (SELECT DISTINCT scenario_id, agent_idx, agent_id FROM agt) a
+ ON CAST(a.scenario_id AS VARCHAR)=s.scenario_id AND a.agent_idx=s.probed_agent WHERE found""")
 oracle("A19_probe_outcomes", " UNION ALL ".join(
     f"SELECT dataset, '{n}' AS outcome, count(*) FILTER ({c}) AS scenes, {r(f'1e2*count(*) FILTER ({c})/count(*)', 'share')} FROM sum_ GROUP BY dataset"
     for n, c in (("no_probe", "NOT found"), ("ego", "found AND is_ego"), ("non_ego", "found AND NOT is_ego"))))
