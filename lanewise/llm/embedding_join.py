@@ -106,16 +106,16 @@ def near_blocks(boxes: DataFrame) -> DataFrame:
     if most is None:
         return boxes.select(F.col("rank").alias("a"), F.col("rank").alias("b"))
     step = FAN.bit_length() - 1
-    levels = -(-int(most).bit_length() // step)
+    levels = max(1, -(-int(most).bit_length() // step))
     width = len(boxes.select("low").first()["low"])
-    pairs = None
-    for level in range(levels, -1, -1):
+    # The whole sequence is one interval, number 0; its pair with itself is where the descent begins.
+    whole = boxes.limit(1).select(F.lit(0).cast("long").alias("a_up"), F.lit(0).cast("long").alias("b_up"))
+    pairs = materialize(whole, "grid-pairs")
+    for level in range(levels - 1, -1, -1):
         own = boxes.select(F.shiftright("rank", level * step).alias("id"), "low", "high").groupBy("id").agg(
             *[F.min(F.col("low")[i]).alias(f"l{i}") for i in range(width)], *[F.max(F.col("high")[i]).alias(f"h{i}") for i in range(width)])
         own = own.withColumn("up", F.shiftright("id", step))
         left, right = (own.select(*[F.col(c).alias(f"{side}_{c}") for c in own.columns]) for side in ("a", "b"))
-        if pairs is None:
-            pairs = own.select(F.lit(0).cast("long").alias("a_up"), F.lit(0).cast("long").alias("b_up")).distinct()
         gap = [F.greatest(F.col(f"a_l{i}") - F.col(f"b_h{i}"), F.col(f"b_l{i}") - F.col(f"a_h{i}"), F.lit(0.0)) for i in range(width)]
         apart = sum((g * g for g in gap), F.lit(0.0))
         pairs = pairs.join(left, "a_up").join(right, "b_up").filter(F.col("a_id") <= F.col("b_id")).filter(apart <= EPS**2 + 1e-9).select(
