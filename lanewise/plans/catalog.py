@@ -808,16 +808,13 @@ def _(d):
 
 @query("A13_coverage")
 def _(d):
-    counted = d.individual.join(d.scenarios.select("scenario_id", "dataset"), "scenario_id").filter("agent_type = 3")
+    counted = d.individual.join(d.scenarios.select("scenario_id", "dataset"), "scenario_id")
     return A.coverage(d.scenarios, counted)
 
 
-COUNTED = ("agents_valid_VEHICLE", "agents_valid_PEDESTRIAN", "pairs_valid_VEHICLE_VEHICLE")
-
-
 @query("A14_interquartile_mean")
 def _(d):
-    return A.interquartile_mean(A.counts_long(d.counts, COUNTED))
+    return A.interquartile_mean(A.counts_long(d.counts, A.count_columns()))
 
 
 @query("A15_ego_scoped")
@@ -833,7 +830,7 @@ def _(d):
 
 @query("A17_count_quartiles")
 def _(d):
-    return A.count_quartiles(A.counts_long(d.counts, COUNTED))
+    return A.count_quartiles(A.counts_long(d.counts, A.count_columns()))
 
 
 @query("A18_probed_rows")

@@ -893,9 +893,8 @@ cte("dsc", "SELECT dataset, count(*) AS num_scenarios_counted, " + ", ".join(
 oracle("A12_dataset_counts", "SELECT * FROM dsc")
 oracle("A13_coverage", """
 SELECT s.dataset, count(DISTINCT s.scenario_id) AS present, count(DISTINCT i.scenario_id) AS counted FROM scen s LEFT JOIN ind i
- ON i.scenario_id=s.scenario_id AND i.agent_type=3 GROUP BY 1""")
-_three = ("agents_valid_VEHICLE", "agents_valid_PEDESTRIAN", "pairs_valid_VEHICLE_VEHICLE")
-cte("cl3", " UNION ALL ".join(f"SELECT dataset, scenario_id, '{c}' AS col, {c} AS value FROM cne" for c in _three))
+ ON i.scenario_id=s.scenario_id GROUP BY 1""")
+cte("cl3", f"SELECT dataset, scenario_id, col, value FROM cne UNPIVOT (value FOR col IN ({', '.join(_counted)}))")
 oracle("A14_interquartile_mean", f"""
 WITH q AS (SELECT dataset, col, quantile_cont(value,0.25) AS a, quantile_cont(value,0.75) AS b FROM cl3 GROUP BY ALL)
 SELECT c.dataset, c.col AS "column", {r('coalesce(avg(c.value) FILTER (c.value BETWEEN q.a AND q.b),0)','iqm')},
