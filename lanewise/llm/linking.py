@@ -55,17 +55,21 @@ STARS = pa.schema([(c, pa.int64()) for c in ("key", "node", "meta", "hub", "hub_
 def stars(blocks: DataFrame, parts: int, name: str) -> DataFrame:
     """(key, node, meta, hub, hub_meta) for every entry whose key an earlier node, the hub, holds. Single holders vanish.
 
-    A task holds the distinct keys of its parts, whatever the number of entries of a key.
+    A task holds the distinct keys of its parts, whatever the number of entries of a key. Nodes that are posted by several tasks
+    may stand in several rows.
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             key, node = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("keys", "nodes"))
             meta = np.frombuffer(b"".join(batch.column("metas").to_pylist()), np.int32).astype(np.int64)
-            order = np.argsort(key, kind="stable")
+            order = np.lexsort((node, key))
             key, node, meta = key[order], node[order], meta[order]
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
+            other = new.copy()
+            other[1:] |= node[1:] != node[:-1]
+            key, node, meta, new = key[other], node[other], meta[other], new[other]
             first = np.flatnonzero(new)
             hub, hub_meta = node[first].copy(), meta[first].copy()
             fresh = np.ones(len(first), bool)
@@ -83,7 +87,7 @@ def stars(blocks: DataFrame, parts: int, name: str) -> DataFrame:
             known = [merged[together], *(np.concatenate((k, a))[together] for k, a in zip(known[1:], add[1:], strict=True))]
 
     return materialize(blocks.repartition(parts, "part").mapInArrow(
-        task, "key long, node long, meta long, hub long, hub_meta long").distinct(), name)
+        task, "key long, node long, meta long, hub long, hub_meta long"), name)
 
 
 class Sieve:
@@ -115,18 +119,21 @@ def link(star: DataFrame, fits: Callable, verify: Callable[[DataFrame], DataFram
 
     `fits(shared, meta, other_meta)` is the condition for a pair worth verifying, by the number of keys it shares and what the
     two nodes posted; `verify` keeps the pairs (a, b) that are links. First every node meets the `top` hubs it shares most keys
-    with. Then every pair of a key whose ends still lie in different components is listed, those of the key's largest component
+    with, of those that fit. Then every pair of a key whose ends still lie in different components is listed, those of the key's largest component
     never with each other.
     """
-    hubs = star.groupBy("node", "hub", "meta", "hub_meta").agg(F.count("*").alias("shared"))
+    entries = materialize(star.select("key", "node", "meta").union(star.select("key", "hub", "hub_meta")).distinct(), f"{name}-entries")
+    # The hub of a key is its holder that shares most keys at all: of near copies one that was changed little.
+    held = entries.join(entries.groupBy("node").agg(F.count("*").alias("keys")), "node")
+    central = held.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("meta").alias("hub_meta")), F.struct("keys", "node")).alias("x")).select("key", "x.*")
+    hubs = entries.join(central, "key").filter("node <> hub").groupBy("node", "hub", "meta", "hub_meta").agg(F.count("*").alias("shared"))
     # As many rows of a node as it has keys, at most.
-    best = hubs.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "hub", "meta", "hub_meta")), False), 1, top).alias("best"))
+    best = hubs.filter(fits(F.col("shared"), F.col("meta"), F.col("hub_meta"))).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "hub", "meta", "hub_meta")), False), 1, top).alias("best"))
     first = best.select(F.col("node").alias("a"), F.explode("best").alias("x")).select("a", F.col("x.hub").alias("b"))
     near = materialize(verify(first), f"{name}-near")
     joined = components(near, f"{name}-near")
 
-    held = star.select("key", "node", "meta").union(star.select("key", "hub", "hub_meta")).distinct()
-    held = materialize(held.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), f"{name}-held")
+    held = materialize(entries.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), f"{name}-held")
     mixed = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
     held = held.join(mixed.select("key", "largest"), "key")

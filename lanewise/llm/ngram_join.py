@@ -4,7 +4,7 @@ A document is its set of distinct five-word shingles. All sets are put in one gl
 table is fuller come later, ties by hash. Two sets of similarity 0.8 or more share at least l shingles among the first
 n - ceil(0.8 n) + l of each. A document picks its own l: a longer prefix posts more shingles, but a pair must then share l of them,
 which pays where the prefix meets many other documents, as the count table tells. A pair is verified when its prefixes share the
-smaller of its two l; both prefixes then hold that many common shingles if the pair is a link, so none is lost.
+smaller of its two l; both prefixes then hold that many common shingles if the pair is a link, so none is lost; a pair of near sizes needs more, see `_fits`.
 
 Documents of equal sets are one node from the start.
 """
@@ -28,10 +28,11 @@ WORDS = 5
 SIMILARITY = 80
 #: Slots of the count table, and how many of them make a row while it is summed.
 SLOTS, SLOT_ROW = 1 << 18, 1 << 10
-#: The longest required match.
-MOST_MATCHES = 6
-#: Cost of verifying a pair against that of posting a shingle.
-VERIFY_COST = 50.0
+#: The longest required match; four bits hold it.
+MOST_MATCHES = 12
+#: Cost of verifying a pair against that of posting a shingle, and holders that a shingle meets beyond what its slot tells: the
+#: table has more shingles than slots, so a passage of a few documents doesn't stand out in it.
+VERIFY_COST, BACKGROUND = 50.0, 0.05
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -126,7 +127,7 @@ def _prefixes(docs: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
                     seen.add(node)
                     c = count[_slots(s)]
                     order = np.argsort(c, kind="stable")[:n - (SIMILARITY * n + 99) // 100 + MOST_MATCHES]
-                    l = choose(n, np.maximum(c[order] - floor, 0).astype(np.float64))
+                    l = choose(n, np.maximum(c[order] - floor, 0) + BACKGROUND)
                     order = order[:n - (SIMILARITY * n + 99) // 100 + l]
                     k = len(order)
                     yield from out.add(s[order], np.full(k, node, np.int64), np.full(k, n * 16 + l, np.int64))
@@ -136,9 +137,18 @@ def _prefixes(docs: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
 
 
 def _fits(shared: Column | None, a: Column, b: Column) -> Column:
+    """Whether sizes, and the number of shared prefix shingles, allow a link.
+
+    A link of sizes x and y has t / (1 + t) * (x + y) common shingles at least, and beyond the shorter-sighted of the two prefixes lie
+    need - l of them at most, so the rest is shared in the prefixes: the smaller l, and more the closer the sizes are.
+    """
     size = lambda m: F.shiftright(m, 4)
     ok = F.least(size(a), size(b)) * 100 >= F.greatest(size(a), size(b)) * SIMILARITY
-    return ok if shared is None else ok & (shared >= F.least(a.bitwiseAND(F.lit(15)), b.bitwiseAND(F.lit(15))))
+    if shared is None:
+        return ok
+    beyond = lambda m: F.floor((size(m) * SIMILARITY + 99) / 100) - m.bitwiseAND(F.lit(15))
+    common = F.ceil((size(a) + size(b)) * SIMILARITY / (100 + SIMILARITY))
+    return ok & (shared >= common - F.greatest(beyond(a), beyond(b)))
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -162,7 +172,8 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough. Only the sets of these nodes are fetched from the texts."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +186,13 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * common >= SIMILARITY * (len(x) + len(y) - common))
             yield pa.record_batch([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
 
+    pairs = materialize(pairs, "ngram-pairs")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ngram-wanted")
+    sets = materialize(_candidate_sets(docs, wanted), "ngram-sets")
     a, b = (sets.select(F.col("node").alias(n), F.col("grams").alias(g)) for n, g in (("a", "x"), ("b", "y")))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
+    # Dealt anew by pair: a set with many candidates would leave all of them to one task.
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").repartition("a", "b")
+    return both.mapInArrow(task, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -193,10 +209,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum("n_shingles")).collect()[0][0] or 0
     parts = parts_for(spark, total * (1 - SIMILARITY / 100) * ENTRY_BYTES)
     star = stars(_prefixes(docs, _count_table(measured), parts), parts, "ngram-stars")
-    held = star.select("node").union(star.select("hub")).distinct()
     first = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(_candidate_sets(docs, held), "ngram-sets")
-    joined = link(star, _fits, lambda pairs: _verify(pairs, sets), "ngram")
+    joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "ngram")
     named = first.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(smallest, "component").select("node", "component_id")
