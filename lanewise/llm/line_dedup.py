@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import materialize, partitions
@@ -44,12 +44,13 @@ def lines_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[str]]]]:
 
 
 def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the bands, number of shingles) of lines that aren't empty."""
+    """(keys of the bands, distinct shingles) of lines that aren't empty."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     g, begin = char_grams(code_points("".join(lines)), np.concatenate(([0], np.cumsum(size))), CHARS)
     owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(begin))
     # Line (20 bits), bin (6), hash (38) in one number: sorted, the first of each line and bin is its smallest hash.
     s = np.sort(owner << U(44) | (g >> U(26)) % U(BINS) << U(38) | (g >> U(40) ^ g & U(0x3FFFFFF) << U(12)) & U((1 << 38) - 1))
+    distinct = np.bincount((s[np.concatenate(([True], s[1:] != s[:-1]))] >> U(44)).astype(np.int64), minlength=len(lines))
     head = s >> U(38)
     first = np.concatenate(([True], head[1:] != head[:-1]))
     s, head = s[first], head[first]
@@ -63,7 +64,7 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     key = np.broadcast_to(np.arange(BINS // ROWS, dtype=np.uint64), (len(lines), BINS // ROWS))
     for i in range(ROWS):
         key = mix(key * U(0x9E3779B97F4A7C15) + sig[:, i::ROWS])
-    return key, np.diff(begin)
+    return key, distinct
 
 
 def _held_lines(docs: DataFrame) -> DataFrame:
@@ -114,24 +115,49 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(task, "node long, line string").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def alike(x: str, y: str) -> bool:
-    """Whether the shingle sets of two plain lines have similarity 0.8 or more."""
-    a, b = (np.unique(char_grams(p := code_points(t), np.array([0, len(p)]), CHARS)[0]) for t in (x, y))
-    both = np.sort(np.concatenate((a, b)))
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    g, begin = char_grams(code_points("".join(lines)), np.concatenate(([0], np.cumsum(size))), CHARS)
+    return [np.unique(g[x:y]) for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two shingle sets have similarity 0.8 or more."""
+    if 100 * min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate((x, y)))
     common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= SIMILARITY * (len(a) + len(b) - common)
+    return 100 * common >= SIMILARITY * (len(x) + len(y) - common)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _fits(shared: Column | None, a: Column, b: Column) -> Column:
+    # The sizes are counted by 38-bit hashes: two shingles of a line may rarely count as one.
+    return (F.least(a, b) + 2) * 100 >= F.greatest(a, b) * SIMILARITY
+
+
+def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose lines are alike. Only the lines of these nodes are fetched from the texts."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [alike(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
-
+            # A line that stands in many pairs of a slice is taken apart once.
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+                line = dict(zip(a + b, part.column("x").to_pylist() + part.column("y").to_pylist(), strict=True))
+                own = dict(zip(line, shingle_sets(list(line.values())), strict=True))
+                keep = [alike(own[x], own[y]) for x, y in zip(a, b, strict=True)]
+                yield pa.record_batch([part.column("a"), part.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
+
+    pairs = materialize(pairs, "lines-pairs")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "lines-wanted")
+    texts = materialize(_texts(docs, wanted), "lines-texts")
     a, b = (texts.select(F.col("node").alias(n), F.col("line").alias(g)) for n, g in (("a", "x"), ("b", "y")))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
+    # Dealt anew by pair: a line with many candidates would leave all of them to one task.
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").repartition("a", "b")
+    return both.sortWithinPartitions("a").mapInArrow(task, "a long, b long")
 
 
 def line_components(docs: DataFrame) -> DataFrame:
@@ -139,8 +165,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     held = materialize(_held_lines(docs), "lines-held")
     parts = 2 * partitions(docs.sparkSession)
     star = stars(_posted(docs, parts), parts, "lines-stars")
-    texts = materialize(_texts(docs, star.select("node").union(star.select("hub")).distinct()), "lines-texts")
-    joined = link(star, lambda shared, a, b: F.least(a, b) * 100 >= F.greatest(a, b) * (SIMILARITY // 2), lambda pairs: _verify(pairs, texts), "lines")
+    joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "lines")
     # Of each text its first line, then of each component: two sums of small rows, whatever a text's copies.
     first = held.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     named = first.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -161,11 +186,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = line_components(text)
     told = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.collect_set(F.when(~F.col("keep"), F.col("line"))).alias("dropped"))
-    told = told.withColumnRenamed("doc_id", "_doc")
-    keep = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("dropped", i))
-    joined = docs.drop("n_lines", "n_dropped").join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
+    stay = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    joined = docs.select(stay).alias("d").join(told.alias("t"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("t.doc_id")), "left")
+    gone, own = F.col("t.dropped"), lambda c: F.col(f"d.`{c}`")
+    keep = F.filter(F.split(own("text"), "\n", -1), lambda _, i: ~F.array_contains(gone, i))
     return joined.select(
-        *[F.when(F.size("dropped") > 0, F.array_join(keep, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)
-          for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+        *[F.when(F.size(gone) > 0, F.array_join(keep, "\n")).otherwise(own(c)).alias(c) if c == "text" else own(c) for c in stay],
+        F.coalesce("t.n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
