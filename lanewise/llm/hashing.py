@@ -20,7 +20,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 VALUES = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def separators(*spans: tuple[int, int]) -> np.ndarray:
@@ -53,7 +53,7 @@ def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(21, int(n).bit_length()))
+    return _powers(max(20, int(n).bit_length()))
 
 
 def runs(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -179,8 +179,8 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):  # a pair at a time: sets are large
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate((x, y)))
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * common >= SIMILARITY * (len(x) + len(y) - common))
