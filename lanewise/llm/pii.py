@@ -1,15 +1,19 @@
 """Personal data by rules and bootstrapped contextual extraction, in DataFrame functions alone.
 
 The rules (base) find e-mail addresses, IP addresses, card and phone numbers. They are the seeds of the bootstrap: a seed and the word
-before or after it make a lexical pattern (side, word, shape of the value). Other tokens with a digit or an at sign are candidates; a
-pattern that also stands around candidates links them to the seeds. Patterns and values form a graph that is scored in rounds: a pattern's
-confidence for a kind is the share of its distinct values that are of the kind, each by its own score; a value's score is that of its best
-trusted pattern, a seed's is 1. After the last round candidates of trusted patterns are spans too, of that kind. Base spans always stay.
+before or after it make a lexical pattern (side, word, shape of the value). Other tokens with a digit or an at sign are candidates, and
+so are numbers written with spaces, brackets and a leading plus. Shapes are loose, so that unseen forms meet the contexts of seeds: a
+number is its count of digits (as of a phone, as of a card, or both), four numbers between dots are an address whatever their size, and so
+are any two parts around an at sign. A pattern that also stands around candidates links them to the seeds. Patterns and values form a graph
+that is scored in rounds: a pattern's confidence for a kind is the share of its distinct values that are of the kind, each by its own
+score; a value's score is that of its best trusted pattern, a seed's is 1. Values found in one round support patterns in the next like
+seeds do. After the last round candidates of trusted patterns are spans too, of that kind. Base spans always stay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import materialize
@@ -27,9 +31,13 @@ PATTERNS = {
 #: A text without this has no match of the kind.
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 _TOKEN = r"(?:(?<!\S)|\G)[^\s0-9@]*+[0-9@]\S*+"
+#: A number with the marks of phones and cards between its digits, apart from words and other numbers.
+_NUMBER = r"(?<![\p{L}\p{M}0-9@._/%#$€£-])\+?\(?[0-9](?:[\x20().0-9-]*[0-9])?(?![\p{L}\p{M}0-9@_%])"
+#: The digits such a number has: as a phone (its parts aren't candidates of their own then), as a card.
+PHONE_DIGITS, CARD_DIGITS = (7, 15), (13, 19)
 #: Characters around a value within which its neighbouring words are looked for.
 CONTEXT = 64
-#: Rounds of scoring; the confidence and the distinct seeds that a trusted pattern has at least.
+#: Rounds of scoring; the confidence and the distinct seeds or found values that a trusted pattern has at least.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 3
 
 
@@ -87,9 +95,15 @@ def _count(number: int, kind: str) -> Column:
     return F.size(F.filter("base", lambda x: x["kind"] == number)).cast("long").alias(f"n_{kind}")
 
 
-def _shape(value: Column) -> Column:
+def _shapes(value: Column) -> Column:
+    """Array of the shapes of a value: one, or two for a number that a phone or a card may be."""
     letters = F.regexp_replace(value, r"\p{L}+", "a")
-    return F.when(value.rlike("^[0-9]+$"), F.regexp_replace(value, "[0-9]", "9")).otherwise(F.regexp_replace(letters, "[0-9]+", "9"))
+    exact = F.when(value.rlike("^[0-9]+$"), F.regexp_replace(value, "[0-9]", "9")).otherwise(F.regexp_replace(letters, "[0-9]+", "9"))
+    n = F.length(_digits(value))
+    counted = F.array_compact(F.array(F.when(n.between(*PHONE_DIGITS), "phone"), F.when(n.between(*CARD_DIGITS), "card")))
+    return F.when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.array(F.lit("9.9.9.9"))).when(
+        value.rlike("^[^@]+@[^@]+$"), F.array(F.lit("a@a"))).when(
+        value.rlike(r"^[\x20()+.0-9-]+$") & n.between(PHONE_DIGITS[0], CARD_DIGITS[1]), counted).otherwise(F.array(exact))
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -98,15 +112,23 @@ def _scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("any", F.col("text").rlike("[0-9@]"))
     found = rows.select("doc_id", "any", *[
         F.when(F.col("any"), _matches(F.col("text"), p, h)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")).alias(k)
-        for k, p, h in [*((k, PATTERNS[k], _HINT[k]) for k in KINDS), ("token", _TOKEN, "[0-9@]")]])
-    rows = found.select("doc_id", "token", F.concat(*[_tagged(i, k) for i, k in enumerate(KINDS)]).alias("base"))
+        for k, p, h in [*((k, PATTERNS[k], _HINT[k]) for k in KINDS), ("token", _TOKEN, "[0-9@]"), ("number", _NUMBER, "[0-9]")]])
+    rows = found.select("doc_id", "token", "number", F.concat(*[_tagged(i, k) for i, k in enumerate(KINDS)]).alias("base"))
     # A candidate lies apart from all base spans; marks around it don't count.
     lead = lambda v: F.length(F.regexp_extract(v, r"^[^\p{L}0-9@]*", 0))
     core = lambda v: F.regexp_extract(v, r"[\p{L}0-9@](?:.*[\p{L}0-9@])?", 0)
     token = F.transform("token", lambda x: F.struct(
         F.lit(None).cast("int").alias("kind"), (x["start"] + lead(x["value"])).alias("start"), (x["start"] + lead(x["value"]) + F.length(core(x["value"]))).alias("end"),
         core(x["value"]).alias("value"), x["before"].alias("before"), x["after"].alias("after")))
-    apart = F.filter(token, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    digits = lambda x: F.length(_digits(x["value"]))
+    number = F.transform(F.filter("number", lambda x: digits(x).between(PHONE_DIGITS[0], CARD_DIGITS[1])), lambda x: F.struct(
+        F.lit(None).cast("int").alias("kind"), *[x[c].alias(c) for c in ("start", "end", "value", "before", "after")]))
+    away = lambda x, y: (y["end"] <= x["start"]) | (x["end"] <= y["start"])
+    rows = rows.select("doc_id", "base", token.alias("token"), F.filter(number, lambda x: F.forall("base", lambda b: away(x, b))).alias("number"))
+    # A token within a number is that number or a part of it. Beyond the digits of a phone the parts may be numbers of their own.
+    own = F.filter("token", lambda x: F.forall("base", lambda b: away(x, b)) & ~F.exists("number", lambda n: (
+        n["start"] <= x["start"]) & (x["end"] <= n["end"]) & ((digits(n) <= PHONE_DIGITS[1]) | (n["value"] == x["value"]))))
+    apart = F.concat(own, "number")
     return rows.select("doc_id", "base", apart.alias("candidates")).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -115,17 +137,17 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS, confidence: float =
 
     Edges are distinct (pattern, value) pairs, so a value or a context that holds much of the corpus adds partial sums, no pairs.
     """
-    shape = _shape(F.col("value"))
-    sides = F.array(F.concat(F.lit("L:"), "before", F.lit("|"), shape), F.concat(F.lit("R:"), "after", F.lit("|"), shape))
+    sides = F.flatten(F.transform(_shapes(F.col("value")), lambda x: F.array(
+        F.concat(F.lit("L:"), "before", F.lit("|"), x), F.concat(F.lit("R:"), "after", F.lit("|"), x))))
     edges = materialize(occurrences.select("value", "kind", F.explode(sides).alias("pattern")).groupBy("value", "pattern").agg(
         F.max("kind").alias("seed")), "pii-edges")
-    size = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.count("seed").alias("seeds")).filter(F.col("seeds") >= support)
+    size = edges.groupBy("pattern").agg(F.count("*").alias("values")).filter(F.col("values") >= support)
     seeds = edges.filter("seed IS NOT NULL").select("pattern", "value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
     free = edges.filter("seed IS NULL").select("pattern", "value").join(size.select("pattern"), "pattern", "left_semi")
     found = None
     for _ in range(rounds):
         scored = seeds if found is None else seeds.union(free.join(found, "value").select("pattern", "value", "kind", "score"))
-        trusted = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.sum((F.col("score") == 1).cast("long")).alias("own")).join(
+        trusted = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("own")).join(
             size, "pattern").filter(F.col("own") >= support).withColumn("score", F.col("sum") / F.col("values")).filter(F.col("score") >= confidence)
         found = materialize(free.join(trusted.select("pattern", "kind", "score"), "pattern").groupBy("value").agg(
             F.max(F.struct("score", -F.col("kind"))).alias("best")).select("value", (-F.col("best.col2")).alias("kind"), F.col("best.score").alias("score")), "pii-found")
@@ -143,7 +165,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
     base = rows.select("row", F.explode("base").alias("x")).select("row", "x.*")
     candidates = rows.select("row", F.explode("candidates").alias("x")).select("row", "x.*")
     found = bootstrap(base.union(candidates).select("kind", "value", "before", "after"))
-    more = candidates.drop("kind").join(found.select("value", "kind"), "value").groupBy("row").agg(
+    # Of finds within one another the longest counts.
+    order = W.partitionBy("row").orderBy("start", F.desc("end"), "kind").rowsBetween(W.unboundedPreceding, -1)
+    inner = F.coalesce(F.max("end").over(order) >= F.col("end"), F.lit(False))
+    more = candidates.drop("kind").join(found.select("value", "kind"), "value").withColumn("inner", inner).filter("not inner").groupBy("row").agg(
         F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     short = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     names = F.array(*map(F.lit, KINDS))
