@@ -3,8 +3,8 @@
 Every run of GRAM words of every text is hashed. A run that also stands in a template meets the template's positions in a Spark
 join; the difference of the two positions is the diagonal, and a copied stretch of a template votes for one diagonal again and
 again. Votes are summed per document, template and diagonal; diagonals a few words apart, which an inserted or dropped word
-causes, are merged while their places follow one another; a merged stretch counts when it holds enough of its template's runs,
-each counted once.
+causes, are merged when their places are near one another, whatever other diagonals lie between; a merged stretch counts when it
+holds enough of its template's runs, each counted once.
 
 Beside the method's spans stand the base phrases, all places where their words follow one another.
 """
@@ -16,8 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lanewise.llm.common import materialize
 from lanewise.llm.hashing import NOT_ALNUM, grams, hash_words, runs, words
@@ -112,6 +112,31 @@ def _scan(docs: DataFrame, templates: dict[str, str], phrases: dict[str, str]) -
         task, "doc_id long, n_words long, base_at array<long>, base_kind array<int>, at array<long>, gram array<long>")
 
 
+def stretches(votes: list[tuple[int, int, int, list[int]]]) -> list[tuple[int, int, int]]:
+    """(first place, last place, distinct runs held) of what the votes (diagonal, low, high, held) of a template join to.
+
+    Any two diagonals within DRIFT link when their places are within GAP. A diagonal stands once, so it has 2 * DRIFT links at most.
+    """
+    at = {v[0]: i for i, v in enumerate(votes)}
+    up = list(range(len(votes)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i, (diagonal, low, high, _) in enumerate(votes):
+        for j in (at[d] for d in range(diagonal + 1, diagonal + DRIFT + 1) if d in at):
+            if votes[j][1] - high <= GAP and low - votes[j][2] <= GAP:
+                up[root(j)] = root(i)
+    out: dict[int, list] = {}
+    for i, (_, low, high, held) in enumerate(votes):
+        own = out.setdefault(root(i), [low, high, set()])
+        own[0], own[1] = min(own[0], low), max(own[1], high)
+        own[2].update(held)
+    return sorted((low, high, len(held)) for low, high, held in out.values())
+
+
 def spans(hits: DataFrame, templates: dict[str, str], by: tuple[str, ...] = ("row",)) -> DataFrame:
     """Verified stretches: `by`, label, first_word, end_word (exclusive), coverage. `hits` has `by`, at and gram, a row each."""
     spark = hits.sparkSession
@@ -123,15 +148,24 @@ def spans(hits: DataFrame, templates: dict[str, str], by: tuple[str, ...] = ("ro
     # Sums of votes; the places a diagonal has are its template's runs at most, so the list is as short as the template.
     votes = met.groupBy(*by, "label", "diagonal", "template_grams").agg(
         F.min("at").alias("low"), F.max("at").alias("high"), F.collect_set("template_at").alias("held"))
-    order = W.partitionBy(*by, "label").orderBy("low", "diagonal")
-    before = lambda c: F.lag(c).over(order)
-    far = before("low").isNull() | (F.abs(F.col("diagonal") - before("diagonal")) > DRIFT) | (F.col("low") - before("high") > GAP)
-    stretch = votes.withColumn("new", far.cast("int")).withColumn("stretch", F.sum("new").over(order))
-    merged = stretch.groupBy(*by, "label", "stretch", "template_grams").agg(
-        F.min("low").alias("first_word"), (F.max("high") + GRAM).alias("end_word"),
-        F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
-    return merged.withColumn("coverage", F.size("held") / F.col("template_grams")).filter(F.col("coverage") >= COVERAGE).select(
-        *by, "label", "first_word", "end_word", "coverage")
+    # A template whose votes are too few in all has no stretch; the votes of the others are as many as the document's hits.
+    mine = votes.groupBy(*by, "label", "template_grams").agg(
+        F.collect_list(F.struct("diagonal", "low", "high", "held")).alias("votes"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("held")))).alias("held")).filter(F.col("held") >= COVERAGE * F.col("template_grams"))
+    kind = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("low", "high", "held")]))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[dict(zip(("low", "high", "held"), x, strict=True)) for x in stretches([(v["diagonal"], v["low"], v["high"], v["held"]) for v in own])]
+                     for own in batch.column("votes").to_pylist()]
+            schema = pa.list_(pa.struct([(c, pa.int64()) for c in ("low", "high", "held")]))
+            yield pa.record_batch([*batch.columns[:-1], pa.array(found, schema)], names=[*batch.schema.names[:-1], "found"])
+
+    mine = mine.select(*by, "label", "template_grams", "votes")
+    merged = mine.mapInArrow(task, T.StructType([*mine.schema.fields[:-1], T.StructField("found", kind)]))
+    merged = merged.select(*by, "label", "template_grams", F.explode("found").alias("x"))
+    return merged.withColumn("coverage", F.col("x.held") / F.col("template_grams")).filter(F.col("coverage") >= COVERAGE).select(
+        *by, "label", F.col("x.low").alias("first_word"), (F.col("x.high") + GRAM).alias("end_word"), "coverage")
 
 
 def _joined(labels: Column) -> Column:
