@@ -6,16 +6,25 @@ import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lanewise.session import materialize, shared_dir
 
-__all__ = ["materialize", "shared_dir", "table", "partitions", "batch_of", "parts_for"]
+__all__ = ["materialize", "numbered", "shared_dir", "table", "partitions", "batch_of", "parts_for"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` stored with a number of each row, so that every later read meets the same numbers, and the number's column."""
+    row = "_row"
+    while row in map(str.lower, df.columns):
+        row += "_"
+    return materialize(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,7 +4,8 @@ Lines are compared without case and outer white space. A line is its set of CHAR
 the shingles to BINS bins and keeps each bin's smallest hash; an empty bin borrows from the next full one. Every ROWS bins form a
 band, and equal bands make lines candidates: at similarity 0.8 a pair shares no band with probability about (1 - 0.8**ROWS)**(BINS /
 ROWS), 0.002. Candidates are verified by the exact Jaccard similarity of their shingle sets, links are joined by distributed
-union-find, and of each component the first line, by doc_id and then line number, stays.
+union-find, and of each component the first line, by doc_id, then row, then line number, stays. Every row of the table is a document of its
+own, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import materialize, partitions
+from lanewise.llm.common import materialize, numbered, partitions
 from lanewise.llm.hashing import U, char_grams, code_points, mix, runs
 from lanewise.llm.linking import BLOCKS_SQL, Posting, Sieve, link, stars
 
@@ -68,18 +69,19 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _held_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, node) of every line that isn't blank."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.int64())])
+    """(doc_id, row, line, node) of every line that isn't blank."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("node", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column("doc_id")
+            doc, number = batch.column("doc_id"), batch.column("row")
             for first, rows in lines_of(batch):
                 at = [(first + r, i, line_node(x)) for r, own in enumerate(rows) for i, x in enumerate(own) if x]
                 row, line, node = zip(*at, strict=True) if at else ((), (), ())
-                yield pa.record_batch([doc.take(pa.array(row, pa.int64())), pa.array(line, pa.int32()), pa.array(node, pa.int64())], schema=schema)
+                row = pa.array(row, pa.int64())
+                yield pa.record_batch([doc.take(row), number.take(row), pa.array(line, pa.int32()), pa.array(node, pa.int64())], schema=schema)
 
-    return docs.mapInArrow(task, "doc_id long, line int, node long")
+    return docs.mapInArrow(task, "doc_id long, row long, line int, node long")
 
 
 def _posted(docs: DataFrame, parts: int) -> DataFrame:
@@ -161,33 +163,34 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def line_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, component, keep) of every line of `docs` (doc_id, text) that isn't blank; lines count from 0."""
+    """(doc_id, row, line, component, keep) of every line of `docs` (doc_id, row, text) that isn't blank; lines count from 0, rows are unique."""
     held = materialize(_held_lines(docs), "lines-held")
     parts = 2 * partitions(docs.sparkSession)
     star = stars(_posted(docs, parts), parts, "lines-stars")
     joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "lines")
     # Of each text its first line, then of each component: two sums of small rows, whatever a text's copies.
-    first = held.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    first = held.groupBy("node").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
     named = first.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keeper = named.groupBy("component").agg(F.min("first").alias("keeper"))
     ids = named.join(keeper, "component").select("node", "component", "keeper")
     return held.join(ids, "node").select(
-        "doc_id", "line", "component", (F.struct("doc_id", "line").eqNullSafe(F.col("keeper"))).alias("keep"))
+        "doc_id", "row", "line", "component", ((F.col("row") == F.col("keeper.row")) & (F.col("line") == F.col("keeper.line"))).alias("keep"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """`docs` with n_lines, n_dropped and a text without the lines that an earlier line stands for; other columns stay as they are.
 
     Two lines link at a similarity of 0.8 or more. Blank lines stay; a null text stays null with 0 lines. A document that loses all
-    its lines stays with what is left of its text. Rows that share a doc_id are one document: the same line numbers stay in each. A
-    null doc_id comes first. Only doc_id and text are read; columns of `docs` named n_lines or n_dropped are replaced. Line ends are
+    its lines stays with what is left of its text. Rows that share a doc_id, or have none, are documents of their own, in an
+    order of their own. A null doc_id comes first. Only doc_id and text are read; columns of `docs` named n_lines or n_dropped are replaced. Line ends are
     line feeds. An empty table gives no rows.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = line_components(text)
-    told = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.collect_set(F.when(~F.col("keep"), F.col("line"))).alias("dropped"))
     stay = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(stay).alias("d").join(told.alias("t"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("t.doc_id")), "left")
+    docs, number = numbered(docs.select(stay), "lines-docs")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(number).alias("row"), F.col("text").cast("string").alias("text"))
+    lines = line_components(text)
+    told = lines.groupBy("row").agg(F.count("*").alias("n_lines"), F.collect_set(F.when(~F.col("keep"), F.col("line"))).alias("dropped"))
+    joined = docs.alias("d").join(told.alias("t"), F.col(f"d.{number}") == F.col("t.row"), "left")
     gone, own = F.col("t.dropped"), lambda c: F.col(f"d.`{c}`")
     keep = F.filter(F.split(own("text"), "\n", -1), lambda _, i: ~F.array_contains(gone, i))
     return joined.select(
