@@ -11,10 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import shared_dir, table
+from lanewise.llm.common import materialize, numbered, shared_dir, table
 from lanewise.llm.decontamination import decontaminate
 from lanewise.llm.line_dedup import dedup_lines
-from lanewise.llm.ngram_join import jaccard_components
+from lanewise.llm.ngram_join import row_components
 from lanewise.llm.packing import pack
 from lanewise.llm.quality import keep_good
 
@@ -32,9 +32,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of operator 9 the document of smallest doc_id stays; documents without words link with nothing and stay."""
-    ids = jaccard_components(docs).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+    """Of each component of operator 9 one row stays, that of smallest doc_id: of rows that share it, or if none has an id, one of them.
+
+    Documents without words link with nothing and stay.
+    """
+    docs, number = numbered(docs, "near-docs")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(number).alias("row"), F.col("text").cast("string").alias("text"))
+    found = materialize(row_components(text).select("doc_id", "row", "component"), "near-components")
+    first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x"))
+    stay = first.select(F.col("x.row").alias("_stay")).union(found.filter("component IS NULL").select("row"))
+    return docs.join(stay, F.col(number) == F.col("_stay"), "left_semi").drop(number)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,8 +59,8 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 
 def _measure(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, node, n_shingles) of the documents and, with a block, rows of the count table."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    """Rows (doc_id, row, node, n_shingles) of the documents and, with a block, rows of the count table."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(SLOTS, np.int64)
@@ -70,14 +70,14 @@ def _measure(docs: DataFrame) -> DataFrame:
                     count += np.bincount(_slots(np.concatenate(sets)), minlength=SLOTS)
                 n = len(sets)
                 yield pa.record_batch([
-                    batch.column("doc_id").slice(first, n).cast(pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                    batch.column("doc_id").slice(first, n).cast(pa.int64()), batch.column("row").slice(first, n).cast(pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array(list(map(len, sets)), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         rows = count.astype(np.int64).reshape(-1, SLOT_ROW)
         full = np.flatnonzero(rows.any(axis=1))
         m = len(full)
-        yield pa.record_batch([pa.nulls(m, pa.int64())] * 3 + [pa.array(full, pa.int32()), pa.array([rows[i].astype(np.uint32).tobytes() for i in full], pa.binary())], schema=schema)
+        yield pa.record_batch([pa.nulls(m, pa.int64())] * 4 + [pa.array(full, pa.int32()), pa.array([rows[i].astype(np.uint32).tobytes() for i in full], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(task, "doc_id long, node long, n_shingles long, block int, counts binary")
+    return docs.mapInArrow(task, "doc_id long, row long, node long, n_shingles long, block int, counts binary")
 
 
 def _count_table(measured: DataFrame) -> np.ndarray:
@@ -195,17 +195,14 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(task, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id that links reach).
+def row_components(docs: DataFrame) -> DataFrame:
+    """Per row of `docs` (doc_id, row, text): doc_id, row, n_shingles, component (null without shingles) and component_id.
 
-    Two documents link when 100 * intersection >= 80 * union of their shingle sets. Only doc_id and text are read. Null and empty
-    texts and texts without words have no shingles and link with nothing; 1 to 4 words are one shingle. Rows that share a doc_id
-    each have their row; their components are joined only if their texts are. An empty table gives no rows. Hashes are 64 bits.
+    Rows link by their texts alone, so a component holds all rows that links reach, whatever ids they share or lack.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     measured = materialize(_measure(docs), "ngram-measure")
-    rows = measured.filter("block IS NULL").select("doc_id", "node", "n_shingles")
+    rows = measured.filter("block IS NULL").select("doc_id", "row", "node", "n_shingles")
     total = rows.agg(F.sum("n_shingles")).collect()[0][0] or 0
     parts = parts_for(spark, total * (1 - SIMILARITY / 100) * ENTRY_BYTES)
     star = stars(_prefixes(docs, _count_table(measured), parts), parts, "ngram-stars")
@@ -213,5 +210,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "ngram")
     named = first.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(smallest, "component").select("node", "component_id")
-    return rows.join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = named.join(smallest, "component").select("node", "component", "component_id")
+    return rows.join(ids, "node", "left").select("doc_id", "row", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id that links reach).
+
+    Two documents link when 100 * intersection >= 80 * union of their shingle sets. Only doc_id and text are read. Null and empty
+    texts and texts without words have no shingles and link with nothing; 1 to 4 words are one shingle. Rows that share a doc_id
+    each have their row; their components are joined only if their texts are. An empty table gives no rows. Hashes are 64 bits.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    return row_components(docs).select("doc_id", "n_shingles", "component_id")
