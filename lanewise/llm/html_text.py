@@ -22,6 +22,7 @@ SPACED = frozenset("blockquote dl fieldset figure form hr ol p pre table ul".spl
 BLOCKS = SPACED | frozenset("address article aside body caption center dd details dialog div dt figcaption footer header hgroup html legend li main menu nav "
                             "optgroup option search section summary tbody td tfoot th thead tr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 UNSEEN = frozenset("audio canvas datalist head iframe noembed noframes noscript object rp script style svg template title video".split())
 CLOSES_P = BLOCKS - frozenset("body caption html legend optgroup option tbody td tfoot th thead tr".split())
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -38,7 +39,8 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
 class Box:
     """Lines laid out so far, and text of the line under way."""
 
-    def __init__(self, tag: str, pre: bool):
+    def __init__(self, tag: str, pre: bool, alone: bool = False):
+        self.alone = alone  # a table row outside any table
         self.tag, self.pre, self.lines, self.text, self.gap, self.rows, self.count = tag, pre, [], [], 0, [], 0
 
     def flush(self) -> None:
@@ -54,6 +56,10 @@ class Box:
             self.put(lines, 0)
 
     def put(self, lines: list[str], gap: int) -> None:
+        if self.alone and self.rows:
+            # Text after the cells of a row without a table: the cells come first.
+            cells, self.rows = self.rows, []
+            self.put(_cells(cells), 0)
         if lines:
             if self.lines and max(self.gap, gap):
                 self.lines.append("")
@@ -84,6 +90,14 @@ def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     return out
 
 
+def _cells(row: list[tuple[list[str], int]]) -> list[str]:
+    """The cells of a row without a table: side by side, or one below the other if any has several lines."""
+    if all(len(lines) < 2 for lines, _ in row):
+        line = " | ".join(lines[0] if lines else "" for lines, _ in row).rstrip()
+        return [line] if any(lines for lines, _ in row) else []
+    return [x for lines, _ in row for x in lines]
+
+
 class Layout(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -107,7 +121,7 @@ class Layout(HTMLParser):
         box = None
         if tag in BLOCKS and shown:
             self.boxes[-1].flush()
-            box = Box(tag, tag == "pre" or self.boxes[-1].pre)
+            box = Box(tag, tag == "pre" or self.boxes[-1].pre, tag == "tr" and not self.tally.get("table"))
             self.boxes.append(box)
         self.open.append((tag, shown, box))
         self.tally[tag] = self.tally.get(tag, 0) + 1
@@ -129,6 +143,9 @@ class Layout(HTMLParser):
         elif tag in ("td", "th") and around.tag == "tr":
             around.rows.append((lines, box.count or 1))
             return
+        elif box.alone:
+            box.put([], 0)
+            lines = box.lines
         elif tag == "tr" and (table := next((b for b in reversed(self.boxes) if b.tag == "table"), None)):
             if box.rows:
                 table.rows.append(box.rows)
@@ -143,9 +160,15 @@ class Layout(HTMLParser):
             if tag in tags:
                 return
 
+    def _leave_head(self) -> None:
+        while self.open[-1][0] == "head":
+            self._pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if (tag == "body" or tag in CLOSES_P) and self.tally.get("head"):
             self._close({"head"})
+        if tag not in IN_HEAD:
+            self._leave_head()
         if tag in CLOSES_P and self._holds({"p"}, {"table", "td", "th", "button"}):
             self._close({"p"})
         if tag in HEADINGS and self.open[-1][0] in HEADINGS:
@@ -181,6 +204,8 @@ class Layout(HTMLParser):
             self.boxes[-1].put([], 1)
 
     def handle_data(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self._leave_head()
         if self.open[-1][1]:
             # Characters that stand for line ends here are none in a text.
             self.boxes[-1].text.append(data.replace("\v", " "))
