@@ -25,6 +25,8 @@ from lanewise.llm.linking import BLOCKS_SQL, Posting, Sieve, link, stars
 CHARS = 8
 SIMILARITY = 80
 BINS, ROWS = 48, 4
+#: Lines that `signatures` takes at most: it numbers them in 20 bits.
+LINES = 1 << 16
 _EMPTY = U(2**64 - 1)
 
 
@@ -45,7 +47,7 @@ def lines_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[str]]]]:
 
 
 def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the bands, distinct shingles) of lines that aren't empty."""
+    """(keys of the bands, distinct shingles) of at most 2**20 lines that aren't empty."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     g, begin = char_grams(code_points("".join(lines)), np.concatenate(([0], np.cumsum(size))), CHARS)
     owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(begin))
@@ -68,6 +70,12 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key, distinct
 
 
+def keyed(lines: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first line, keys of the bands, distinct shingles) of any number of lines, LINES at a time."""
+    for at in range(0, len(lines), LINES):
+        yield at, *signatures(lines[at:at + LINES])
+
+
 def _held_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line, node) of every line that isn't blank."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("node", pa.int64())])
@@ -90,11 +98,11 @@ def _posted(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for _, rows in lines_of(batch):
                 new = {n: x for own in rows for x in own if x and (n := line_node(x)) not in seen}
-                if new:
-                    seen.update(new)
-                    key, size = signatures(list(new.values()))
+                seen.update(new)
+                node = np.fromiter(new, np.int64, len(new))
+                for at, key, size in keyed(list(new.values())):
                     k = key.shape[1]
-                    yield from out.add(key.ravel(), np.repeat(np.fromiter(new, np.int64, len(new)), k), np.repeat(size, k))
+                    yield from out.add(key.ravel(), np.repeat(node[at:at + len(key)], k), np.repeat(size, k))
         yield from out.flush()
 
     return docs.select("text").mapInArrow(task, BLOCKS_SQL)
