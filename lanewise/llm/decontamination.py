@@ -165,13 +165,17 @@ class Index:
         return [(r, self.ids[i], s, q, a, -at) for (r, i), (s, q, a, at) in sorted(best.items())]
 
 
-def indexes(items: DataFrame, shard: int = SHARD) -> Iterator[Index]:
-    """Indexes of `items` (item_id, text), of `shard` items each at most: only these ever reach the driver at once."""
+def indexes(items: DataFrame, shard: int = SHARD, unnamed: bool = False) -> Iterator[Index]:
+    """Indexes of `items` (item_id, text), of `shard` items each at most: only these ever reach the driver at once.
+
+    Items without an id are left out unless `unnamed`; they come first then.
+    """
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    items = items if unnamed else items.filter("item_id IS NOT NULL")
     after = None
     while True:
         page = items if after is None else items.filter(F.struct("item_id", "text") > F.struct(F.lit(after[0]).cast("long"), F.lit(after[1])))
-        found = [tuple(r) for r in page.filter("item_id IS NOT NULL").distinct().orderBy("item_id", "text").limit(shard).collect()]
+        found = [tuple(r) for r in page.distinct().orderBy("item_id", "text").limit(shard).collect()]
         if found:
             yield Index(found)
         if len(found) < shard:
@@ -206,8 +210,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, shard: int = SHARD) -> DataFra
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, shard: int = SHARD) -> DataFrame:
-    """`docs` without the rows whose text leaks an item; all columns and all other rows stay as they are."""
-    for index in indexes(items, shard):
+    """`docs` without the rows whose text leaks an item, with an id or without; all columns and all other rows stay as they are."""
+    for index in indexes(items, shard, unnamed=True):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def task(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
