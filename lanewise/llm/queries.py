@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanewise.llm.common import table
 from lanewise.llm.decontamination import find_leaks
 from lanewise.llm.embedding_join import near_duplicates
+from lanewise.llm.filter_audit import audit_filters
 from lanewise.llm.html_text import extract_text
 from lanewise.llm.language import identify
 from lanewise.llm.licenses import scan_licenses
@@ -57,7 +58,12 @@ def op5_layout_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
     "op5_layout_html_text": op5_layout_html_text,
     "op2_grid_order_embeddings": op2_grid_order_embeddings,
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
@@ -70,4 +76,29 @@ QUERIES = {
     "op10_license_diagonal_voting": op10_license_diagonal_voting,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_filter_interaction_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+        w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+              (CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END)
+              || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END)
+              || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS fails
+              FROM w LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+        o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM x a, x b, x c, x d, x e
+              WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+        s AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS earlier FROM o, range(1, 6) r(step)),
+        g AS (SELECT part, filter_order, step, own, fails, n, good, toxic, contains(fails, own) AS now,
+              translate(fails, earlier, '') <> fails AS gone FROM c, s),
+        r AS (SELECT part, filter_order, CAST(step AS INT) AS step, own,
+              coalesce(sum(n) FILTER (NOT now AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (now AND NOT gone), 0) AS removed,
+              coalesce(sum(n) FILTER (now AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+              coalesce(sum(good) FILTER (now AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (now AND NOT gone), 0) AS toxic_lost
+              FROM g GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+          CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+          CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
+}
