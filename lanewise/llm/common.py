@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lanewise.session import materialize, shared_dir
 
-__all__ = ["materialize", "numbered", "shared_dir", "table", "partitions", "batch_of", "parts_for"]
+__all__ = ["materialize", "numbered", "shared_dir", "table", "partitions", "batch_of", "few_rows", "parts_for"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +35,17 @@ def parts_for(spark: SparkSession, total_bytes: float, each: float = 24e6) -> in
     return max(partitions(spark), math.ceil(total_bytes / each))
 
 
+@contextlib.contextmanager
+def few_rows(spark: SparkSession, n: int):
+    """Plans made in here hand at most `n` rows at once to Python, for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

@@ -11,7 +11,6 @@ Equal vectors are one class from the start. A leaf pair returns counts and a spa
 
 from __future__ import annotations
 
-import contextlib
 import math
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import materialize
+from lanewise.llm.common import few_rows, materialize
 from lanewise.llm.components import components
 
 SIMILARITY = 0.95
@@ -171,18 +170,6 @@ def _pair_links(nodes: tuple[np.ndarray, np.ndarray], counts: tuple[np.ndarray,
     return both[full], total[full], both[root[full]]
 
 
-@contextlib.contextmanager
-def _few_rows_a_batch(spark, n: int):
-    """Leaf pairs are large rows; so many at most are handed to Python at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, n)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
-
-
 def _linked(classes: DataFrame, size: int, count: int) -> DataFrame:
     """(node, links, root) rows of all leaf pairs of the classes of vectors of one length."""
     spark = classes.sparkSession
@@ -201,7 +188,7 @@ def _linked(classes: DataFrame, size: int, count: int) -> DataFrame:
                 vectors = tuple(np.frombuffer(r[f"{s}_vectors"], np.float64).reshape(-1, size) for s in "ab")
                 yield pa.record_batch([pa.array(x) for x in _pair_links(nodes, counts, vectors, r["a"] == r["b"])], names=["node", "links", "root"])
 
-    with _few_rows_a_batch(spark, 8):
+    with few_rows(spark, 8):
         return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(task, "node long, links long, root long"), "grid-links")
 
 

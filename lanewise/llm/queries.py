@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm.common import table
@@ -16,6 +18,8 @@ from lanewise.llm.ngram_join import jaccard_components
 from lanewise.llm.packing import pack
 from lanewise.llm.pii import find_pii
 from lanewise.llm.quality import score_quality
+from lanewise.llm.warc import read_records, write_archives
+from lanewise.session import stage_path
 
 
 def op8_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +66,13 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = stage_path(spark, f"warc-{uuid.uuid4().hex[:8]}")
+    return read_records(write_archives(table(spark, sf_dir, "pages"), folder), folder, payloads=False).drop("target_uri", "payload")
+
+
 QUERIES = {
+    "op12_indexed_warc": op12_indexed_warc,
     "op11_filter_interaction_audit": op11_filter_interaction_audit,
     "op5_layout_html_text": op5_layout_html_text,
     "op2_grid_order_embeddings": op2_grid_order_embeddings,
@@ -101,4 +111,10 @@ ORACLES: dict[str, str] = {
         SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
+    "op12_indexed_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        h AS (SELECT page_id, octet_length(b) AS payload_bytes, CAST(CAST(from_hex(sha1(b)) AS BIT) AS VARCHAR) AS bits, max(page_id) OVER (PARTITION BY b) AS keeper FROM p)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(('0b' || bits[5 * i + 1:5 * i + 5]) AS INT)]), '') AS payload_digest,
+          CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM h""",
 }
