@@ -10,6 +10,7 @@ from lanewise.llm.common import table
 from lanewise.llm.decontamination import find_leaks
 from lanewise.llm.embedding_join import near_duplicates
 from lanewise.llm.filter_audit import audit_filters
+from lanewise.llm.heap_kmeans import cluster_vectors
 from lanewise.llm.html_text import extract_text
 from lanewise.llm.language import identify
 from lanewise.llm.licenses import scan_licenses
@@ -71,7 +72,31 @@ def op12_indexed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_archives(table(spark, sf_dir, "pages"), folder), folder, payloads=False).drop("target_uri", "payload")
 
 
+def op13_heap_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _clustering_sql(rounds: int = 5) -> str:
+    """Assignments and centroid updates in turn, each a pair of common table expressions."""
+    near = """a{0} AS MATERIALIZED (SELECT id, any_value(vec_id) AS vec_id, any_value(x) AS x, min(struct_pack(
+        d := list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := c)) AS b FROM v, c{0} GROUP BY id)"""
+    move = """s{0} AS (SELECT b.c AS c, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{0}),
+        t{0} AS (SELECT c, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM s{0} GROUP BY ALL),
+        u{0} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM t{0} GROUP BY c),
+        c{1} AS MATERIALIZED (SELECT c, coalesce(u{0}.m, c{0}.m) AS m FROM c{0} LEFT JOIN u{0} USING (c))"""
+    steps = [x for r in range(rounds) for x in (near.format(r), move.format(r, r + 1))] + [near.format(rounds)]
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS x
+              FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: isfinite(y))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, x AS m FROM v ORDER BY c LIMIT 40),
+        {", ".join(steps)}
+        SELECT vec_id, CAST(b.c AS INT) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+          CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON b.c = c"""
+
+
 QUERIES = {
+    "op13_heap_centroid_clustering": op13_heap_centroid_clustering,
     "op12_indexed_warc": op12_indexed_warc,
     "op11_filter_interaction_audit": op11_filter_interaction_audit,
     "op5_layout_html_text": op5_layout_html_text,
@@ -117,4 +142,5 @@ ORACLES: dict[str, str] = {
         SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(('0b' || bits[5 * i + 1:5 * i + 5]) AS INT)]), '') AS payload_digest,
           CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM h""",
+    "op13_heap_centroid_clustering": _clustering_sql(),
 }
