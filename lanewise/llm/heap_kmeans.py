@@ -127,12 +127,10 @@ def _moves(entries: DataFrame, clusters: int) -> np.ndarray:
 
 def _between(low: np.ndarray | None, high: np.ndarray | None) -> Column:
     """Entries with low < key <= high by their cluster; a missing end is open."""
-    def one(c: int) -> Column:
-        own = F.col("cluster") == c
-        own = own if low is None else own & (F.col("key") > float(low[c]))
-        return own if high is None else own & (F.col("key") <= float(high[c]))
-
-    return reduce(Column.__or__, (one(c) for c in range(len(high if low is None else low)) if low is None or high is None or low[c] < high[c]), F.lit(False))
+    ends = [(">", low)] * (low is not None) + [("<=", high)] * (high is not None)
+    some = [c for c in range(len(ends[0][1])) if len(ends) < 2 or low[c] < high[c]]
+    # One expression for all clusters, which Parquet can prune by.
+    return F.expr(" OR ".join(f"(cluster = {c} AND " + " AND ".join(f"key {sign} {float(at[c])!r}D" for sign, at in ends) + ")" for c in some) or "false")
 
 
 class Clustering:
