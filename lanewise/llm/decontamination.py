@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.llm.common import trimmed
 from lanewise.llm.hashing import NOT_ALNUM, grams, hash_words, runs, words
 
 UNIT, PASSAGE, BLOCK = 64, 128, 8
@@ -221,5 +222,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, shard: int = SHARD) -> Data
                     keep[[first + x[0] for x in held.value.leaks(off, data)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(task, docs.schema)
+        docs = docs.mapInArrow(trimmed(task), docs.schema)
     return docs

@@ -14,19 +14,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import materialize, numbered, partitions
+from lanewise.llm.common import few_rows, materialize, numbered, parts_for, trimmed
 from lanewise.llm.hashing import U, char_grams, code_points, mix, runs
-from lanewise.llm.linking import BLOCKS_SQL, Posting, Sieve, link, stars
+from lanewise.llm.linking import BLOCKS_SQL, ENTRY_BYTES, Posting, Sieve, link, stars
 
 CHARS = 8
 SIMILARITY = 80
 BINS, ROWS = 48, 4
-#: Lines that `signatures` takes at most: it numbers them in 20 bits.
-LINES = 1 << 16
+#: Lines that `signatures` takes at most (it numbers them in 20 bits), and characters of candidate lines that are taken apart at once.
+LINES, CHARACTERS = 1 << 13, 1 << 18
+#: Texts or blocks that Spark hands to a task at once, and known lines after which a task forgets them: a repeated line costs a row, not an answer.
+BATCH, KNOWN = 1024, 1 << 17
 _EMPTY = U(2**64 - 1)
 
 
@@ -89,7 +92,7 @@ def _held_lines(docs: DataFrame) -> DataFrame:
                 row = pa.array(row, pa.int64())
                 yield pa.record_batch([doc.take(row), number.take(row), pa.array(line, pa.int32()), pa.array(node, pa.int64())], schema=schema)
 
-    return docs.mapInArrow(task, "doc_id long, row long, line int, node long")
+    return docs.mapInArrow(trimmed(task), "doc_id long, row long, line int, node long")
 
 
 def _posted(docs: DataFrame, parts: int) -> DataFrame:
@@ -98,6 +101,8 @@ def _posted(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for _, rows in lines_of(batch):
                 new = {n: x for own in rows for x in own if x and (n := line_node(x)) not in seen}
+                if len(seen) > KNOWN:
+                    seen.clear()
                 seen.update(new)
                 node = np.fromiter(new, np.int64, len(new))
                 for at, key, size in keyed(list(new.values())):
@@ -105,7 +110,7 @@ def _posted(docs: DataFrame, parts: int) -> DataFrame:
                     yield from out.add(key.ravel(), np.repeat(node[at:at + len(key)], k), np.repeat(size, k))
         yield from out.flush()
 
-    return docs.select("text").mapInArrow(task, BLOCKS_SQL)
+    return docs.select("text").mapInArrow(trimmed(task), BLOCKS_SQL)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -119,10 +124,12 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 new = {n: x for own in rows for x in own if x and (n := line_node(x)) not in seen}
                 node = np.fromiter(new, np.int64, len(new))
                 node = node[sieve.may_hold(node)]
+                if len(seen) > KNOWN:
+                    seen.clear()
                 seen.update(node.tolist())
                 yield pa.record_batch([pa.array(node), pa.array([new[x] for x in node.tolist()], pa.string())], schema=schema)
 
-    return docs.select("text").mapInArrow(task, "node long, line string").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(trimmed(task), "node long, line string").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
@@ -132,6 +139,15 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     return [np.unique(g[x:y]) for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
 
+def slices(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ends of runs of rows whose sizes sum up to `limit` at most; a larger row is a run of its own."""
+    total, at = np.cumsum(size), 0
+    while at < len(total):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+        yield at, end
+        at = end
+
+
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two shingle sets have similarity 0.8 or more."""
     if 100 * min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
@@ -152,9 +168,10 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            size = np.add(*(pc.utf8_length(batch.column(c)).to_numpy() for c in ("x", "y")))
             # A line that stands in many pairs of a slice is taken apart once.
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at, end in slices(size, CHARACTERS):
+                part = batch.slice(at, end - at)
                 a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
                 line = dict(zip(a + b, part.column("x").to_pylist() + part.column("y").to_pylist(), strict=True))
                 own = dict(zip(line, shingle_sets(list(line.values())), strict=True))
@@ -167,15 +184,17 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     a, b = (texts.select(F.col("node").alias(n), F.col("line").alias(g)) for n, g in (("a", "x"), ("b", "y")))
     # Dealt anew by pair: a line with many candidates would leave all of them to one task.
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").repartition("a", "b")
-    return both.sortWithinPartitions("a").mapInArrow(task, "a long, b long")
+    return materialize(both.sortWithinPartitions("a").mapInArrow(trimmed(task), "a long, b long"), "lines-verified")
 
 
 def line_components(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line, component, keep) of every line of `docs` (doc_id, row, text) that isn't blank; lines count from 0, rows are unique."""
-    held = materialize(_held_lines(docs), "lines-held")
-    parts = 2 * partitions(docs.sparkSession)
-    star = stars(_posted(docs, parts), parts, "lines-stars")
-    joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "lines")
+    spark = docs.sparkSession
+    with few_rows(spark, BATCH):
+        held = materialize(_held_lines(docs), "lines-held")
+        parts = parts_for(spark, held.count() * (BINS // ROWS) * ENTRY_BYTES)
+        star = stars(_posted(docs, parts), parts, "lines-stars")
+        joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "lines")
     # Of each text its first line, then of each component: two sums of small rows, whatever a text's copies.
     first = held.groupBy("node").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
     named = first.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import materialize
+from lanewise.llm.common import materialize, trimmed
 from lanewise.llm.components import components
 
 # Entries of one task that are held before they are dealt to parts.
@@ -87,7 +87,7 @@ def stars(blocks: DataFrame, parts: int, name: str) -> DataFrame:
             known = [merged[together], *(np.concatenate((k, a))[together] for k, a in zip(known[1:], add[1:], strict=True))]
 
     return materialize(blocks.repartition(parts, "part").mapInArrow(
-        task, "key long, node long, meta long, hub long, hub_meta long"), name)
+        trimmed(task), "key long, node long, meta long, hub long, hub_meta long"), name)
 
 
 class Sieve:

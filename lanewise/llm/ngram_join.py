@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import materialize, parts_for
+from lanewise.llm.common import few_rows, materialize, parts_for, trimmed
 from lanewise.llm.hashing import WHITE, grams, runs, words
 from lanewise.llm.linking import BLOCKS_SQL, ENTRY_BYTES, Posting, Sieve, link, stars
 
@@ -33,6 +33,9 @@ MOST_MATCHES = 12
 #: Cost of verifying a pair against that of posting a shingle, and holders that a shingle meets beyond what its slot tells: the
 #: table has more shingles than slots, so a passage of a few documents doesn't stand out in it.
 VERIFY_COST, BACKGROUND = 50.0, 0.05
+#: Texts or blocks and pairs of sets that Spark hands to a task at once, and known sets after which a task forgets them: a repeated set
+#: costs a row, not an answer.
+BATCH, PAIRS, KNOWN = 1024, 64, 1 << 17
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -77,7 +80,7 @@ def _measure(docs: DataFrame) -> DataFrame:
         m = len(full)
         yield pa.record_batch([pa.nulls(m, pa.int64())] * 4 + [pa.array(full, pa.int32()), pa.array([rows[i].astype(np.uint32).tobytes() for i in full], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(task, "doc_id long, row long, node long, n_shingles long, block int, counts binary")
+    return docs.mapInArrow(trimmed(task), "doc_id long, row long, node long, n_shingles long, block int, counts binary")
 
 
 def _count_table(measured: DataFrame) -> np.ndarray:
@@ -124,6 +127,8 @@ def _prefixes(docs: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
                     n = len(s)
                     if not n or (node := node_of(s)) in seen:
                         continue
+                    if len(seen) > KNOWN:
+                        seen.clear()
                     seen.add(node)
                     c = count[_slots(s)]
                     order = np.argsort(c, kind="stable")[:n - (SIMILARITY * n + 99) // 100 + MOST_MATCHES]
@@ -133,7 +138,7 @@ def _prefixes(docs: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
                     yield from out.add(s[order], np.full(k, node, np.int64), np.full(k, n * 16 + l, np.int64))
         yield from out.flush()
 
-    return docs.select("text").mapInArrow(task, BLOCKS_SQL)
+    return docs.select("text").mapInArrow(trimmed(task), BLOCKS_SQL)
 
 
 def _fits(shared: Column | None, a: Column, b: Column) -> Column:
@@ -162,13 +167,15 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [s for s in sets if len(s)]
                 node = np.array([node_of(s) for s in sets], np.int64)
                 own = []
+                if len(seen) > KNOWN:
+                    seen.clear()
                 for i in np.flatnonzero(sieve.may_hold(node)).tolist():
                     if (x := int(node[i])) not in seen:
                         seen.add(x)
                         own.append((x, sets[i].tobytes()))
                 yield pa.record_batch([pa.array([x[i] for x in own], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    found = docs.select("text").mapInArrow(task, "node long, grams binary")
+    found = docs.select("text").mapInArrow(trimmed(task), "node long, grams binary")
     return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -192,7 +199,8 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     a, b = (sets.select(F.col("node").alias(n), F.col("grams").alias(g)) for n, g in (("a", "x"), ("b", "y")))
     # Dealt anew by pair: a set with many candidates would leave all of them to one task.
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").repartition("a", "b")
-    return both.mapInArrow(task, "a long, b long")
+    with few_rows(docs.sparkSession, PAIRS):
+        return materialize(both.mapInArrow(trimmed(task), "a long, b long"), "ngram-verified")
 
 
 def row_components(docs: DataFrame) -> DataFrame:
@@ -201,13 +209,14 @@ def row_components(docs: DataFrame) -> DataFrame:
     Rows link by their texts alone, so a component holds all rows that links reach, whatever ids they share or lack.
     """
     spark = docs.sparkSession
-    measured = materialize(_measure(docs), "ngram-measure")
-    rows = measured.filter("block IS NULL").select("doc_id", "row", "node", "n_shingles")
-    total = rows.agg(F.sum("n_shingles")).collect()[0][0] or 0
-    parts = parts_for(spark, total * (1 - SIMILARITY / 100) * ENTRY_BYTES)
-    star = stars(_prefixes(docs, _count_table(measured), parts), parts, "ngram-stars")
+    with few_rows(spark, BATCH):
+        measured = materialize(_measure(docs), "ngram-measure")
+        rows = measured.filter("block IS NULL").select("doc_id", "row", "node", "n_shingles")
+        total = rows.agg(F.sum("n_shingles")).collect()[0][0] or 0
+        parts = parts_for(spark, total * (1 - SIMILARITY / 100) * ENTRY_BYTES)
+        star = stars(_prefixes(docs, _count_table(measured), parts), parts, "ngram-stars")
+        joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "ngram")
     first = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "ngram")
     named = first.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(smallest, "component").select("node", "component", "component_id")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.llm.common import trimmed
 from lanewise.llm.hashing import WHITE, runs, separators, words
 
 FOLDS, HELD_OUT = 3, 1
@@ -179,4 +180,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             good = [net.value.score(features(off, data)) >= 0.5 for _, off, data in runs(batch)]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(trimmed(task), docs.schema)
