@@ -50,8 +50,8 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: a row per piece, with the digest of its ids."""
-    return pack(docs, digest=True)
+    """Operator 8: a row per piece, with its token ids."""
+    return pack(docs)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("benchmarks", benchmarks), ("packing", packing)]
