@@ -59,10 +59,10 @@ def main() -> None:
     t = d.tables
     timed("motion_features", lambda: drain(I.individual_features(t.points, t.scenarios)))
     ind = timed("individual_with_map", lambda: materialize(
-        jobs.individual(t, threshold=0.5, k_lanes=3, stage=materialize), "ind"))
+        jobs.individual(t, threshold=0.5, stage=materialize), "ind"))
     pairs = timed("pairs_ego", lambda: materialize(P.pair_features(t.points, t.scenarios, scope="ego"), "pairs"))
     timed("pairs_all", lambda: drain(P.pair_features(t.points, t.scenarios, scope="all")))
-    timed("closest_lanes", lambda: drain(M.closest_lanes(t.points, t.map_points, k=3)))
+    timed("closest_lanes", lambda: drain(M.closest_lanes(t.points, t.map_points)))
     agent, scene = timed("scores", lambda: [materialize(x, "s") for x in jobs.scores(
         t, ind, pairs, PIPE, stage=materialize)])
     timed("thresholds", lambda: drain(A.category_thresholds(

@@ -8,39 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def quantile_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: int, per_cut: int = 32) -> DataFrame:
+    """Per key that holds at least one of about `cuts` quantiles of all rows by (keys, order): `_cuts`, the sorted quantiles in it.
+
+    The quantiles come from the cuts * per_cut rows of smallest hash, a repeatable sample of fixed size, so a key has quantiles as its
+    share of all rows has them, wherever its values lie.
+    """
+    drawn = df.select(*keys, F.struct(*order).alias("_o")).orderBy(F.xxhash64(*keys, *order), *keys, "_o").limit(cuts * per_cut)
+    # The sample is of fixed size: one task numbers it.
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys, "_o"))
+    chosen = drawn.withColumn("_place", place).filter(F.col("_place") % per_cut == 0)
+    return chosen.groupBy(*keys).agg(F.array_sort(F.collect_set("_o")).alias("_cuts"))
+
+
 def balanced_row_number(
-    df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), out: str = "rn", max_rows: int = 1_000_000
+    df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), out: str = "rn", cuts: int | None = None,
 ) -> DataFrame:
-    """1-based row number per key without sorting a hot key in one task.
+    """1-based row number per key by (order, ties), the same plan for keys of any size.
 
-    A key above `max_rows` is cut into slices of the numeric `order` column; each slice is numbered on its own and
-    shifted by the rows of the slices before it. Both broadcast sides hold at most about rows / max_rows entries.
+    About `cuts` quantiles of all rows (twice the shuffle partitions by default) cut the keys they fall into into slices; each slice
+    is numbered on its own and shifted by the rows of the slices before it. Only rows equal in key, order and ties can't be told
+    apart. Both broadcast sides have at most one row per quantile and per slice of a key with quantiles.
     """
-    keys = list(keys)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-        .filter(F.col("_n") > max_rows)
-        .withColumn("_cuts", F.ceil(F.col("_n") / float(max_rows)) * 2)
-    )
-    pos = (F.col(order) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
-    cut = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(pos * F.col("_cuts")), F.col("_cuts") - 1))
-    tagged = df.join(F.broadcast(hot), keys, "left").withColumn("_cut", F.coalesce(cut, F.lit(0)).cast("long"))
-    before = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    keys, by = list(keys), [order, *ties]
+    cuts = cuts or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = quantile_cuts(df, keys, by, cuts)
+    before = F.size(F.filter("_cuts", lambda c: c <= F.struct(*by)))
+    tagged = df.join(F.broadcast(bounds), keys, "left").withColumn("_cut", F.coalesce(F.when(F.col("_cuts").isNotNull(), before), F.lit(0)))
+    upto = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        tagged.filter(F.col("_n").isNotNull())
-        .groupBy(*keys, "_cut")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
-    )
-    local = F.row_number().over(Window.partitionBy(*keys, "_cut").orderBy(order, *ties))
+        tagged.filter(F.col("_cuts").isNotNull()).groupBy(*keys, "_cut").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_shift", F.coalesce(F.sum("_rows").over(upto), F.lit(0))).drop("_rows"))
+    local = F.row_number().over(Window.partitionBy(*keys, "_cut").orderBy(*by))
     return (
-        tagged.withColumn("_local", local)
+        tagged.drop("_cuts").withColumn("_local", local)
         .join(F.broadcast(shift), [*keys, "_cut"], "left")
         .withColumn(out, (F.col("_local") + F.coalesce("_shift", F.lit(0))).cast("long"))
-        .drop("_n", "_lo", "_hi", "_cuts", "_cut", "_local", "_shift")
-    )
+        .drop("_cut", "_local", "_shift"))
 
 
 def value_bucket(v: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import expr as X
+from lanewise.functions.nearest import nearest_distance
 from lanewise.operators.limits import attach
 from lanewise.schema import EPS, INDIVIDUAL_FEATURES, MIN_VALID, MPH_TO_MS, Limits
 
@@ -108,17 +109,8 @@ def waiting_period(runs: DataFrame, conflict_points: DataFrame, *, criterion: st
     `runs` has one row per agent with `waits`: array of struct(x, y, z, seconds), one per standstill.
     """
     each = runs.select(*KEY, F.posexplode("waits").alias("run", "w")).select(
-        *KEY, "run", F.col("w.x").alias("wx"), F.col("w.y").alias("wy"), F.col("w.z").alias("wz"),
-        F.col("w.seconds").alias("seconds"))
-    cps = conflict_points.select(
-        "scenario_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
-    dist = X.norm3(F.col("cx") - F.col("wx"), F.col("cy") - F.col("wy"), F.col("cz") - F.col("wz"))
-    nearest = (
-        each.join(cps, "scenario_id")
-        .groupBy(*KEY, "run", "seconds")
-        .agg(F.min(dist).alias("distance"))
-        .withColumn("score", F.col("seconds") / (F.col("distance") + EPS))
-    )
+        *KEY, "run", *[F.coalesce(F.col(f"w.{c}").cast("double"), X.lit_d(X.NAN)).alias(c) for c in "xyz"], F.col("w.seconds").alias("seconds"))
+    nearest = nearest_distance(each, conflict_points, name="waits").withColumn("score", F.col("seconds") / (F.col("distance") + EPS))
     agg = F.max if criterion == "critical" else F.avg
     return nearest.groupBy(*KEY).agg(agg("score").alias("waiting_period"))
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import expr as X
+from lanewise.functions.nearest import CELL, Columns, distances, nearest_distance, ring_join, sum_of_squares
 from lanewise.operators.individual import valid_points
 from lanewise.schema import EPS
+from lanewise.session import materialize
 
 KEY = ["scenario_id", "agent_idx"]
 STATIC_CLASSES = ("crosswalk", "speed_bump", "stop_sign")
@@ -111,14 +115,92 @@ def conflict_distances(points: DataFrame, conflicts: DataFrame) -> DataFrame:
                                                                                d.alias("distance"))
 
 
+def _steps(points: DataFrame, ndim: int = 3) -> DataFrame:
+    """Agent steps as queries; a missing coordinate is a NaN."""
+    x, y, z = (F.coalesce(F.col(c).cast("double"), X.lit_d(X.NAN)).alias(c) for c in "xyz")
+    return points.select(*KEY, "t", x, y, z if ndim == 3 else F.lit(0.0).alias("z"))
+
+
 def nearest_conflict(points: DataFrame, conflicts: DataFrame) -> DataFrame:
-    return conflict_distances(points, conflicts).groupBy(*KEY, "t").agg(F.min("distance").alias("distance"))
+    """Distance of each agent step to the nearest conflict point of its scene; scenes without any have no rows.
+
+    Steps meet the conflict points of rings of cells, see :mod:`lanewise.functions.nearest`. A step without a position has a NaN.
+    """
+    return nearest_distance(_steps(points), conflicts, name="nearest-conflict").select(*KEY, "t", "distance")
 
 
 def reaches_conflict(points: DataFrame, conflicts: DataFrame, *, within: float) -> DataFrame:
-    """Whether an agent is ever within a distance of any conflict point."""
-    return nearest_conflict(points, conflicts).groupBy(*KEY).agg(
-        F.max(F.col("distance") <= within).alias("in_conflict"))
+    """Whether an agent is ever within a distance of any conflict point of its scene; only cells of that width are compared."""
+    agents = points.select(*KEY).distinct().join(conflicts.select("scenario_id").distinct(), "scenario_id", "left_semi")
+    near = nearest_distance(_steps(points), conflicts, within=within, name="reached-conflict").filter(F.col("distance") <= within)
+    hit = near.select(*KEY).distinct().withColumn("in_conflict", F.lit(True))
+    return agents.join(hit, KEY, "left").withColumn("in_conflict", F.coalesce("in_conflict", F.lit(False)))
+
+
+def _lane_targets(map_points: DataFrame, subsample: int, ndim: int) -> DataFrame:
+    """Lane points with their place in the lane, both neighbours, half the longest segment and the number of lanes of the scene."""
+    lane = Window.partitionBy("scenario_id", "lane")
+    along = lane.orderBy("point_idx")
+    pts = map_points.filter((F.col("feature_class") == "lane") & (F.col("point_idx") % subsample == 0)).select(
+        "scenario_id", F.col("feature_idx").alias("lane"), "point_idx", "x", "y", (F.col("z") if ndim == 3 else F.lit(0.0)).alias("z"))
+    missing = X.lit_d(X.NAN)
+    pts = pts.withColumns({
+        "pos": (F.row_number().over(along) - 1).cast("double"),
+        **{f"b{c}": F.coalesce(F.lag(c).over(along), missing) for c in "xyz"}, **{f"a{c}": F.coalesce(F.lead(c).over(along), missing) for c in "xyz"}})
+    gap = X.norm3(F.col("ax") - F.col("x"), F.col("ay") - F.col("y"), F.col("az") - F.col("z"))
+    scene = pts.groupBy("scenario_id").agg(F.count_distinct("lane").cast("double").alias("lanes"),
+                                           F.coalesce(F.max(F.when(~F.isnan(gap), gap)) / 2, F.lit(0.0)).alias("half"))
+    return materialize(pts.drop("point_idx").join(scene, "scenario_id"), "lane-targets")
+
+
+_LANE_COLUMNS = [("lane_idx", pa.int64()), *((c, pa.float64()) for c in (
+    "near", "idx", "proj", "along", "foot_x", "foot_y", "foot_z", "at_x", "at_y", "at_z"))]
+
+
+def _lane_kernel(k: int, threshold: float):
+    """Lanes of a step that may be among its k nearest, and those within `threshold`: nearest point, and foot on the adjacent segment.
+
+    A foot is at most half a segment nearer than the nearest point, so a step is done when k lanes are nearer than what the ring
+    covers less that, or all lanes of the scene are covered.
+    """
+    def kernel(q: Columns, t: Columns, reach: float) -> tuple[Columns, np.ndarray]:
+        n = len(q["x"])
+        nowhere = ~np.isfinite(q["x"] + q["y"] + q["z"])
+        if not len(t["x"]):
+            return {name: np.zeros(0) for name in ("query", *(c for c, _ in _LANE_COLUMNS))} | {"query": np.zeros(0, np.int64), "lane_idx": np.zeros(0, np.int64)}, nowhere
+        order = np.lexsort((t["pos"], t["lane"]))
+        t = {c: x[order] for c, x in t.items()}
+        d = distances(q, t)
+        ends = np.append(np.flatnonzero(np.diff(t["lane"])) + 1, len(order))
+        best = np.stack([d[:, a:b].argmin(1) + a for a, b in zip([0, *ends[:-1]], ends, strict=True)], 1)
+        near = np.take_along_axis(d, best, 1)
+        near[~(near <= reach)] = np.inf
+        half, kth = t["half"][0] + 1e-9, np.full(n, np.inf)
+        if near.shape[1] >= k:
+            kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+        done = (kth <= reach - half) | (np.isfinite(near).sum(1) == t["lanes"][0]) | nowhere
+        keep = np.isfinite(near) & ((near - half <= kth[:, None]) | (near <= threshold)) & done[:, None]
+        i, lane = np.nonzero(keep)
+        j = best[i, lane]
+        low = near[i, lane]
+        x = [q[c][i] for c in "xyz"]
+        c, before, after = ([t[f"{s}{a}"][j] for a in "xyz"] for s in ("", "b", "a"))
+        to = lambda p: np.sqrt(sum_of_squares([a - b for a, b in zip(p, x, strict=True)]))
+        first, last = np.isnan(before[0]), np.isnan(after[0])
+        back = ~first & (last | (to(before) < to(after)))
+        a, b = ([np.where(back, u, v) for u, v in zip(p, r, strict=True)] for p, r in ((before, c), (c, after)))
+        s = [v - u for u, v in zip(a, b, strict=True)]
+        long = sum_of_squares(s)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = ((x[0] - a[0]) * s[0] + (x[1] - a[1]) * s[1] + (x[2] - a[2]) * s[2]) / long
+            foot = [p + u * (r - p) for p, r in zip(a, b, strict=True)]
+            proj = np.sqrt(sum_of_squares([v - f for v, f in zip(x, foot, strict=True)]))
+            fits = (long >= EPS) & (u >= 0) & (u <= 1) & (proj < low)
+        return {"query": i, "lane_idx": t["lane"][j].astype(np.int64), "near": low, "idx": t["pos"][j], "proj": np.where(fits, proj, np.inf),
+                "along": t["pos"][j] - back + u, **dict(zip(("foot_x", "foot_y", "foot_z"), foot, strict=True)),
+                **dict(zip(("at_x", "at_y", "at_z"), c, strict=True))}, done
+
+    return kernel
 
 
 def closest_lanes(
@@ -126,50 +208,19 @@ def closest_lanes(
 ) -> DataFrame:
     """K nearest lanes of each valid agent step: (.., t, rank, lane_idx, distance, point_idx, proj_x, proj_y, proj_z).
 
-    A lane is one array row, so the join makes one row per step and lane and the search over lane points stays inside
-    the row. A lane an agent ever comes within `threshold` of is refined to the adjacent segment.
+    Steps meet the lane points of rings of cells, see :mod:`lanewise.functions.nearest`; only lanes that may be among the nearest are
+    rows. A lane an agent ever comes within `threshold` of is refined to the adjacent segment. Steps without a position have no lanes.
     """
-    lanes = (
-        map_points.filter((F.col("feature_class") == "lane") & (F.col("point_idx") % subsample == 0))
-        .groupBy("scenario_id", F.col("feature_idx").alias("lane_idx"))
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("point_idx", "x", "y", "z"))), lambda p: F.struct(
-            p["x"].alias("x"), p["y"].alias("y"), (p["z"] if ndim == 3 else F.lit(0.0)).alias("z"))).alias("lane"))
-    )
-    pts = valid_points(points).select(*KEY, "t", "x", "y", (F.col("z") if ndim == 3 else F.lit(0.0)).alias("z"))
-
-    def gap(p):
-        return X.norm3(p["x"] - F.col("x"), p["y"] - F.col("y"), p["z"] - F.col("z"))
-
-    # Sort-merge keeps the search, which is most of the work, spread over the steps instead of the few lane rows.
-    rows = pts.join(lanes.hint("merge"), "scenario_id").withColumn("dists", F.transform("lane", gap))
-    rows = rows.withColumn("near", F.array_min("dists")).withColumn(
-        "idx", F.array_position("dists", F.col("near")).cast("int") - 1)
-    last = F.size("lane") - 1
-    to_prev = F.get("dists", F.col("idx") - 1) < F.get("dists", F.col("idx") + 1)
-    start = (
-        F.when(F.col("idx") == 0, 0).when(F.col("idx") == last, last - 1)
-        .when(to_prev, F.col("idx") - 1).otherwise(F.col("idx"))
-    )
-    rows = rows.withColumn("seg", F.when(last > 0, start))
-    rows = rows.select(
-        *KEY, "t", "x", "y", "z", "lane_idx", "near", "idx", "seg", F.get("lane", F.col("idx")).alias("c"),
-        F.get("lane", F.col("seg")).alias("a"), F.get("lane", F.col("seg") + 1).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    sx, sy, sz = b["x"] - a["x"], b["y"] - a["y"], b["z"] - a["z"]
-    len2 = sx * sx + sy * sy + sz * sz
-    along = (F.col("x") - a["x"]) * sx + (F.col("y") - a["y"]) * sy + (F.col("z") - a["z"]) * sz
-    rows = rows.withColumn("u", F.when(len2 >= EPS, along / len2))
-    u = F.col("u")
-    rows = rows.withColumns({f"p{c}": a[c] + u * (b[c] - a[c]) for c in "xyz"})
-    proj = X.norm3(F.col("x") - F.col("px"), F.col("y") - F.col("py"), F.col("z") - F.col("pz"))
-    rows = rows.withColumn("proj", proj).withColumn(
-        "gate", F.min("near").over(Window.partitionBy(*KEY, "lane_idx")) <= threshold)
-    use = F.coalesce(F.col("gate") & (u >= 0) & (u <= 1) & (F.col("proj") < F.col("near")), F.lit(False))
-    c = F.col("c")
-    out = rows.select(
+    lanes = _lane_targets(map_points, subsample, ndim)
+    near = ring_join(_steps(valid_points(points), ndim), lanes, _lane_kernel(k, threshold), _LANE_COLUMNS,
+                     cell=max(CELL, threshold), name="closest-lanes")
+    # One exchange by agent serves both windows.
+    near = near.repartition(*KEY).withColumn("gate", F.min("near").over(Window.partitionBy(*KEY, "lane_idx")) <= threshold)
+    use = F.col("gate") & (F.col("proj") < F.col("near"))
+    out = near.select(
         *KEY, "t", "lane_idx", F.when(use, F.col("proj")).otherwise(F.col("near")).alias("distance"),
-        F.when(use, F.col("seg") + u).otherwise(F.col("idx").cast("double")).alias("point_idx"),
-        *[F.when(use, F.col(f"p{x}")).otherwise(c[x]).alias(f"proj_{x}") for x in "xyz"])
+        F.when(use, F.col("along")).otherwise(F.col("idx")).alias("point_idx"),
+        *[F.when(use, F.col(f"foot_{c}")).otherwise(F.col(f"at_{c}")).alias(f"proj_{c}") for c in "xyz"])
     order = Window.partitionBy(*KEY, "t").orderBy("distance", "lane_idx")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

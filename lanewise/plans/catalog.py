@@ -271,7 +271,7 @@ def _(d):
     pred = d.raw("events").filter("event_type = 'purchase'").select(
         F.col("event_id").alias("sample"), F.col("user_id").alias("instance"))
     samples = d.raw("events").select(F.col("event_id").alias("sample"), (F.col("user_id") % 10).alias("scene"))
-    return N.targets_by_scene(pred, samples).groupBy("scene").agg(F.count(F.lit(1)).alias("targets"))
+    return N.targets_by_scene(pred, samples)
 
 
 @query("S16_frequency")
@@ -364,9 +364,9 @@ def _(d):
 
 @query("S27_upsert")
 def _(d):
-    ind = d.individual.select(*KEY, "speed", "jerk")
-    old = ind.filter("agent_idx < 7").withColumn("speed", F.when(F.col("agent_idx") != 2, F.col("speed")))
-    new = ind.filter("agent_idx > 3 OR agent_idx = 2").withColumn("speed", F.col("speed") + 100.0).drop("jerk")
+    # Agents without usable motion lack a row on one side, agents of lone scenes a value on the other.
+    old = d.individual.select(*KEY, "speed", "jerk")
+    new = d.agent_scores.filter("scorer = 'interaction'").select(*KEY, F.col("score").alias("speed"))
     out = None
     for mode in ("add", "update", "overwrite"):
         got = K.upsert(old, new, KEY, mode)
@@ -378,14 +378,12 @@ def _(d):
 
 @query("S28_pending")
 def _(d):
-    return K.pending(d.scenarios, d.individual.filter("agent_type = 5 AND speed > 6.0"))
+    return K.pending(d.scenarios, d.pairs)
 
 
 @query("S29_common_ids")
 def _(d):
-    return N.common_ids([d.individual.filter("agent_type = 3"), d.pairs.filter("status = 0"),
-                         d.summary.filter("probe_found = 'no'").withColumn(
-                             "scenario_id", F.col("scenario_id").cast("long"))])
+    return N.common_ids([d.individual, d.pairs, d.summary.withColumn("scenario_id", F.col("scenario_id").cast("long"))])
 
 
 @query("S30_thresholds_file")
@@ -515,9 +513,7 @@ def _(d):
 
 @query("M04_conflict_points")
 def _(d):
-    c = M.conflict_points(d.map_points, D.signals(d.scenarios, 3), threshold=0.5)
-    return c.groupBy("scenario_id", "kind").agg(
-        F.count(F.lit(1)).alias("points"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+    return M.conflict_points(d.map_points, D.signals(d.scenarios, 3), threshold=0.5).select("scenario_id", "kind", "x", "y")
 
 
 @query("M05_nearest_conflict")
@@ -527,7 +523,13 @@ def _(d):
 
 @query("M06_closest_lanes")
 def _(d):
-    return M.closest_lanes(d.points, d.map_points, k=3, threshold=10.0, subsample=2).select(
+    return M.closest_lanes(d.points, d.map_points).select(
+        *KEY, "t", "rank", "lane_idx", "distance", "point_idx", "proj_x", "proj_y")
+
+
+@query("M07_closest_lanes_of_every_second_point")
+def _(d):
+    return M.closest_lanes(d.points, d.map_points, k=3, subsample=2).select(
         *KEY, "t", "rank", "lane_idx", "distance", "point_idx", "proj_x", "proj_y")
 
 
@@ -835,7 +837,7 @@ def _(d):
 
 @query("A18_probed_rows")
 def _(d):
-    return A.probed_rows(d.summary).select("scenario_id", "probed_agent_id", "n_affected")
+    return A.probed_rows(d.summary)
 
 
 @query("A19_probe_outcomes")
@@ -851,7 +853,7 @@ def _(d):
 
 @query("A21_top_probes")
 def _(d):
-    return A.top_probes(d.summary, 5).select("scenario_id", "score_delta")
+    return A.top_probes(d.summary, 5)
 
 
 @query("A22_delta_quartiles")
@@ -866,8 +868,7 @@ def _(d):
 
 @query("A23_percentile_folders")
 def _(d):
-    scored = d.scene_scores.filter("key = 'combined' AND scene_score > 0")
-    return A.percentile_folders(scored, d.scenarios)
+    return A.percentile_folders(d.scene_scores.filter("key = 'combined'"), d.scenarios)
 
 
 @query("A24_normalized_scores")

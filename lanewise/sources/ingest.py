@@ -42,7 +42,8 @@ def sample_scenarios(ids: DataFrame, n: int | None, seed: int = 0) -> DataFrame:
     if n is None or n < 0:
         return ids
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("scenario_id").cast("string")))
-    return ids.orderBy(draw, "scenario_id").limit(n)
+    drawn = balanced_row_number(ids.withColumns({"_draw": draw, "_all": F.lit(1)}), ["_all"], "_draw", ["scenario_id"])
+    return drawn.filter(F.col("rn") <= n).select("scenario_id")
 
 
 def truncate_horizon(points: DataFrame, steps: int) -> DataFrame:

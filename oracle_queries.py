@@ -172,7 +172,7 @@ UNION ALL SELECT scenario_id, agent_idx, 'targets', CASE WHEN agent_idx=ego_idx
 oracle("S14_select_targets", """
 SELECT scenario_id, agent_idx, CASE WHEN agent_type=2 THEN 0 ELSE 1 END AS difficulty FROM agt WHERE agent_type<>4""")
 oracle("S15_targets_by_scene", """
-SELECT user_id % 10 AS scene, count(DISTINCT user_id) AS targets FROM events WHERE event_type='purchase' GROUP BY 1""")
+SELECT DISTINCT user_id % 10 AS scene, user_id AS instance FROM events WHERE event_type='purchase'""")
 oracle("S16_frequency", f"""
 WITH l AS (SELECT scenario_id, t, min(ts_s) AS ts FROM pts GROUP BY ALL),
 d AS (SELECT scenario_id, ts - lag(ts) OVER (PARTITION BY scenario_id ORDER BY t) AS dt FROM l),
@@ -264,13 +264,14 @@ cte("ac", _slope("sm", "speed", "accel"))
 cte("jk", _slope("ac", "accel", "jrk"))
 oracle("F04_smoothed_speed", f"SELECT scenario_id, agent_idx, t, {rs('raw_speed','speed')} FROM sm")
 oracle("F07_acceleration_and_jerk", f"SELECT scenario_id, agent_idx, t, {r('accel')}, {r('abs(jrk)','jerk')} FROM jk")
-cte("cl", """
-WITH d AS (SELECT v.scenario_id, v.agent_idx, v.t, v.x, v.y, m.feature_idx AS lane_idx, m.point_idx // 2 AS pi, m.x AS mx,
+for _name, _step, _last in (("cl", 1, 24), ("cl_half", 2, 12)):
+    cte(_name, f"""
+WITH d AS (SELECT v.scenario_id, v.agent_idx, v.t, v.x, v.y, m.feature_idx AS lane_idx, m.point_idx // {_step} AS pi, m.x AS mx,
   m.y AS my, sqrt((v.x-m.x)**2+(v.y-m.y)**2) AS d FROM vp v JOIN mp m ON m.scenario_id=v.scenario_id AND
-  m.feature_class='lane' AND m.point_idx % 2 = 0),
+  m.feature_class='lane' AND m.point_idx % {_step} = 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY scenario_id,agent_idx,t,lane_idx ORDER BY d, pi) AS rn FROM d),
 b AS (SELECT n.*, min(d) OVER (PARTITION BY scenario_id,agent_idx,lane_idx) <= 10 AS gate FROM n WHERE rn=1),
-s AS (SELECT b.*, CASE WHEN b.pi=0 THEN 0 WHEN b.pi=12 THEN 11 WHEN p.d < q.d THEN b.pi-1 ELSE b.pi END AS seg
+s AS (SELECT b.*, CASE WHEN b.pi=0 THEN 0 WHEN b.pi={_last} THEN {_last - 1} WHEN p.d < q.d THEN b.pi-1 ELSE b.pi END AS seg
   FROM b LEFT JOIN d p ON p.scenario_id=b.scenario_id AND p.agent_idx=b.agent_idx AND p.t=b.t AND p.lane_idx=b.lane_idx
    AND p.pi=b.pi-1
   LEFT JOIN d q ON q.scenario_id=b.scenario_id AND q.agent_idx=b.agent_idx AND q.t=b.t AND q.lane_idx=b.lane_idx
@@ -285,12 +286,14 @@ o AS (SELECT scenario_id, agent_idx, t, lane_idx, CASE WHEN use THEN pd ELSE d E
   CASE WHEN use THEN seg+u ELSE CAST(pi AS DOUBLE) END AS point_idx, CASE WHEN use THEN ax+u*(bx-ax) ELSE mx END AS proj_x,
   CASE WHEN use THEN ay+u*(by_-ay) ELSE my END AS proj_y FROM h)
 SELECT *, CAST(row_number() OVER (PARTITION BY scenario_id,agent_idx,t ORDER BY distance, lane_idx) AS INTEGER) AS rank
-FROM o QUALIFY row_number() OVER (PARTITION BY scenario_id,agent_idx,t ORDER BY distance, lane_idx) <= 3""")
+FROM o QUALIFY row_number() OVER (PARTITION BY scenario_id,agent_idx,t ORDER BY distance, lane_idx) <= 16""")
 oracle("M06_closest_lanes", f"""
 SELECT scenario_id, agent_idx, t, rank, lane_idx, {rs('distance','point_idx','proj_x','proj_y')} FROM cl""")
+oracle("M07_closest_lanes_of_every_second_point", f"""
+SELECT scenario_id, agent_idx, t, rank, lane_idx, {rs('distance','point_idx','proj_x','proj_y')} FROM cl_half WHERE rank <= 3""")
 cte("lg", """
 SELECT s.scenario_id, s.agent_idx, s.t, avg(abs(s.speed - l.mph*0.44704e0)) AS limit_gap FROM sm s
-JOIN cl c ON c.scenario_id=s.scenario_id AND c.agent_idx=s.agent_idx AND c.t=s.t
+JOIN cl c ON c.scenario_id=s.scenario_id AND c.agent_idx=s.agent_idx AND c.t=s.t AND c.rank <= 3
 JOIN lan l ON l.scenario_id=s.scenario_id AND l.lane_idx=c.lane_idx GROUP BY ALL""")
 oracle("F06_speed_limit_gap", f"SELECT scenario_id, agent_idx, t, {r('limit_gap')} FROM lg")
 for _c, _f in (("critical", "max"), ("average", "avg")):
@@ -374,18 +377,6 @@ JOIN kal k ON k.scenario_id=f.scenario_id AND k.agent_idx=f.agent_idx""")
 oracle("F16_individual_features", f"""
 SELECT scenario_id, agent_idx, agent_type, n_valid, {rs('speed','speed_limit_diff','acceleration','deceleration','jerk')},
  {r('waiting_period',digits=4)}, trajectory_type, {r('kalman_difficulty')} FROM ind""")
-oracle("S27_upsert", f"""
-WITH o AS (SELECT scenario_id, agent_idx, CASE WHEN agent_idx<>2 THEN speed END AS speed, jerk FROM ind WHERE agent_idx<7),
-n AS (SELECT scenario_id, agent_idx, speed+100 AS speed FROM ind WHERE agent_idx>3 OR agent_idx=2),
-u AS (SELECT DISTINCT scenario_id, agent_idx FROM (SELECT scenario_id, agent_idx FROM o UNION ALL SELECT scenario_id, agent_idx FROM n))
-SELECT m.mode, u.scenario_id, u.agent_idx, {r("CASE WHEN m.mode='add' THEN coalesce(o.speed,n.speed) ELSE coalesce(n.speed,o.speed) END",'speed')},
- {r('o.jerk','jerk')}
-FROM u JOIN (SELECT unnest(['add','update']) AS mode) m ON true
-LEFT JOIN o ON o.scenario_id=u.scenario_id AND o.agent_idx=u.agent_idx
-LEFT JOIN n ON n.scenario_id=u.scenario_id AND n.agent_idx=u.agent_idx
-UNION ALL SELECT 'overwrite', scenario_id, agent_idx, {r('speed')}, NULL FROM n""")
-oracle("S28_pending", """
-SELECT scenario_id FROM scen WHERE scenario_id NOT IN (SELECT scenario_id FROM ind WHERE agent_type=5 AND speed > 6)""")
 oracle("S36_filter_ids", f"""
 SELECT i.scenario_id, i.agent_idx, {r('i.speed','speed')} FROM ind i JOIN scen s ON s.scenario_id=i.scenario_id AND s.dataset='beta'""")
 oracle("S37_read_branches", f"""
@@ -405,8 +396,8 @@ oracle("M03_dynamic_conflict_points", f"""
 SELECT 'all' AS rule, scenario_id, {rs('x','y')} FROM sig WHERE t=3
 UNION ALL SELECT 'strict_three', scenario_id, {rs('x','y')} FROM sig WHERE t=3 AND lane_id < 103""")
 oracle("M04_conflict_points", f"""
-SELECT scenario_id, kind, count(*) AS points, {r('sum(x)','sum_x')}, {r('sum(y)','sum_y')} FROM
-(SELECT * FROM cps0 UNION ALL SELECT scenario_id, 'dynamic', x, y FROM sig WHERE t=3 AND lane_id < 103) GROUP BY ALL""")
+SELECT scenario_id, kind, {rs('x','y')} FROM
+(SELECT * FROM cps0 UNION ALL SELECT scenario_id, 'dynamic', x, y FROM sig WHERE t=3 AND lane_id < 103)""")
 cte("ncp", """
 SELECT p.scenario_id, p.agent_idx, p.t, min(sqrt((p.x-c.x)**2+(p.y-c.y)**2)) AS distance FROM pts p JOIN cps c
  ON c.scenario_id=p.scenario_id GROUP BY ALL""")
@@ -812,9 +803,19 @@ SELECT scenario_id, CASE WHEN found THEN 'yes' ELSE 'no' END AS probe_found, CAS
  coalesce((SELECT CAST(any_value(agent_id) AS VARCHAR) FROM agt a WHERE CAST(a.scenario_id AS VARCHAR)=s.scenario_id AND a.agent_idx=s.affected_agent),'') AS affected_agent_ids,
  CASE WHEN found THEN printf('%.6f', score_before) ELSE '' END AS score_before, CASE WHEN found THEN printf('%.6f', score_after) ELSE '' END AS score_after,
  CASE WHEN found THEN printf('%.6f', score_delta) ELSE '' END AS score_delta FROM sum_ s""")
+oracle("S27_upsert", f"""
+WITH o AS (SELECT scenario_id, agent_idx, speed, jerk FROM ind),
+n AS (SELECT scenario_id, agent_idx, score AS speed FROM asc_ WHERE scorer='interaction'),
+u AS (SELECT DISTINCT scenario_id, agent_idx FROM (SELECT scenario_id, agent_idx FROM o UNION ALL SELECT scenario_id, agent_idx FROM n))
+SELECT m.mode, u.scenario_id, u.agent_idx, {r("CASE WHEN m.mode='add' THEN coalesce(o.speed,n.speed) ELSE coalesce(n.speed,o.speed) END",'speed')},
+ {r('o.jerk','jerk')}
+FROM u JOIN (SELECT unnest(['add','update']) AS mode) m ON true
+LEFT JOIN o ON o.scenario_id=u.scenario_id AND o.agent_idx=u.agent_idx
+LEFT JOIN n ON n.scenario_id=u.scenario_id AND n.agent_idx=u.agent_idx
+UNION ALL SELECT 'overwrite', scenario_id, agent_idx, {r('speed')}, NULL FROM n""")
+oracle("S28_pending", "SELECT scenario_id FROM scen WHERE scenario_id NOT IN (SELECT scenario_id FROM pe)")
 oracle("S29_common_ids", """
-SELECT DISTINCT i.scenario_id FROM ind i JOIN pe p ON p.scenario_id=i.scenario_id AND p.status=0 JOIN sum_ s
- ON s.scenario_id=CAST(i.scenario_id AS VARCHAR) AND NOT s.found WHERE i.agent_type=3""")
+SELECT DISTINCT i.scenario_id FROM ind i JOIN pe p ON p.scenario_id=i.scenario_id JOIN sum_ s ON s.scenario_id=CAST(i.scenario_id AS VARCHAR)""")
 
 # --- profiles -----------------------------------------------------------------------------------------------------
 
@@ -908,9 +909,13 @@ oracle("A16_composition", " UNION ALL ".join(
 oracle("A17_count_quartiles", f"""
 SELECT dataset, col AS "column", {', '.join(r(f'quantile_cont(CAST(value AS DOUBLE),{p})', n, 4) for n, p in (('low',0),('q1',0.25),('median',0.5),('q3',0.75),('high',1)))}
 FROM cl3 GROUP BY ALL""")
-oracle("A18_probed_rows", """
-SELECT s.scenario_id, CAST(a.agent_id AS VARCHAR) AS probed_agent_id, 1 AS n_affected FROM sum_ s JOIN (SELECT DISTINCT scenario_id, agent_idx, agent_id FROM agt) a
- ON CAST(a.scenario_id AS VARCHAR)=s.scenario_id AND a.agent_idx=s.probed_agent WHERE found""")
+cte("probed_", """
+SELECT s.*, CAST(a.agent_id AS VARCHAR) AS probed_agent_id, CAST(b.agent_id AS VARCHAR) AS affected_agent_ids FROM sum_ s
+JOIN (SELECT DISTINCT scenario_id, agent_idx, agent_id FROM agt) a ON CAST(a.scenario_id AS VARCHAR)=s.scenario_id AND a.agent_idx=s.probed_agent
+LEFT JOIN (SELECT DISTINCT scenario_id, agent_idx, agent_id FROM agt) b ON CAST(b.scenario_id AS VARCHAR)=s.scenario_id AND b.agent_idx=s.affected_agent WHERE found""")
+_probed = f"""scenario_id, CASE WHEN is_ego THEN 'yes' ELSE 'no' END AS is_ego_agent, probed_agent_id, {rs('score_before','score_after','score_delta')}, affected_agent_ids,
+ CASE WHEN affected_agent_ids IS NULL THEN 0 ELSE 1 END AS n_affected FROM probed_"""
+oracle("A18_probed_rows", f"SELECT 'yes' AS probe_found, 'CONSTANT_VELOCITY' AS probe_type, {_probed}")
 oracle("A19_probe_outcomes", " UNION ALL ".join(
     f"SELECT dataset, '{n}' AS outcome, count(*) FILTER ({c}) AS scenes, {r(f'1e2*count(*) FILTER ({c})/count(*)', 'share')} FROM sum_ GROUP BY dataset"
     for n, c in (("no_probe", "NOT found"), ("ego", "found AND is_ego"), ("non_ego", "found AND NOT is_ego"))))
@@ -919,13 +924,13 @@ SELECT count(*) AS total_scenarios, count(*) FILTER (found) AS n_probed, count(*
  {r('round(count(*) FILTER (found)/count(*),4)','probe_rate')}, count(*) FILTER (is_ego) AS n_ego_probe,
  count(*) FILTER (NOT is_ego) AS n_non_ego_probe, {r('avg(score_delta)','delta_mean',4)}, {r('stddev_samp(score_delta)','delta_std')},
  {r('quantile_cont(score_delta,0.5)','delta_median',4)}, {r('min(score_delta)','delta_min')}, {r('max(score_delta)','delta_max')} FROM sum_""")
-oracle("A21_top_probes", f"SELECT scenario_id, {r('score_delta')} FROM sum_ WHERE found ORDER BY sum_.score_delta DESC, scenario_id LIMIT 5")
+oracle("A21_top_probes", f"SELECT 'yes' AS probe_found, 'CONSTANT_VELOCITY' AS probe_type, {_probed} ORDER BY probed_.score_delta DESC, scenario_id LIMIT 5")
 oracle("A22_delta_quartiles", f"""
 SELECT CASE WHEN is_ego THEN 'yes' ELSE 'no' END AS is_ego_agent, {', '.join(r(f'quantile_cont(score_delta,{p})', n, 4) for n, p in (('low',0),('q1',0.25),('median',0.5),('q3',0.75),('high',1)))}
 FROM sum_ WHERE found GROUP BY 1""")
 oracle("A22_affected_counts", "SELECT CASE WHEN is_ego THEN 'yes' ELSE 'no' END AS is_ego_agent, 1 AS n_affected, count(*) AS scenes FROM sum_ WHERE found GROUP BY 1")
 oracle("A23_percentile_folders", """
-WITH c AS (SELECT scenario_id, scene_score AS v FROM ssc WHERE scorer='combined' AND scene_score > 0),
+WITH c AS (SELECT scenario_id, scene_score AS v FROM ssc WHERE scorer='combined'),
 q AS (SELECT quantile_cont(v,0.1) AS a, quantile_cont(v,0.5) AS b, quantile_cont(v,0.8) AS d FROM c)
 SELECT s.scenario_id, CASE WHEN c.v IS NULL THEN 'unknown' WHEN c.v < q.a THEN 'percentile_0-10' WHEN c.v < q.b THEN 'percentile_10-50'
  WHEN c.v < q.d THEN 'percentile_50-80' ELSE 'percentile_80-100' END AS folder FROM scen s LEFT JOIN c ON c.scenario_id=s.scenario_id, q""")

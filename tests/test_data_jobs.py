@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.functions.distributed import balanced_row_number, exact_percentiles
+from lanewise.functions.distributed import balanced_row_number, exact_percentiles, quantile_cuts
 from lanewise.operators import maps as M
 from lanewise.operators import profiling as A
 from lanewise.plans import jobs
@@ -21,13 +21,32 @@ def test_hot_keys_are_cut_and_still_numbered_right(spark):
     rng = np.random.default_rng(0)
     rows = [(0, int(v), i) for i, v in enumerate(rng.integers(0, 200, 400))] + [(k, k, 1000 + k) for k in range(1, 9)]
     df = spark.createDataFrame(rows, "k long, v long, id long")
-    got = balanced_row_number(df, ["k"], "v", ["id"], max_rows=25)
+    got = balanced_row_number(df, ["k"], "v", ["id"], cuts=12)
     assert got.columns == ["k", "v", "id", "rn"]
     seen = {r.id: r.rn for r in got.collect()}
     hot = sorted((v, i) for k, v, i in rows if k == 0)
     assert [seen[i] for _, i in hot] == list(range(1, 401)) and all(seen[1000 + k] == 1 for k in range(1, 9))
 
 
+def test_slices_follow_the_rows_not_the_range(spark):
+    """One outlier, ties and a second large key: every slice stays near its share of the rows."""
+    rng = np.random.default_rng(1)
+    rows = [(0, int(v), i) for i, v in enumerate(rng.exponential(1000, 6000))] + [(0, 10**15, 6000), (0, None, 6001)]
+    rows += [(1, 7, 10_000 + i) for i in range(3000)] + [(k, k, 20_000 + k) for k in range(2, 1000)]
+    df = spark.createDataFrame(rows, "k long, v long, id long")
+    cuts = quantile_cuts(df, ["k"], ["v", "id"], 20, per_cut=100)
+    bounds = {r.k: [(-1 if o.v is None else o.v, o.id) for o in r._cuts] for r in cuts.collect()}
+    for k, own in bounds.items():
+        at = np.searchsorted([v * 10**6 + i for v, i in own], [(-1 if v is None else v) * 10**6 + i for kk, v, i in rows if kk == k], "right")
+        assert np.bincount(at).max() <= 1200
+    assert len(bounds[0]) > 8 and len(bounds[1]) > 3
+    seen = {r.id: r.rn for r in balanced_row_number(df, ["k"], "v", ["id"]).collect()}
+    for k in (0, 1):
+        order = sorted((-1 if v is None else v, i) for kk, v, i in rows if kk == k)
+        assert [seen[i] for _, i in order] == list(range(1, len(order) + 1))
+    assert all(seen[20_000 + k] == 1 for k in range(2, 1000))
+
+
 def test_percentiles_are_exact(spark):
     rng = np.random.default_rng(2)
     groups = {1: rng.normal(0, 50, 301), 2: np.repeat([3.0, 3.0, 7.0], 40), 3: np.array([5.0]),
