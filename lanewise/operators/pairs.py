@@ -2,7 +2,7 @@
 
 Tracks are packed once into one array row per agent, indexed by step and bounded by the scene horizon. Pairs are built
 by joining those rows, so a join moves one row per pair instead of one per pair and step, and everything that follows
-(alignment, headings, gaps, conflict times) happens inside the row or in one aggregate keyed by the pair.
+(alignment, headings, gaps, conflict times) happens in a kernel over batches of such rows, without another shuffle.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lanewise.functions import expr as X
 from lanewise.operators.individual import threshold_maps, valid_points
 from lanewise.operators.limits import attach
+from lanewise.operators.pair_kernel import COUNTS, METRICS, metrics_task
 from lanewise.schema import EPS, MIN_VALID, PAIR_FEATURES, SCORED_STATUSES, AgentType, Limits, PairStatus
 
 KEY = ["scenario_id", "agent_idx"]
@@ -185,53 +187,14 @@ def shared_steps(steps_i: Column, steps_j: Column) -> Column:
     return F.coalesce(both, F.filter(zipped, lambda z: F.lit(False)))
 
 
-def conflict_times(shared: Column, radius: Column) -> Column:
-    """Per conflict point, the smallest difference of the two agents' times to it before the first one gets there.
-
-    Conflict points are positions of i that j passes within `radius` at any shared step.
-    """
-
-    def d2(p, q):
-        dx, dy, dz = p["x"] - q["x"], p["y"] - q["y"], p["z"] - q["z"]
-        return dx * dx + dy * dy + dz * dz
-
-    def nearest(z, k):
-        # Least struct: the nearest step of j, the earliest one on ties.
-        to_j = F.transform(shared, lambda s, n: F.struct(d2(z["a"], s["b"]).alias("d2"), n.alias("n")))
-        return F.struct(z["a"].alias("p"), k.alias("k"), F.array_min(to_j).alias("near"))
-
-    points = F.filter(F.transform(shared, nearest), lambda c: c["near"]["d2"] <= radius * radius)
-
-    def lead_time(c):
-        return F.array_min(F.transform(F.slice(shared, 1, F.least(c["k"], c["near"]["n"]) + 1), lambda s: F.abs(
-            F.sqrt(d2(s["a"], c["p"])) / s["a"]["v"] - F.sqrt(d2(s["b"], c["p"])) / s["b"]["v"])))
-
-    return F.transform(points, lead_time)
-
-
-def _boxes_within(shared: Column, radius: Column) -> Column:
-    """Cheap necessary condition for two tracks to have any pair of positions within `radius`."""
-
-    def span(side, axis):
-        vals = F.transform(shared, lambda s: s[side][axis])
-        return F.array_min(vals), F.array_max(vals)
-
-    ok = F.size(shared) > 0
-    for axis in ("x", "y"):
-        alo, ahi = span("a", axis)
-        blo, bhi = span("b", axis)
-        ok = ok & (alo - bhi <= radius) & (blo - ahi <= radius)
-    return ok
-
-
 def pair_metrics(
     pairs: DataFrame, keys: Sequence[str], lim: dict[str, Column], *, criterion: str = "critical",
     prefilter: bool = True, include_vehicle_free: bool = True, inv_cap: float = 10.0, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Status and metrics of each pair row.
 
-    `pairs` has `keys`, type_i, type_j, steps_i, steps_j and, where thresholds are columns, those columns; it needs one
-    row per key. With `prefilter` pairs beyond the XY range and other-other pairs are too far; without it (an explicit
+    `pairs` has `keys`, type_i, type_j, steps_i, steps_j and, where thresholds are columns, those columns. A row is measured by
+    itself, in an Arrow kernel over many rows at once (:mod:`lanewise.operators.pair_kernel`), so nothing is shuffled. With `prefilter` pairs beyond the XY range and other-other pairs are too far; without it (an explicit
     pair list) only the XYZ range counts.
     """
     if criterion not in ("critical", "average"):
@@ -240,48 +203,15 @@ def pair_metrics(
     lim_cols = {n: f"_{n}" for n in (
         "max_stationary_speed", "agent_to_agent_max_distance", "agent_to_conflict_point_max_distance",
         "agent_to_agent_distance_breach", "heading_threshold", "agent_max_deceleration")}
-    base = pairs.select(
-        *keys, "type_i", "type_j", *carry, *[lim[n].alias(c) for n, c in lim_cols.items()],
-        shared_steps(F.col("steps_i"), F.col("steps_j")).alias("shared"))
-    radius = F.col("_agent_to_conflict_point_max_distance")
-    times = F.when(_boxes_within(F.col("shared"), radius), conflict_times(F.col("shared"), radius))
-    base = base.withColumn("times", times)
-    inf = X.lit_d(X.INF)
-    best = F.array_min("times") if critical else F.aggregate(
-        "times", X.lit_d(0.0), lambda acc, v: acc + v) / F.size("times")
-    base = base.withColumn("mttcp", F.when(F.size("times") > 0, best).otherwise(inf)).drop("times")
-
-    row = base.select("*", F.posexplode_outer("shared").alias("pt", "s"))
-    prev = F.get(F.col("shared"), F.when(F.col("pt") == 0, 0).otherwise(F.col("pt") - 1))
-    # The first step reports the first segment, so it starts from the same two points as step 1.
-    nxt = F.when(F.col("pt") == 0, F.get(F.col("shared"), F.lit(1))).otherwise(F.col("s"))
-    a, b = F.col("s.a"), F.col("s.b")
-    row = row.withColumns({
-        "xy": X.norm2(a["x"] - b["x"], a["y"] - b["y"]),
-        "sep": X.norm3(a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"]),
-        "hit": F.coalesce(X.segments_touch(
-            prev["a"]["x"], prev["a"]["y"], nxt["a"]["x"], nxt["a"]["y"],
-            prev["b"]["x"], prev["b"]["y"], nxt["b"]["x"], nxt["b"]["y"]), F.lit(False)),
-        "aligned": F.abs(X.wrap_degrees(b["h"] - a["h"])) <= F.col("_heading_threshold"),
-        "lead_i": X.i_leads(a["x"], a["y"], a["h"], b["x"], b["y"]),
-    })
-    gap, follower, closing = X.gap_and_closing(F.col("sep"), a["len"], b["len"], a["v"], b["v"], F.col("lead_i"))
-    row = row.withColumns({
-        "crash": ((F.col("sep") <= F.col("_agent_to_agent_distance_breach")) | F.col("hit")).cast("double"),
-        "hit": F.col("hit").cast("double"),
-        "thw": F.when(F.col("aligned"), X.headway(gap, follower)),
-        "ttc": F.when(F.col("aligned"), X.time_to_collision(gap, closing)),
-        "drac": F.when(F.col("aligned"), X.required_deceleration(gap, closing, F.col("_agent_max_deceleration"))),
-    })
-    low, high, tally = (F.min, F.max, F.sum) if critical else (F.avg, F.avg, F.avg)
-    fixed = [c for c in (*carry, "type_i", "type_j", "mttcp", *lim_cols.values())]
-    agg = row.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in fixed],
-        F.count("s").alias("n_shared"), F.min("xy").alias("_min_xy"), F.min("sep").alias("_min_sep"),
-        F.avg(a["v"]).alias("_vi"), F.avg(b["v"]).alias("_vj"),
-        F.count(F.when(F.col("aligned"), 1)).alias("n_aligned"),
-        low("sep").alias("separation"), tally("hit").alias("intersection"), tally("crash").alias("collision"),
-        low("thw").alias("thw"), low("ttc").alias("ttc"), high("drac").alias("drac"))
+    kept = [*keys, *carry, "type_i", "type_j", *lim_cols.values()]
+    base = pairs.select(*keys, *carry, "type_i", "type_j", *[lim[n].cast("double").alias(c) for n, c in lim_cols.items()], "steps_i", "steps_j")
+    schema = T.StructType([*(base.schema[c] for c in kept), *(T.StructField(c, T.LongType()) for c in COUNTS),
+                           *(T.StructField(c, T.DoubleType()) for c in METRICS)])
+    agg = base.mapInArrow(metrics_task(kept, lim_cols, critical), schema)
+    # Without any such step there is no value: a null, not a NaN.
+    agg = agg.withColumns({
+        **{c: F.when(F.col("n_shared") > 0, F.col(c)) for c in ("_min_xy", "_min_sep", "_vi", "_vj", "separation", "intersection", "collision")},
+        **{c: F.when(F.col("n_aligned") > 0, F.col(c)) for c in ("thw", "ttc", "drac")}})
     far = F.col("_agent_to_agent_max_distance")
     both_other = (F.col("type_i") == int(AgentType.OTHER)) & (F.col("type_j") == int(AgentType.OTHER))
     status = F.when(F.lit(False), int(PairStatus.UNKNOWN))
