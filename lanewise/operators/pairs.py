@@ -27,22 +27,25 @@ def pair_speed(vx: Column, vy: Column) -> Column:
     return X.norm2(vx, vy) + EPS
 
 
+def packed_step() -> Column:
+    return F.struct(
+        "t", "x", "y", "z", pair_speed(F.col("vx"), F.col("vy")).alias("v"), F.degrees("heading").alias("h"), F.col("length").alias("len"))
+
+
 def pack_tracks(points: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """One row per agent: `steps[t]` is struct(t, x, y, z, v, h, len), null where the agent is not valid.
 
     Agents that are never valid keep a row with no steps. Of repeated rows of a step the smallest by (x, y, z, ...) counts.
     """
-    step = F.struct(
-        "t", "x", "y", "z", pair_speed(F.col("vx"), F.col("vy")).alias("v"), F.degrees("heading").alias("h"),
-        F.col("length").alias("len"))
+    step = packed_step()
     seen = points.groupBy(*keys).agg(
         F.first("agent_type").alias("agent_type"),
         F.sort_array(F.collect_list(F.when(X.is_valid(F.col("valid")), step))).alias("_seen"))
     hole = F.lit(None).cast(seen.schema["_seen"].dataType.elementType.simpleString())
-    return seen.select(*keys, "agent_type", _by_step("_seen", hole).alias("steps"))
+    return seen.select(*keys, "agent_type", by_step("_seen", hole).alias("steps"))
 
 
-def _by_step(seen: str, hole: Column) -> Column:
+def by_step(seen: str, hole: Column) -> Column:
     """Place time-ordered structs at their step index, filling skipped steps with `hole`. Of a repeated step the first stays."""
     before = lambda i: F.coalesce(F.get(F.col(seen), i - 1)["t"], F.lit(-1))
     return F.flatten(F.transform(seen, lambda s, i: F.when(s["t"] == before(i), F.array_repeat(hole, 0)).otherwise(
@@ -189,13 +192,13 @@ def shared_steps(steps_i: Column, steps_j: Column) -> Column:
 
 def pair_metrics(
     pairs: DataFrame, keys: Sequence[str], lim: dict[str, Column], *, criterion: str = "critical",
-    prefilter: bool = True, include_vehicle_free: bool = True, inv_cap: float = 10.0, carry: Sequence[str] = (),
+    prefilter: bool | Column = True, include_vehicle_free: bool = True, inv_cap: float = 10.0, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Status and metrics of each pair row.
 
     `pairs` has `keys`, type_i, type_j, steps_i, steps_j and, where thresholds are columns, those columns. A row is measured by
     itself, in an Arrow kernel over many rows at once (:mod:`lanewise.operators.pair_kernel`), so nothing is shuffled. With `prefilter` pairs beyond the XY range and other-other pairs are too far; without it (an explicit
-    pair list) only the XYZ range counts.
+    pair list) only the XYZ range counts; a column decides row by row.
     """
     if criterion not in ("critical", "average"):
         raise ValueError(f"unknown criterion {criterion!r}")
@@ -218,8 +221,9 @@ def pair_metrics(
     if not include_vehicle_free:
         no_vehicle = ~X.fold_ego(F.col("type_i")).isin(1) & ~X.fold_ego(F.col("type_j")).isin(1)
         status = status.when(no_vehicle, int(PairStatus.OUT_OF_SCOPE))
-    if prefilter:
-        status = status.when(both_other | F.col("_min_xy").isNull() | (F.col("_min_xy") > far), int(PairStatus.TOO_FAR))
+    if prefilter is not False:
+        ranged = F.lit(True) if prefilter is True else prefilter
+        status = status.when(ranged & (both_other | F.col("_min_xy").isNull() | (F.col("_min_xy") > far)), int(PairStatus.TOO_FAR))
     still = F.col("_max_stationary_speed")
     status = (
         status.when(F.col("n_shared") < MIN_VALID, int(PairStatus.MASK_NOT_VALID))
@@ -332,7 +336,7 @@ def closest_agent_distances(
         null = F.lit(None).cast(kind)
         hole = null if valid_only else F.struct(F.lit(None).cast("int").alias("t"), *[
             F.lit(0.0).alias(c) for c in ("x", "y", "z")]).cast(kind)
-        steps = _by_step("_seen", hole)
+        steps = by_step("_seen", hole)
         if valid_only:
             return packed.select(*KEY, steps.alias("steps"))
         return packed.join(sizes, "scenario_id").withColumn("_steps", steps).select(*KEY, F.concat(

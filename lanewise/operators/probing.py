@@ -1,4 +1,9 @@
-"""Constant-velocity counterfactual probes for all scenarios and agents at once."""
+"""Constant-velocity counterfactual probes for all scenarios and agents at once.
+
+The points are packed once: a row per agent holds its track, its place at every step and, as the probe's change, the track it would
+have had. Ego pairs are then measured three times within a row, as they were, with the other agent altered and with the ego altered; scores
+before and after, distances for the weights and critical frames all come from these rows.
+"""
 
 from __future__ import annotations
 
@@ -45,8 +50,49 @@ def constant_velocity(points: DataFrame, scenarios: DataFrame) -> DataFrame:
     return seen.select(fut.columns).unionByName(fut)
 
 
-# name -> builder of altered tracks; users may add their own.
-PROBES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"CONSTANT_VELOCITY": constant_velocity}
+def splice_constant_velocity(tracks: DataFrame) -> DataFrame:
+    """Adds `altered` and `altered_place` to packed tracks: as observed up to the current step, then straight on; null without a probe.
+
+    The same rows as :func:`constant_velocity`, as a new tail of the packed track.
+    """
+    r, now = F.col("ref"), F.col("now")
+    moving = (F.abs(r["vx"]) >= STILL) | (F.abs(r["vy"]) >= STILL)
+    kind = tracks.schema["steps"].dataType.simpleString()
+    ahead = lambda t: (t - r["t"]).cast("double") / F.col("hz")
+    tail = F.transform(F.sequence(now + 1, F.col("n") - 1), lambda t: F.struct(
+        t.alias("t"), (r["x"] + ahead(t) * r["vx"]).alias("x"), (r["y"] + ahead(t) * r["vy"]).alias("y"), r["z"].alias("z"),
+        P.pair_speed(r["vx"], r["vy"]).alias("v"), F.degrees(r["heading"]).alias("h"), F.coalesce(F.get("lengths", t), F.lit(0.0)).alias("len")))
+    tail = F.when(F.col("n") - 1 > now, tail).otherwise(F.array()).cast(kind)
+    hole = F.lit(None).cast(tracks.schema["steps"].dataType.elementType.simpleString())
+    df = tracks.withColumn("_tail", F.when(moving, tail))
+    seen = F.slice("steps", 1, now + 1)
+    altered = F.concat(seen, F.array_repeat(hole, now + 1 - F.size(seen)), "_tail")
+    place = F.concat(F.slice("place", 1, now + 1), F.transform("_tail", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["z"].alias("z"))))
+    return df.withColumns({"altered": F.when(F.col("_tail").isNotNull(), altered), "altered_place": F.when(F.col("_tail").isNotNull(), place)}).drop("_tail")
+
+
+# name -> function that adds `altered` and `altered_place` to packed tracks; users may add their own.
+PROBES: dict[str, Callable[[DataFrame], DataFrame]] = {"CONSTANT_VELOCITY": splice_constant_velocity}
+
+
+def probe_tracks(points: DataFrame, scenarios: DataFrame, probe: str = "CONSTANT_VELOCITY") -> DataFrame:
+    """One row per agent: agent_type, ego_idx, steps, place (struct(x, y, z) of every step, the origin where it has no row), and the altered ones."""
+    s = scenarios.select("scenario_id", "ego_idx", F.col("current_time_index").alias("now"), F.col("frequency_hz").alias("hz"), F.col("n_steps").alias("n"))
+    ok = X.is_valid(F.col("valid"))
+    last = F.struct("t", "x", "y", "z", "heading", "vx", "vy")
+    own = points.select(*KEY, "t", "agent_type", "x", "y", "z", "length", "heading", "vx", "vy", "valid")
+    rows = own.join(s, "scenario_id").groupBy(*KEY).agg(
+        F.first("agent_type").alias("agent_type"), *[F.first(c).alias(c) for c in ("ego_idx", "now", "hz", "n")],
+        F.sort_array(F.collect_list(F.when(ok, P.packed_step()))).alias("_seen"), F.max(F.when(ok & (F.col("t") <= F.col("now")), last)).alias("ref"),
+        F.sort_array(F.collect_list(F.struct("t", "x", "y", "z", "length"))).alias("_all"))
+    every, seen = (rows.schema[c].dataType.elementType.simpleString() for c in ("_all", "_seen"))
+    origin = F.struct(F.lit(None).cast("int").alias("t"), *[F.lit(0.0).alias(c) for c in ("x", "y", "z", "length")]).cast(every)
+    rows = rows.withColumns({
+        "steps": P.by_step("_seen", F.lit(None).cast(seen)), "_all": P.by_step("_all", origin)})
+    rows = rows.withColumn("_all", F.concat("_all", F.array_repeat(origin, F.col("n") - F.size("_all"))))
+    rows = rows.withColumns({"place": F.transform("_all", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))),
+                             "lengths": F.transform("_all", lambda p: p["length"])}).drop("_all", "_seen")
+    return PROBES[probe](rows).select(*KEY, "agent_type", "ego_idx", "steps", "place", "altered", "altered_place")
 
 
 def max_delta(candidates: DataFrame) -> DataFrame:
@@ -77,33 +123,51 @@ def probe_pairs(agents: DataFrame, altered: DataFrame, scenarios: DataFrame) ->
         *PROBE, F.least("probed", "other").alias("i"), F.greatest("probed", "other").alias("j"))
 
 
-def altered_pair_rows(points: DataFrame, altered: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Probe pairs with both packed tracks, the probed side altered. At most 2(n-1) rows per scene of n agents."""
-    original = P.pack_tracks(points)
-    changed = P.pack_tracks(altered)
-    ego = scenarios.select("scenario_id", "ego_idx")
+def probe_pair_rows(tracks: DataFrame, *, original: bool = True) -> DataFrame:
+    """Ego pairs as they were (`probed` null, unless switched off) and once with either agent altered, where it has a probe.
 
-    def side(df, flag):
-        return df.join(ego, "scenario_id").filter(flag)
+    Columns scenario_id, probed, other, agent_idx (the one that isn't the ego), i, j, types, steps_i, steps_j, probe_steps, other_steps and
+    the closest distance of the two. At most 3(n-1) rows per scene of n agents, dealt out by agent.
+    """
+    names = ("agent_type", "steps", "place", "altered", "altered_place")
+    ego = tracks.filter(F.col("agent_idx") == F.col("ego_idx")).select("scenario_id", *[F.col(c).alias(f"e_{c}") for c in names])
+    # Dealt anew by pair: the join leaves a whole scene in one task, and all the arithmetic of its pairs is still to come.
+    both = tracks.filter(F.col("agent_idx") != F.col("ego_idx")).join(ego, "scenario_id").repartition(*KEY)
+
+    def variant(probed, other, own, ego_, when=None):
+        side = lambda c, e: F.col(f"{'e_' if e else ''}{c}")
+        v = F.struct(probed.alias("probed"), other.alias("other"), side("altered" if own else "steps", False).alias("own"),
+                     side("altered" if ego_ else "steps", True).alias("ego"), side("altered_place" if own else "place", False).alias("place"),
+                     side("altered_place" if ego_ else "place", True).alias("ego_place"))
+        return v if when is None else F.when(when.isNotNull(), v)
+
+    agent, mine, none = F.col("agent_idx"), F.col("ego_idx"), F.lit(None).cast("long")
+    ways = [variant(none, none, False, False)] * original + [
+        variant(agent, mine, True, False, F.col("altered")), variant(mine, agent, False, True, F.col("e_altered"))]
+    rows = both.select(*KEY, "ego_idx", "agent_type", "e_agent_type", F.explode(F.array(*ways)).alias("v")).filter(F.col("v").isNotNull()).select(
+        *KEY, "ego_idx", "agent_type", "e_agent_type", "v.*")
+    gap = F.filter(F.zip_with("place", "ego_place", lambda p, q: X.norm3(p["x"] - q["x"], p["y"] - q["y"], p["z"] - q["z"])),
+                   lambda d: d.isNotNull() & ~F.isnan(d))
+    first = mine < agent
+    of = lambda a, b: (F.when(first, F.col(a)).otherwise(F.col(b)), F.when(first, F.col(b)).otherwise(F.col(a)))
+    (ti, tj), (si, sj) = of("e_agent_type", "agent_type"), of("ego", "own")
+    probes_ego = F.col("probed") == mine
+    return rows.select(
+        "scenario_id", "probed", "other", "agent_idx", F.least(agent, mine).alias("i"), F.greatest(agent, mine).alias("j"),
+        ti.alias("type_i"), tj.alias("type_j"), si.alias("steps_i"), sj.alias("steps_j"),
+        F.when(probes_ego, F.col("ego")).otherwise(F.col("own")).alias("probe_steps"),
+        F.when(probes_ego, F.col("own")).otherwise(F.col("ego")).alias("other_steps"),
+        F.coalesce(F.array_min(gap), X.lit_d(X.INF)).alias("distance"))
 
-    is_ego = F.col("agent_idx") == F.col("ego_idx")
-    one = lambda df, p: df.select(
-        "scenario_id", F.col("agent_idx").alias(f"{p}_idx"), F.col("agent_type").alias(f"{p}_type"),
-        F.col("steps").alias(f"{p}_steps"))
-    a = one(side(changed, ~is_ego), "p").join(one(side(original, is_ego), "o"), "scenario_id")
-    b = one(side(original, ~is_ego), "o").join(one(side(changed, is_ego), "p"), "scenario_id")
-    rows = a.unionByName(b)
-    first = F.col("p_idx") < F.col("o_idx")
 
-    def ordered(field, left):
-        return F.when(first == F.lit(left), F.col(f"p_{field}")).otherwise(F.col(f"o_{field}"))
+def measured_pairs(rows: DataFrame, scenarios: DataFrame, *, criterion: str = "critical", limits: Limits | None = None) -> DataFrame:
+    """Metrics of the rows of :func:`probe_pair_rows`; only pairs as they were are subject to the range filter."""
+    rows, lim = attach(rows.drop("probe_steps", "other_steps"), scenarios, limits=limits)
+    return P.pair_metrics(rows, [*PROBE, "i", "j"], lim, criterion=criterion, prefilter=F.col("probed").isNull(), carry=("other", "agent_idx", "distance"))
 
-    return rows.select(
-        "scenario_id", F.col("p_idx").alias("probed"), F.col("o_idx").alias("other"),
-        ordered("idx", True).alias("i"), ordered("idx", False).alias("j"),
-        ordered("type", True).alias("type_i"), ordered("type", False).alias("type_j"),
-        ordered("steps", True).alias("steps_i"), ordered("steps", False).alias("steps_j"),
-        F.col("p_steps").alias("probe_steps"), F.col("o_steps").alias("other_steps"))
+
+def without_types(df: DataFrame, skip_types: Sequence[int]) -> DataFrame:
+    return df.filter(~F.col("type_i").isin(*skip_types) & ~F.col("type_j").isin(*skip_types)) if skip_types else df
 
 
 def critical_frames(df: DataFrame, lim: dict[str, Column], out: str = "crit") -> DataFrame:
@@ -155,45 +219,18 @@ def candidates(deltas: DataFrame, min_delta: float) -> DataFrame:
     ).filter(F.col("_top") >= min_delta).drop("_top")
 
 
-def probe_weights(
-    weights: DataFrame, winners: DataFrame, pair_rows: DataFrame, agents: DataFrame, scenarios: DataFrame,
-    points: DataFrame, altered: DataFrame, cfg: ScoreConfig,
-) -> DataFrame:
-    """(scenario_id, probed, agent_idx, weight) after the winning probe; only changed ego distances are re-measured."""
+def probe_weights(weights: DataFrame, winners: DataFrame, measured: DataFrame, agents: DataFrame, cfg: ScoreConfig) -> DataFrame:
+    """(scenario_id, probed, agent_idx, weight) after the winning probe; the distances it changed are those of its measured pairs."""
     base = weights.join(winners.select(*PROBE), "scenario_id")
     if cfg.weighting != "ego_distance":
         return base.select(*PROBE, "agent_idx", "weight")
-    changed = altered_distances(winners, scenarios, points, altered)
+    changed = measured.join(winners.select(*PROBE), PROBE, "left_semi").select(*PROBE, "agent_idx", "distance")
     df = base.join(changed, [*PROBE, "agent_idx"], "left").join(agents.select(*KEY, "agent_type"), KEY)
     new = distance_weight(F.col("distance"), F.col("agent_type"), cfg)
     return df.select(*PROBE, "agent_idx", F.when(F.col("distance").isNotNull(), new).otherwise(F.col("weight")).alias(
         "weight"))
 
 
-def altered_distances(winners: DataFrame, scenarios: DataFrame, points: DataFrame, altered: DataFrame) -> DataFrame:
-    """Closest distance to the ego that a winning probe changed: of the probed agent, or of all others for the ego."""
-    w = winners.select(*PROBE).join(scenarios.select("scenario_id", "ego_idx", "n_steps"), "scenario_id")
-    changed = altered.join(w.withColumnRenamed("probed", "agent_idx"), KEY, "left_semi")
-    is_ego = F.col("probed") == F.col("ego_idx")
-    # The altered track takes the place of the original one, so one distance call covers both directions.
-    keep = points.select("scenario_id", "agent_idx", "t", "x", "y", "z").join(
-        w.select("scenario_id", F.col("probed").alias("agent_idx")), KEY, "left_anti").join(
-        w.select("scenario_id"), "scenario_id", "left_semi")
-    merged = keep.unionByName(changed.select("scenario_id", "agent_idx", "t", "x", "y", "z")).unionByName(
-        _tail_after(points, altered, w))
-    dist = P.closest_agent_distances(merged, scenarios)
-    return dist.join(w, "scenario_id").filter(
-        (is_ego & (F.col("agent_idx") != F.col("ego_idx"))) | (~is_ego & (F.col("agent_idx") == F.col("probed")))
-    ).select(*PROBE, "agent_idx", "distance")
-
-
-def _tail_after(points: DataFrame, altered: DataFrame, w: DataFrame) -> DataFrame:
-    """Steps of the probed agent that the altered track does not cover (none when it spans the scene)."""
-    mine = points.join(w.select("scenario_id", F.col("probed").alias("agent_idx")), KEY, "left_semi")
-    return mine.join(altered.select(*KEY, "t"), [*KEY, "t"], "left_anti").select(
-        "scenario_id", "agent_idx", "t", "x", "y", "z")
-
-
 def find_probes(
     points: DataFrame, agents: DataFrame, scenarios: DataFrame, cfg: ScoreConfig, *, min_delta: float = 1.0,
     probe: str = "CONSTANT_VELOCITY", validator: str = "MAX_SCORE_DELTA", criterion: str = "critical",
@@ -201,32 +238,34 @@ def find_probes(
 ) -> DataFrame:
     """At most one row per scene: the most critical probe with scores before and after and the affected agents.
 
-    `stage(df, name)` writes a table that is read more than once (altered tracks, pair changes, winners) and returns it
+    `stage(df, name)` writes a table that is read more than once (packed tracks, measured pairs, winners) and returns it
     read back; by default into the shared folder of the session.
     """
     stage = stage or materialize
-    altered = PROBES[probe](points, scenarios)
+    ego_scope = cfg.weighting == "ego_distance"
+    tracks = stage(probe_tracks(points, scenarios, probe), "probe-tracks")
     if skip_types:
-        altered = altered.filter(~F.col("agent_type").isin(*skip_types))
-    altered = stage(altered, "altered")
-    scope = "ego" if cfg.weighting == "ego_distance" else "all"
-    base = P.pair_features(points, scenarios, scope=scope, criterion=criterion, limits=limits)
+        keep = ~F.col("agent_type").isin(*skip_types)
+        tracks = tracks.withColumns({c: F.when(keep, F.col(c)) for c in ("altered", "altered_place")})
+    rows = probe_pair_rows(tracks, original=ego_scope)
+    measured = stage(measured_pairs(rows, scenarios, criterion=criterion, limits=limits), "probe-pairs")
+    if ego_scope:
+        base, near = (measured.filter(F.col("probed").isNull()) for _ in range(2))
+        weights = agent_weights(agents, scenarios, cfg, ego_distances=near.select(*KEY, "distance"))
+    else:
+        base = P.pair_features(points, scenarios, scope="all", criterion=criterion, limits=limits)
+        weights = agent_weights(agents, scenarios, cfg, points=points)
     baseline = stage(baseline_pair_scores(base, cfg, skip_types), "baseline")
-    weights = agent_weights(agents, scenarios, cfg, points=points)
-
-    rows, lim = attach(altered_pair_rows(points, altered, scenarios), scenarios, limits=limits)
-    if skip_types:
-        rows = rows.filter(~F.col("type_i").isin(*skip_types) & ~F.col("type_j").isin(*skip_types))
-    met = P.pair_metrics(rows, [*PROBE, "i", "j"], lim, criterion=criterion, prefilter=False, carry=("other",))
-    after = pair_scores(met, cfg).select(*PROBE, "other", "i", "j", "pair_score")
+    altered = without_types(measured.filter(F.col("probed").isNotNull()), skip_types)
+    after = pair_scores(altered, cfg).select(*PROBE, "other", "i", "j", "pair_score")
     deltas = stage(probe_deltas(after, baseline), "deltas")
     winners = stage(VALIDATORS[validator](candidates(deltas, min_delta)), "winners")
 
     hit = deltas.join(winners.select(*PROBE), PROBE, "left_semi").filter(F.col("delta") >= min_delta)
     # Only the pairs of the winning probe that changed enough are searched for their critical frame.
-    tracks = rows.join(hit.select(*PROBE, "other"), [*PROBE, "other"], "left_semi").join(
-        scenarios.select("scenario_id", "current_time_index"), "scenario_id")
-    found = hit.join(critical_frames(tracks, lim).select(*PROBE, "other", "crit"), [*PROBE, "other"]).filter(
+    ends = tracks.join(hit.select("scenario_id", F.explode(F.array("i", "j")).alias("agent_idx")), KEY, "left_semi")
+    found_rows, lim = attach(probe_pair_rows(ends, original=False), scenarios, ("current_time_index",), limits=limits)
+    found = hit.join(critical_frames(found_rows, lim).select(*PROBE, "other", "crit"), [*PROBE, "other"]).filter(
         F.col("crit").isNotNull())
     entry = F.struct(
         (F.col("crit.metric") == "DRAC").cast("int").alias("rank"), F.col("crit.t").alias("t"), "other",
@@ -239,7 +278,7 @@ def find_probes(
     old = baseline.join(winners.select(*PROBE), "scenario_id").select(*PROBE, "i", "j", F.col("pair_score").alias("old"))
     merged = old.join(won, [*PROBE, "i", "j"], "full_outer").select(
         *PROBE, "i", "j", F.coalesce("new", "old").alias("pair_score"))
-    w_after = probe_weights(weights, winners, rows, agents, scenarios, points, altered, cfg)
+    w_after = probe_weights(weights, winners, measured, agents, cfg)
     score_after = scene_score_from_pairs(merged, w_after, cfg, tuple(PROBE)).withColumnRenamed(
         "scene_score", "score_after")
     w_before = weights.join(winners.select("scenario_id"), "scenario_id", "left_semi")

@@ -687,9 +687,8 @@ def _(d):
 
 
 def _deltas(d):
-    rows, lim = C.attach(C.altered_pair_rows(d.points, d.altered, d.scenarios), d.scenarios)
-    met = P.pair_metrics(rows, ["scenario_id", "probed", "i", "j"], lim, prefilter=False, carry=("other",))
-    after = S.pair_scores(met, PROBE).select("scenario_id", "probed", "other", "i", "j", "pair_score")
+    rows = C.probe_pair_rows(C.probe_tracks(d.points, d.scenarios), original=False)
+    after = S.pair_scores(C.measured_pairs(rows, d.scenarios), PROBE).select("scenario_id", "probed", "other", "i", "j", "pair_score")
     return C.probe_deltas(after, C.baseline_pair_scores(d.pairs, PROBE))
 
 
