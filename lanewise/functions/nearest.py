@@ -2,8 +2,9 @@
 
 Queries and targets are cut into square cells; a query meets the targets of its own cell and of the eight around it. Any target outside of
 these is farther away than a cell is wide, so what is found within that distance is final. Only the queries for which that isn't
-enough meet a wider ring: cells GROWTH times as wide. Cells are counted from the queries, so map parts that no query is near are
-never moved, and a scene is spread over as many tasks as it has occupied cells.
+enough meet a wider ring: cells GROWTH times as wide. How wide the first cells of a scene are follows from the density of its
+targets. Cells are counted from the queries, so map parts that no query is near are never moved, and a scene is spread over as many
+tasks as it has occupied cells.
 
 Within a cell the comparison is a matrix operation in an Arrow task. Rows of queries and targets arrive sorted by cell, targets first; a task
 holds the targets of one block of nine cells and PAIRS distances at a time, however many queries a cell has.
@@ -11,17 +12,19 @@ holds the targets of one block of nine cells and PAIRS distances at a time, howe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lanewise.session import materialize
 
-#: Width of the cells of the first ring in metres, growth from ring to ring, and distances that a task computes at once.
-CELL, GROWTH, PAIRS = 25.0, 8.0, 1 << 21
+#: Least width of the cells of the first ring in metres, growth from ring to ring, and distances that a task computes at once.
+CELL, GROWTH, PAIRS = 10.0, 16.0, 1 << 21
 _CELL = ["scenario_id", "_cx", "_cy"]
 Columns = dict[str, np.ndarray]
 #: (queries, targets of the block, distance within which the targets are complete) -> result columns, `query` being the index of their
@@ -33,7 +36,7 @@ def _numpy(batch: pa.RecordBatch, names: list[str]) -> Columns:
     return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
 
 
-def _block_task(kernel: Kernel, q_names: list[str], t_names: list[str], out: list[tuple[str, pa.DataType]], reach: float):
+def _block_task(kernel: Kernel, q_names: list[str], t_names: list[str], out: list[tuple[str, pa.DataType]]):
     schema = pa.schema([("scenario_id", pa.int64()), *out, ("_done", pa.bool_())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +56,7 @@ def _block_task(kernel: Kernel, q_names: list[str], t_names: list[str], out: lis
                 if block is None:
                     block = {c: np.concatenate([p[f"t_{c}"] for p in parts]) if parts else np.zeros(0) for c in t_names}
                     parts = []
-                step = max(1, PAIRS // max(1, len(block["x"])))
+                step, reach = max(1, PAIRS // max(1, len(block["x"]))), rows.column("_w")[0].as_py()
                 for a in range(0, rows.num_rows, step):
                     q = _numpy(rows.slice(a, step), q_names)
                     found, done = kernel(q, block, reach)
@@ -73,44 +76,51 @@ def _block_task(kernel: Kernel, q_names: list[str], t_names: list[str], out: lis
 _SQL = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double"}
 
 
-def ring_join(queries: DataFrame, targets: DataFrame, kernel: Kernel, result: list[tuple[str, pa.DataType]], *,
-              cell: float = CELL, rings: int | None = None, name: str = "ring") -> DataFrame:
+def ring_join(queries: DataFrame, targets: DataFrame, scenes: DataFrame, kernel: Kernel, result: list[tuple[str, pa.DataType]], *,
+              rings: int | None = None, name: str = "ring") -> DataFrame:
     """scenario_id, the columns of `queries` (scenario_id, x, y, and others; longs, ints and doubles without nulls) and those of `result`.
 
-    `targets` has scenario_id, x, y and whatever the kernel reads, doubles without nulls. Queries of scenes without targets vanish, so do
-    those that aren't done after `rings` rings, if that is given; without it rings are widened until all are done. Each ring is
-    stored, so a lost executor costs a part of one ring.
+    `targets` has scenario_id, x, y and whatever the kernel reads, doubles without nulls; `scenes` has the width of the first cells of each
+    scene with targets (scenario_id, width). Queries of other scenes vanish, so do those that aren't done after `rings` rings, if that
+    is given; without it rings are widened until all are done. Each ring is stored, so a lost executor costs a part of one ring.
     """
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-    own = [(f.name, kinds[f.dataType.simpleString()]) for f in queries.schema.fields if f.name != "scenario_id"]
+    own = [(f.name, kinds[f.dataType.simpleString()]) for f in queries.schema.fields if f.name != "scenario_id"] + [("_w", pa.float64())]
     q_names, t_names = [c for c, _ in own], [c for c in targets.columns if c != "scenario_id"]
     columns = [*own, *result]
     schema = "scenario_id long, " + ", ".join(f"{c} {_SQL[k]}" for c, k in columns) + ", _done boolean"
-    scenes = targets.select("scenario_id").distinct()
-    pending = queries.join(scenes, "scenario_id", "left_semi").select("scenario_id", *q_names)
-    found, width = [], cell
+    width = scenes.select("scenario_id", F.col("width").cast("double").alias("_w"))
+    pending = queries.join(width, "scenario_id").select("scenario_id", *q_names)
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    cell = [F.floor(F.col(c) / F.col("_w")) for c in "xy"]
+    found = []
     while True:
-        corner = [F.floor(F.col(c) / width).alias(a) for c, a in (("x", "_cx"), ("y", "_cy"))]
-        rows = pending.select("*", *corner)
-        around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        rows = pending.select("*", cell[0].alias("_cx"), cell[1].alias("_cy"))
         wanted = rows.select(*_CELL).distinct().withColumn("_o", F.explode(around)).select(
             *_CELL, (F.col("_cx") + F.col("_o.a")).alias("_tx"), (F.col("_cy") + F.col("_o.b")).alias("_ty"))
-        placed = targets.select("scenario_id", *[F.col(c).cast("double").alias(f"t_{c}") for c in t_names],
-                                F.floor(F.col("x") / width).alias("_tx"), F.floor(F.col("y") / width).alias("_ty"))
+        placed = targets.join(width.withColumn("_w", F.col("_w") * GROWTH ** len(found)), "scenario_id").select(
+            "scenario_id", *[F.col(c).cast("double").alias(f"t_{c}") for c in t_names], cell[0].alias("_tx"), cell[1].alias("_ty"))
         near = wanted.join(placed, ["scenario_id", "_tx", "_ty"]).select(
             *_CELL, F.lit(0).alias("_query"), *[F.lit(None).cast(_SQL[k]).alias(c) for c, k in own], *[f"t_{c}" for c in t_names])
         asked = rows.select(*_CELL, F.lit(1).alias("_query"), *q_names, *[F.lit(None).cast("double").alias(f"t_{c}") for c in t_names])
         dealt = near.unionByName(asked).repartition(*_CELL).sortWithinPartitions(*_CELL, "_query")
-        ring = materialize(dealt.mapInArrow(_block_task(kernel, q_names, t_names, columns, width), schema), name)
-        found.append(ring.filter("_done").drop("_done"))
-        pending = ring.filter("NOT _done").select("scenario_id", *q_names)
-        width *= GROWTH
-        if len(found) == rings or pending.isEmpty():
+        left = Observation()
+        ring = materialize(dealt.mapInArrow(_block_task(kernel, q_names, t_names, columns), schema).observe(
+            left, F.count(F.when(~F.col("_done"), 1)).alias("n")), name)
+        found.append(ring.filter("_done").drop("_done", "_w"))
+        if len(found) == rings or not left.get["n"]:
             break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        pending = ring.filter("NOT _done").withColumn("_w", F.col("_w") * GROWTH).select("scenario_id", *q_names)
+    return reduce(DataFrame.union, found)
+
+
+def cell_width(targets: DataFrame, count: Column, k: int = 1, least: float = CELL) -> DataFrame:
+    """(scenario_id, width): three times the distance within which a query expects k of `count` evenly spread things, at most the scene's extent."""
+    span = [F.max(c) - F.min(c) for c in "xy"]
+    per = targets.groupBy("scenario_id").agg(count.alias("_n"), span[0].alias("_dx"), span[1].alias("_dy"))
+    apart = F.sqrt((F.col("_dx") + least) * (F.col("_dy") + least) * k / F.col("_n") / math.pi)
+    whole = F.greatest("_dx", "_dy")
+    return per.select("scenario_id", F.greatest(F.lit(least), F.when(F.col("_n") <= k, whole).otherwise(F.least(3 * apart, whole))).alias("width"))
 
 
 def sum_of_squares(d: list[np.ndarray]) -> np.ndarray:
@@ -141,4 +151,7 @@ def nearest_distance(queries: DataFrame, targets: DataFrame, *, within: float |
     """
     real = ~F.isnan("x") & ~F.isnan("y") & ~F.isnan("z")
     targets = targets.select("scenario_id", "x", "y", "z").filter(real)
-    return ring_join(queries, targets, least_distance, [("distance", pa.float64())], cell=within or CELL, rings=1 if within else None, name=name)
+    scenes = cell_width(targets, F.count(F.lit(1)))
+    if within:
+        scenes = scenes.withColumn("width", F.lit(float(within)))
+    return ring_join(queries, targets, scenes, least_distance, [("distance", pa.float64())], rings=1 if within else None, name=name)

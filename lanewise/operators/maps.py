@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import expr as X
-from lanewise.functions.nearest import CELL, Columns, distances, nearest_distance, ring_join, sum_of_squares
+from lanewise.functions.nearest import CELL, Columns, cell_width, distances, nearest_distance, ring_join, sum_of_squares
 from lanewise.operators.individual import valid_points
 from lanewise.schema import EPS
 from lanewise.session import materialize
@@ -212,8 +212,8 @@ def closest_lanes(
     rows. A lane an agent ever comes within `threshold` of is refined to the adjacent segment. Steps without a position have no lanes.
     """
     lanes = _lane_targets(map_points, subsample, ndim)
-    near = ring_join(_steps(valid_points(points), ndim), lanes, _lane_kernel(k, threshold), _LANE_COLUMNS,
-                     cell=max(CELL, threshold), name="closest-lanes")
+    near = ring_join(_steps(valid_points(points), ndim), lanes, cell_width(lanes, F.first("lanes"), k, max(CELL, threshold)),
+                     _lane_kernel(k, threshold), _LANE_COLUMNS, name="closest-lanes")
     # One exchange by agent serves both windows.
     near = near.repartition(*KEY).withColumn("gate", F.min("near").over(Window.partitionBy(*KEY, "lane_idx")) <= threshold)
     use = F.col("gate") & (F.col("proj") < F.col("near"))

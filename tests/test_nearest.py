@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lanewise.functions import nearest
 from lanewise.functions.nearest import nearest_distance
@@ -96,7 +97,8 @@ def test_few_lanes_of_a_large_map_are_rows(spark):
     df = spark.createDataFrame(rows, "scenario_id long, feature_class string, feature_idx long, point_idx long, x double, y double, z double, polyline_type int")
     tracks = {a: [(t, 600.0 * a + 8.0 * t, 1.0, 80, 0, 0, True) for t in range(20)] for a in range(18)}
     lanes = M._lane_targets(df, 1, 3)
-    near = nearest.ring_join(M._steps(points(spark, tracks)), lanes, M._lane_kernel(4, 10.0), M._LANE_COLUMNS)
+    width = nearest.cell_width(lanes, F.first("lanes"), 4)
+    near = nearest.ring_join(M._steps(points(spark, tracks)), lanes, width, M._lane_kernel(4, 10.0), M._LANE_COLUMNS)
     n = near.count()
     assert 18 * 20 * 4 <= n <= 18 * 20 * 12
     assert M.closest_lanes(points(spark, tracks), df, k=4).groupBy("agent_idx", "t").count().filter("count = 4").count() == 360
