@@ -1,5 +1,6 @@
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -230,6 +231,64 @@ def test_streams(spark, tmp_path):
     assert {r.frame_id for r in spark.read.parquet(outp).collect()} == {1, 3, 5, 9}
 
 
+def drained(spark, df, path):
+    """Run a stream over what has arrived so far, adding to what came out of it before."""
+    q = df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    return spark.read.parquet(f"{path}/out")
+
+
+def test_shuffled_frames_are_thinned_as_in_order(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    schema, src = "log_id long, frame_id long, ts_us long", str(tmp_path / "in")
+    frames = [(log, 1000 * log + i, int(t) * 250_000) for log in range(3) for i, t in enumerate(np.sort(rng.integers(0, 400, 150)))]
+    want = {r.frame_id for r in N.thin_frames(spark.createDataFrame(frames, schema), 3.0).collect()}
+    # Arrival: by time with up to five seconds of jitter, in four files; a last frame of each log releases the held ones.
+    jitter = dict(zip([f[1] for f in frames], rng.uniform(0, 5e6, len(frames))))
+    arrival = sorted(frames, key=lambda f: f[2] + jitter[f[1]])
+    files = [arrival[i * 113:(i + 1) * 113] for i in range(3)] + [arrival[339:] + [(log, -1 - log, 10**9) for log in range(3)]]
+    for part in files:
+        rng.shuffle(part)
+        spark.createDataFrame([tuple(map(int, f)) for f in part], schema).coalesce(1).write.mode("append").parquet(src)
+        got = drained(spark, R.thin_frames_stream(spark.readStream.schema(schema).parquet(src), 3.0, delay_s=5.0), str(tmp_path))
+    assert {r.frame_id for r in got.filter("status = 'kept'").collect()} == want
+    assert got.filter("status = 'late'").count() == 0
+    spark.createDataFrame([(1, 77, 1_000_000), (1, 78, 2 * 10**9)], schema).coalesce(1).write.mode("append").parquet(src)
+    got = drained(spark, R.thin_frames_stream(spark.readStream.schema(schema).parquet(src), 3.0, delay_s=5.0), str(tmp_path))
+    assert [r.frame_id for r in got.filter("status = 'late'").collect()] == [77]
+
+
+def test_scenarios_in_parts_are_assembled(spark, tmp_path):
+    """One scenario in three batches and a late fourth, one whole at once, and one that expires with what it has."""
+    schema, src = "scenario_id long, v double, n_rows int", str(tmp_path / "in")
+    out, late, ck = (str(tmp_path / n) for n in ("out", "late", "ck"))
+
+    def arrive(rows, ck=ck, **options):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        return R.process_assembled_scenarios(
+            spark.readStream.schema(schema).parquet(src), lambda df: df.groupBy("scenario_id").agg(F.sum("v").alias("v"), F.count("*").alias("n")),
+            out, late, ck, expected="n_rows", **options)
+
+    def stored():
+        return {r.scenario_id: (r.v, r.n) for r in spark.read.parquet(out).collect()}
+
+    for rows, want in (([(1, 1.0, 4), (2, 5.0, 1)], {2: (5.0, 1)}), ([(1, 2.0, 4), (1, None, 4), (3, 7.0, 2)], {2: (5.0, 1)}),
+                       ([(1, 4.0, 4)], {1: (7.0, 4), 2: (5.0, 1)}), ([(1, 100.0, 4), (4, 1.0, 1)], {1: (7.0, 4), 2: (5.0, 1), 4: (1.0, 1)})):
+        assert arrive(rows).awaitTermination(100)
+        assert stored() == want
+    assert [(r.scenario_id, r.v) for r in spark.read.parquet(late).collect()] == [(1, 100.0)]
+    with pytest.raises(ValueError):
+        arrive([(5, 1.0, 2)], idle_s=1.0)
+    running = arrive([(5, 2.0, 3)], ck=str(tmp_path / "other"), once=False, idle_s=0.1)
+    try:
+        until = time.time() + 60
+        while time.time() < until and 5 not in stored():
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    assert stored()[3] == (7.0, 1) and stored()[5] == (3.0, 2)
+
+
 def test_profile_resumes(spark, tmp_path):
     tracks = random_tracks(4, 14, seed=9)
     t = jobs.Tables(points(spark, tracks, {0: 5, 1: 1, 2: 2, 3: 3}), scenarios(spark, now=5, n=14),
