@@ -314,3 +314,34 @@ def probe_summary(probes: DataFrame, scenarios: DataFrame, agents: DataFrame) ->
         num(F.col("score_before")).alias("score_before"), num(F.col("score_after")).alias("score_after"),
         num(F.col("score_after") - F.col("score_before")).alias("score_delta"),
         F.coalesce(F.array_join("affected_ids", ";"), F.lit("")).alias("affected_agent_ids"))
+
+
+def probe_records(probes: DataFrame, agents: DataFrame) -> DataFrame:
+    """One record per probe, without the altered track, agents by their ids: what is stored as JSON.
+
+    `criticality_results` has the worst frame of each affected agent; the pair scores go by both ids, the smaller first. For the track
+    see :func:`altered_points`.
+    """
+    ids = agents.select("scenario_id", "agent_idx", "agent_id")
+    named = probes.join(ids.withColumnsRenamed({"agent_idx": "probed_agent", "agent_id": "probed_agent_id"}), ["scenario_id", "probed_agent"])
+    each = named.select("scenario_id", "probed_agent_id", F.posexplode("affected").alias("n", "a")).withColumn("agent_idx", F.col("a.other")).join(
+        ids, ["scenario_id", "agent_idx"])
+    pair = F.concat_ws(":", F.least("probed_agent_id", "agent_id"), F.greatest("probed_agent_id", "agent_id"))
+    row = F.struct("n", "agent_id", F.col("a.metric").alias("metric"), F.col("a.t").alias("timestamp"), pair.alias("pair"),
+                   F.col("a.before").alias("before"), F.col("a.after").alias("after"))
+    found = each.groupBy("scenario_id").agg(F.sort_array(F.collect_list(row)).alias("r"))
+
+    def entries(key, value):
+        return F.map_from_entries(F.transform("r", lambda x: F.struct(x[key].cast("string"), value(x))))
+
+    return named.join(found, "scenario_id").select(
+        "scenario_id", "probed_agent_id", F.col("is_ego").alias("is_ego_agent"), "probe_type", F.transform("r", lambda x: x["agent_id"]).alias("affected_agent_ids"),
+        entries("agent_id", lambda x: F.struct(x["timestamp"].alias("timestamp"), x["metric"].alias("metric"))).alias("criticality_results"),
+        "score_before", "score_after", entries("pair", lambda x: x["before"]).alias("affected_pair_scores_before"),
+        entries("pair", lambda x: x["after"]).alias("affected_pair_scores_after"))
+
+
+def altered_points(probes: DataFrame, points: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """The altered track of every probe as point rows; only the probed agents' points are looked at."""
+    mine = points.join(probes.select("scenario_id", F.col("probed_agent").alias("agent_idx")), KEY, "left_semi")
+    return constant_velocity(mine, scenarios)

@@ -323,21 +323,24 @@ def probe_outcomes(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return one.select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
 
 
-def probe_statistics(summary: DataFrame) -> DataFrame:
-    """One row: probe rate and the distribution of the score change."""
+def probe_statistics(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Probe rate and the distribution of the score change: one row, or one per group."""
+    keys = list(by) or ["_one"]
+    if not by:
+        summary = summary.withColumn("_one", F.lit(1))
     probed = probed_rows(summary)
-    base = summary.agg(F.count(F.lit(1)).alias("total_scenarios"))
+    base = summary.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_scenarios")) if by else summary.agg(
+        F.count(F.lit(1)).alias("total_scenarios")).withColumn("_one", F.lit(1))
     d = F.col("score_delta")
-    stats = probed.agg(
+    stats = probed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_probed"), F.count(F.when(F.col("is_ego_agent") == "yes", 1)).alias("n_ego_probe"),
         F.count(F.when(F.col("is_ego_agent") == "no", 1)).alias("n_non_ego_probe"),
         F.round(F.avg(d), 6).alias("delta_mean"), F.round(F.stddev_samp(d), 6).alias("delta_std"),
         F.round(F.min(d), 6).alias("delta_min"), F.round(F.max(d), 6).alias("delta_max"))
-    med = percentile_columns(probed, [], "score_delta", {"m": 50.0}).select(F.round("m", 6).alias("delta_median"))
-    one = F.lit(1)
-    joined = base.withColumn("_k", one).join(stats.withColumn("_k", one), "_k").join(med.withColumn("_k", one), "_k", "left")
+    med = percentile_columns(probed, keys, "score_delta", {"m": 50.0}).select(*keys, F.round("m", 6).alias("delta_median"))
+    joined = base.join(stats, keys, "left").join(med, keys, "left").na.fill(0, ["n_probed", "n_ego_probe", "n_non_ego_probe"])
     return joined.select(
-        "total_scenarios", "n_probed", (F.col("total_scenarios") - F.col("n_probed")).alias("n_no_probe"),
+        *by, "total_scenarios", "n_probed", (F.col("total_scenarios") - F.col("n_probed")).alias("n_no_probe"),
         F.when(F.col("total_scenarios") > 0, F.round(F.col("n_probed") / F.col("total_scenarios"), 4)).otherwise(0.0)
         .alias("probe_rate"),
         "n_ego_probe", "n_non_ego_probe", "delta_mean", "delta_std", "delta_median", "delta_min", "delta_max")
@@ -348,32 +351,36 @@ def top_probes(summary: DataFrame, n: int = 10) -> DataFrame:
     return probed_rows(summary).orderBy(F.col("score_delta").desc(), "scenario_id").limit(n)
 
 
-def delta_quartiles(summary: DataFrame) -> DataFrame:
+def delta_quartiles(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return percentile_columns(
-        probed_rows(summary), ["is_ego_agent"], "score_delta",
+        probed_rows(summary), [*by, "is_ego_agent"], "score_delta",
         {"low": 0.0, "q1": 25.0, "median": 50.0, "q3": 75.0, "high": 100.0})
 
 
-def affected_counts(summary: DataFrame) -> DataFrame:
-    return probed_rows(summary).groupBy("is_ego_agent", "n_affected").agg(F.count(F.lit(1)).alias("scenes"))
+def affected_counts(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return probed_rows(summary).groupBy(*by, "is_ego_agent", "n_affected").agg(F.count(F.lit(1)).alias("scenes"))
 
 
-def score_bound(summary: DataFrame, column: str = "score_before") -> DataFrame:
-    """Pooled maximum of a probe score with a 2 % margin; 1.0 when there is none."""
-    return probed_rows(summary).agg(F.coalesce(F.max(column) * 1.02, F.lit(1.0)).alias("bound"))
+def score_bound(summary: DataFrame, column: str = "score_before", by: Sequence[str] = ()) -> DataFrame:
+    """Pooled maximum of a probe score with a 2 % margin; 1.0 when there is none. By group, groups without a probe have no row."""
+    return probed_rows(summary).groupBy(*by).agg(F.coalesce(F.max(column) * 1.02, F.lit(1.0)).alias("bound"))
 
 
-def percentile_folders(scores: DataFrame, wanted: DataFrame, percentiles: Sequence[float] = (10, 50, 80)) -> DataFrame:
-    """(scenario_id, folder) by percentile range of the scene score; scenes without a score go to `unknown`."""
-    edges = [0, *percentiles, 100]
-    cuts = percentile_columns(scores, [], "scene_score", {f"p{n}": float(p) for n, p in enumerate(edges)})
-    df = wanted.select("scenario_id").join(scores.select("scenario_id", "scene_score"), "scenario_id", "left")
-    df = df.withColumn("_k", F.lit(1)).join(F.broadcast(cuts.withColumn("_k", F.lit(1))), "_k", "left")  # one row
+def percentile_folders(
+    scores: DataFrame, wanted: DataFrame, percentiles: Sequence[float] = (10, 50, 80), by: Sequence[str] = (),
+) -> DataFrame:
+    """(scenario_id, folder) by percentile range of the scene score, of all scenes or of those of a group; scenes without a score go to `unknown`."""
+    edges, keys = [0, *percentiles, 100], list(by) or ["_one"]
+    if not by:
+        scores, wanted = (df.withColumn("_one", F.lit(1)) for df in (scores, wanted))
+    cuts = percentile_columns(scores, keys, "scene_score", {f"p{n}": float(p) for n, p in enumerate(edges)})
+    df = wanted.select("scenario_id", *keys).join(scores.select("scenario_id", *keys, "scene_score"), ["scenario_id", *keys], "left")
+    df = df.join(F.broadcast(cuts), keys, "left")  # one row per group
     folder = F.when(F.col("scene_score").isNull(), "unknown")
     for n in range(1, len(edges)):
         name = f"percentile_{edges[n - 1]}-{edges[n]}"
         folder = folder.when(F.col("scene_score") < F.col(f"p{n}"), name) if n < len(edges) - 1 else folder.otherwise(name)
-    return df.select("scenario_id", folder.alias("folder"))
+    return df.select("scenario_id", *by, folder.alias("folder"))
 
 
 def normalized_scores(

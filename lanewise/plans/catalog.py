@@ -715,6 +715,36 @@ def _(d):
     return C.probe_summary(d.probes, d.scenarios, d.agents)
 
 
+@query("S31_probe_records")
+def _(d):
+    """Written as JSON and read back, maps taken apart."""
+    root = f"{d.root}/probe_records"
+    K.write_json(C.probe_records(d.probes, d.agents), root)
+    kinds = ("scenario_id long, probed_agent_id long, is_ego_agent boolean, probe_type string, affected_agent_ids array<long>, criticality_results "
+             "map<string, struct<timestamp: int, metric: string>>, score_before double, score_after double, "
+             "affected_pair_scores_before map<string, double>, affected_pair_scores_after map<string, double>")
+    got = d.spark.read.schema(kinds).json(root)
+    first = F.map_values("criticality_results")[0]
+    return got.select(
+        "scenario_id", "probed_agent_id", "is_ego_agent", "probe_type", F.get("affected_agent_ids", F.lit(0)).alias("affected_agent_id"),
+        first["timestamp"].alias("frame"), first["metric"].alias("metric"), "score_before", "score_after",
+        F.map_keys("affected_pair_scores_before")[0].alias("pair"), F.size("affected_pair_scores_after").alias("n_pairs"))
+
+
+@query("S31_altered_points")
+def _(d):
+    return C.altered_points(d.probes, d.points, d.scenarios).select(*KEY, "t", "x", "y", "vx", "vy", "length", "valid")
+
+
+@query("P21_features")
+def _(d):
+    ind, pairs, near = jobs.features(d.tables, PIPE)
+    met = pairs.select("scenario_id", F.explode(F.array("i", "j")).alias("agent_idx"), "status").groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("status") < 2, 1)).alias("valid_pairs"))
+    return ind.join(near, KEY).join(met, KEY, "left").select(
+        *KEY, "speed", "acceleration", "deceleration", "jerk", "trajectory_type", "kalman_difficulty", "distance", "pairs", "valid_pairs")
+
+
 # --- profiles -----------------------------------------------------------------------------------------------------
 
 @query("A01_individual_by_type")
@@ -786,6 +816,43 @@ def _(d):
     return A.score_grid(wide, ("individual", "interaction"), by=("dataset",))
 
 
+def _summary_per_dataset(d):
+    own = d.scenarios.withColumn("scenario_id", F.col("scenario_id").cast("string"))
+    return A.per_dataset(d.summary, own)
+
+
+@query("S35_probe_statistics_per_dataset")
+def _(d):
+    return A.probe_statistics(_summary_per_dataset(d), by=("dataset",))
+
+
+@query("S35_delta_quartiles_per_dataset")
+def _(d):
+    return A.delta_quartiles(_summary_per_dataset(d), by=("dataset",))
+
+
+@query("S35_affected_counts_per_dataset")
+def _(d):
+    return A.affected_counts(_summary_per_dataset(d), by=("dataset",))
+
+
+@query("S35_score_bound_per_dataset")
+def _(d):
+    return A.score_bound(_summary_per_dataset(d), by=("dataset",))
+
+
+@query("S35_folders_per_dataset")
+def _(d):
+    scored = A.per_dataset(d.scene_scores.filter("key = 'combined'"), d.scenarios)
+    return A.percentile_folders(scored, A.per_dataset(d.scenarios, d.scenarios), by=("dataset",))
+
+
+@query("S35_feature_thresholds_per_dataset")
+def _(d):
+    long = A.individual_long(d.individual, ["scenario_id"]).unionByName(A.pair_long(d.pairs, ["scenario_id"]))
+    return A.category_thresholds(A.per_dataset(long, d.scenarios), ["dataset", "type", "feature"])
+
+
 @query("A09_score_grid")
 def _(d):
     return A.score_grid(A.wide_agent_scores(d.agent_scores), ("individual", "interaction"))

@@ -53,6 +53,12 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def unmark(spark: SparkSession, path: str) -> None:
+    """Take the success marker of a table away."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).delete(marker, False)
+
+
 def stored(spark: SparkSession, path: str, build) -> DataFrame:
     """Read the table at `path`, building and writing it first unless it is already complete."""
     if not is_complete(spark, path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -371,6 +372,20 @@ def speed_limit_mph(metres_per_second: Column) -> Column:
     return F.coalesce(metres_per_second / MPH_TO_MS, X.lit_d(X.NAN))
 
 
+def row_rules() -> dict[str, Column]:
+    """Counts of track point rows with a null or negative key or an unknown agent type, for `storage.write_checked`."""
+    keys = [F.col(c) for c in (*KEY, "t")]
+    tests = {"null_key": reduce(Column.__or__, (k.isNull() for k in keys)), "negative_key": reduce(Column.__or__, (k < 0 for k in keys)),
+             "unknown_type": ~F.coalesce(F.col("agent_type").isin([int(a) for a in AgentType]), F.lit(False))}
+    return {name: F.count_if(test) for name, test in tests.items()}
+
+
+def horizon_rule(steps: int) -> dict[str, Column]:
+    """Number of scenarios that end before `steps`, by their ego rows: each whole one has an ego row at the first and at the last step."""
+    ego = F.col("agent_type") == int(AgentType.EGO_AGENT)
+    return {"too_short": F.count_if(ego & (F.col("t") == 0)) - F.count_if(ego & (F.col("t") == steps - 1))}
+
+
 def violations(points: DataFrame) -> DataFrame:
     """(scenario_id, rule, rows): null or negative keys, duplicate steps, unknown agent types, unequal track lengths."""
     key = [*KEY, "t"]

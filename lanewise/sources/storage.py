@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.schema import THRESHOLDS
+from lanewise.session import unmark
 
 
 def write_branch(df: DataFrame, root: str, *, scenario_type: str, criterion: str, mode: str = "append") -> None:
@@ -29,11 +30,18 @@ def read_branches(
     return df if ids is None else df.join(ids.select("scenario_id").distinct(), "scenario_id", "left_semi")
 
 
-def upsert(old: DataFrame | None, new: DataFrame, key: Sequence[str], mode: str = "add") -> DataFrame:
+def upsert(old: DataFrame | None, new: DataFrame, key: Sequence[str], mode: str = "add", *, same_scenes: bool = False) -> DataFrame:
     """Merge a new snapshot: `overwrite` replaces, `add` fills only what is missing, `update` lets new values win.
 
-    Null never replaces a value; rows absent from `new` are kept.
+    Null never replaces a value; rows absent from `new` are kept. With `same_scenes`, a scene of `new` that `old` doesn't have fails
+    the job that computes the merge.
     """
+    if same_scenes and old is not None:
+        known = old.select("scenario_id").distinct().withColumn("_known", F.lit(True))
+        stray = F.raise_error(F.concat(F.lit("scenario to merge is not stored: "), F.col("scenario_id").cast("string")))
+        kind = new.schema["scenario_id"].dataType
+        checked = F.when(F.col("_known"), F.col("scenario_id")).otherwise(stray.cast(kind))
+        new = new.join(known, "scenario_id", "left").withColumn("scenario_id", checked).select(new.columns)
     if mode == "overwrite" or old is None:
         return new
     if mode not in ("add", "update"):
@@ -59,15 +67,14 @@ def pending(ids: DataFrame, stored: DataFrame | None) -> DataFrame:
 def load_thresholds(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     """Threshold JSON files ({feature: {label: value}}), one per type, as one long table in file order.
 
-    A missing file is an error. The order of labels matters, so files are read as text and parsed as ordered pairs;
-    each is a few dozen lines.
+    A missing file is an error. The order of labels matters; maps keep that of the document.
     """
-    rows = []
-    for kind, path in files.items():
-        text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-        for feature, cuts in json.loads(text).items():
-            rows += [(kind, feature, i, label, float(v)) for i, (label, v) in enumerate(cuts.items())]
-    return spark.createDataFrame(rows, THRESHOLDS)
+    def one(kind: str, path: str) -> DataFrame:
+        doc = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,double>>")).alias("feature", "cuts"))
+        return doc.select(F.lit(kind).alias("type"), "feature", F.posexplode("cuts").alias("ord", "label", "value"))
+
+    return reduce(DataFrame.unionByName, (one(k, p) for k, p in files.items())).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in THRESHOLDS.fields])
 
 
 def thresholds_json(thresholds: DataFrame) -> DataFrame:
@@ -87,6 +94,21 @@ def score_mapping(scene_scores: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.round(F.max("scene_score"), 3))
 
 
+def write_checked(df: DataFrame, path: str, rules: dict[str, Column], mode: str = "errorifexists") -> DataFrame:
+    """Write a table while counting what breaks a rule, and return it read back.
+
+    `rules` are aggregates that are 0 (or null) where all is well, see `ingest.row_rules` and `ingest.horizon_rule`; they are observed by the writing
+    job itself. If one isn't, the success marker is taken away, so that :func:`lanewise.session.stored` builds the table anew, and the call raises.
+    """
+    seen = Observation()
+    df.observe(seen, *[rule.alias(name) for name, rule in rules.items()]).write.mode(mode).parquet(path)
+    broken = {name: n for name, n in seen.get.items() if n}
+    if broken:
+        unmark(df.sparkSession, path)
+        raise ValueError(f"{path}: {broken}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -541,7 +541,7 @@ SELECT scenario_id, CAST(CASE WHEN type_i IN (1,5) OR type_j IN (1,5) THEN statu
 
 def union_features(rel: str, names, type_expr: str, extra: str = "") -> str:
     return " UNION ALL ".join(
-        f"SELECT {type_expr} AS type, '{n}' AS feature, CAST({n} AS DOUBLE) AS value FROM {rel} {extra}" for n in names)
+        f"SELECT scenario_id, {type_expr} AS type, '{n}' AS feature, CAST({n} AS DOUBLE) AS value FROM {rel} {extra}" for n in names)
 
 
 IND = ("speed", "speed_limit_diff", "acceleration", "deceleration", "jerk", "waiting_period", "kalman_difficulty")
@@ -552,9 +552,9 @@ cte("il", "SELECT * FROM (" + union_features(
 PN = "CASE " + ptype() + " " + " ".join(f"WHEN {int(p)} THEN '{p.name}'" for p in PairType) + " END"
 PAIRF = ("separation", "intersection", "collision", "mttcp", "inv_mttcp", "thw", "inv_thw", "ttc", "inv_ttc", "drac")
 for _t, _rel in (("ple", "pe"), ("pla", "pa_critical")):
-    cte(_t, "SELECT type, feature, CASE WHEN isinf(value) THEN 1e6 ELSE value END AS value FROM ("
+    cte(_t, "SELECT scenario_id, type, feature, CASE WHEN isinf(value) THEN 1e6 ELSE value END AS value FROM ("
         + union_features(_rel, PAIRF, PN, "WHERE status < 2")
-        + f" UNION ALL SELECT {PN}, 'inv_separation', 1/(separation+1e-6) FROM {_rel} WHERE status < 2)")
+        + f" UNION ALL SELECT scenario_id, {PN}, 'inv_separation', 1/(separation+1e-6) FROM {_rel} WHERE status < 2)")
 
 
 def threshold_sql(rel: str, keys: str, value: str = "value") -> str:
@@ -944,6 +944,39 @@ SELECT v.scenario_id, {', '.join(r(f'{f}(v.{c},v.t)', n) for f, c, n in (('arg_m
  {r('sqrt((arg_max(v.x,v.t)-arg_min(v.x,v.t))**2+(arg_max(v.y,v.t)-arg_min(v.y,v.t))**2)','displacement')}
 FROM vp v JOIN scen s ON s.scenario_id=v.scenario_id AND s.ego_idx=v.agent_idx GROUP BY 1 HAVING count(*) >= 2""")
 oracle("A28_score_bound", f"SELECT {r('coalesce(max(score_before)*1.02e0,1e0)','bound')} FROM sum_")
+cte("sumd", "SELECT x.* EXCLUDE (dataset), y.dataset FROM sum_ x JOIN dsv y ON CAST(y.scenario_id AS VARCHAR)=x.scenario_id")
+oracle("S35_probe_statistics_per_dataset", f"""
+SELECT dataset, count(*) AS total_scenarios, count(*) FILTER (found) AS n_probed, count(*) FILTER (NOT found) AS n_no_probe,
+ {r('round(count(*) FILTER (found)/count(*),4)','probe_rate')}, count(*) FILTER (is_ego) AS n_ego_probe,
+ count(*) FILTER (NOT is_ego) AS n_non_ego_probe, {r('avg(score_delta)','delta_mean',4)}, {r('stddev_samp(score_delta)','delta_std')},
+ {r('quantile_cont(score_delta,0.5)','delta_median',4)}, {r('min(score_delta)','delta_min')}, {r('max(score_delta)','delta_max')} FROM sumd GROUP BY 1""")
+oracle("S35_delta_quartiles_per_dataset", f"""
+SELECT dataset, CASE WHEN is_ego THEN 'yes' ELSE 'no' END AS is_ego_agent, {', '.join(r(f'quantile_cont(score_delta,{p})', n, 4) for n, p in (('low',0),('q1',0.25),('median',0.5),('q3',0.75),('high',1)))}
+FROM sumd WHERE found GROUP BY 1, 2""")
+oracle("S35_affected_counts_per_dataset", "SELECT dataset, CASE WHEN is_ego THEN 'yes' ELSE 'no' END AS is_ego_agent, 1 AS n_affected, count(*) AS scenes FROM sumd WHERE found GROUP BY 1, 2")
+oracle("S35_score_bound_per_dataset", f"SELECT dataset, {r('coalesce(max(score_before)*1.02e0,1e0)','bound')} FROM sumd WHERE found GROUP BY 1")
+oracle("S35_folders_per_dataset", """
+WITH c AS (SELECT y.scenario_id, y.dataset, x.scene_score AS v FROM dsv y LEFT JOIN ssc x ON x.scenario_id=y.scenario_id AND x.scorer='combined'),
+q AS (SELECT dataset, quantile_cont(v,0.1) AS a, quantile_cont(v,0.5) AS b, quantile_cont(v,0.8) AS d FROM c GROUP BY 1)
+SELECT c.scenario_id, c.dataset, CASE WHEN c.v IS NULL THEN 'unknown' WHEN c.v < q.a THEN 'percentile_0-10' WHEN c.v < q.b THEN 'percentile_10-50'
+ WHEN c.v < q.d THEN 'percentile_50-80' ELSE 'percentile_80-100' END AS folder FROM c JOIN q ON q.dataset=c.dataset""")
+cte("tld", "SELECT y.dataset, x.type, x.feature, x.value FROM tl x JOIN dsv y ON y.scenario_id=x.scenario_id")
+cte("thd", threshold_sql("tld", "dataset, type, feature"))
+oracle("S35_feature_thresholds_per_dataset", f"SELECT dataset, type, feature, ord, label, {r('value',digits=4)} FROM thd")
+_named = """(SELECT DISTINCT scenario_id, agent_idx, agent_id FROM agt)"""
+oracle("S31_probe_records", f"""
+SELECT p.scenario_id, CAST(a.agent_id AS BIGINT) AS probed_agent_id, p.is_ego AS is_ego_agent, 'CONSTANT_VELOCITY' AS probe_type, CAST(b.agent_id AS BIGINT) AS affected_agent_id,
+ CAST(p.frame AS INT) AS frame, p.metric, {r('p.score_before','score_before')}, {r('p.score_after','score_after')},
+ least(a.agent_id,b.agent_id) || ':' || greatest(a.agent_id,b.agent_id) AS pair, 1 AS n_pairs
+FROM probe_ p JOIN {_named} a ON a.scenario_id=p.scenario_id AND a.agent_idx=p.probed_agent JOIN {_named} b ON b.scenario_id=p.scenario_id AND b.agent_idx=p.affected_agent""")
+oracle("S31_altered_points", f"""
+SELECT a.scenario_id, a.agent_idx, a.t, {', '.join(r('a.' + c, c) for c in ('x','y','vx','vy','length'))}, a.valid FROM alt a JOIN probe_ p ON p.scenario_id=a.scenario_id AND p.probed_agent=a.agent_idx""")
+oracle("P21_features", f"""
+WITH m AS (SELECT scenario_id, agent_idx, count(*) AS pairs, count(*) FILTER (status < 2) AS valid_pairs FROM
+ (SELECT scenario_id, i AS agent_idx, status FROM pe UNION ALL SELECT scenario_id, j, status FROM pe) GROUP BY ALL)
+SELECT i.scenario_id, i.agent_idx, {', '.join(r('i.' + c, c) for c in ('speed','acceleration','deceleration','jerk'))}, i.trajectory_type,
+ {r('i.kalman_difficulty','kalman_difficulty')}, {r('d.distance','distance')}, m.pairs, m.valid_pairs FROM ind i
+JOIN de d ON d.scenario_id=i.scenario_id AND d.agent_idx=i.agent_idx LEFT JOIN m ON m.scenario_id=i.scenario_id AND m.agent_idx=i.agent_idx""")
 agent_score_ctes("cc", "ic", "pc", "we", PRESETS["combined_categorical"])
 cte("ccl", """
 SELECT *, 'individual' AS scorer FROM cc_a UNION ALL SELECT *, 'interaction' FROM cc_b""")

@@ -11,6 +11,7 @@ from lanewise.operators import maps as M
 from lanewise.operators import profiling as A
 from lanewise.plans import jobs
 from lanewise.schema import PRESETS, AgentType
+from lanewise.session import is_complete
 from lanewise.sources import ingest as N
 from lanewise.sources import storage as K
 from lanewise.streaming import incremental as R
@@ -321,3 +322,35 @@ def test_thinning_without_a_gap_keeps_every_frame(spark):
     assert {r.frame_id for r in ingest.thin_frames(frames, 0.0).collect()} == {1, 2, 3}
     dense = spark.createDataFrame([(0, i, i * 100_000) for i in range(3000)], "log_id long, frame_id long, ts_us long")
     assert sorted(r.ts_us for r in ingest.thin_frames(dense, 30.0).collect()) == list(range(0, 300_000_000, 30_000_000))
+
+
+def test_a_write_that_breaks_a_rule_raises_without_another_job(spark, tmp_path):
+    rows = points(spark, {0: [(t, t, 0, 1, 0, 0, True) for t in range(5)], 1: [(t, t, 1, 1, 0, 0, True) for t in range(5)]}, {0: 5})
+    short = points(spark, {0: [(t, t, 0, 1, 0, 0, True) for t in range(3)]}, {0: 5}, scenario=2)
+    rules = {**N.row_rules(), **N.horizon_rule(5)}
+    good = K.write_checked(rows, str(tmp_path / "good"), rules)
+    assert good.count() == 10 and is_complete(spark, str(tmp_path / "good"))
+    with pytest.raises(ValueError, match="'too_short': 1"):
+        K.write_checked(rows.unionByName(short), str(tmp_path / "short"), rules)
+    assert not is_complete(spark, str(tmp_path / "short"))
+    bad = rows.withColumn("agent_idx", F.when(F.col("t") == 2, -1).otherwise(F.col("agent_idx"))).withColumn("agent_type", F.when(F.col("t") == 3, 77).otherwise(F.col("agent_type")))
+    with pytest.raises(ValueError, match="'negative_key': 2, 'unknown_type': 2"):
+        K.write_checked(bad, str(tmp_path / "bad"), rules)
+    tracker, group = spark.sparkContext.statusTracker(), "checked-write"
+    spark.sparkContext.setJobGroup(group, group)
+    rows.cache().count()
+    before = len(tracker.getJobIdsForGroup(group))
+    rows.write.parquet(str(tmp_path / "plain"))
+    plain = len(tracker.getJobIdsForGroup(group)) - before
+    K.write_checked(rows, str(tmp_path / "counted"), rules)
+    assert len(tracker.getJobIdsForGroup(group)) - before - plain == plain
+    rows.unpersist()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_merging_a_scene_that_is_not_stored_raises(spark):
+    old = spark.createDataFrame([(1, 1.0)], "scenario_id long, a double")
+    new = spark.createDataFrame([(1, 2.0), (9, 3.0)], "scenario_id long, a double")
+    assert K.upsert(old, new.filter("scenario_id = 1"), ["scenario_id"], "update", same_scenes=True).collect()[0].a == 2.0
+    with pytest.raises(Exception, match="not stored: 9"):
+        K.upsert(old, new, ["scenario_id"], "add", same_scenes=True).collect()
