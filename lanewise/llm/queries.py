@@ -143,4 +143,25 @@ ORACLES: dict[str, str] = {
           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(('0b' || bits[5 * i + 1:5 * i + 5]) AS INT)]), '') AS payload_digest,
           CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM h""",
     "op13_heap_centroid_clustering": _clustering_sql(),
+    "op2_grid_order_embeddings": """
+        WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+        u AS MATERIALIZED (SELECT id, vec_id, x FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda y: isfinite(y))) = len(x) AND len(list_filter(x, lambda y: y <> 0)) > 0),
+        l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND len(a.x) = len(b.x)
+              WHERE CASE WHEN len(a.x) = len(b.x) THEN list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.95 ELSE false END),
+        reach AS (SELECT id, id AS r FROM v UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.r),
+        c AS (SELECT reach.id, min(w.vec_id) AS component_id FROM reach JOIN v w ON w.id = reach.r GROUP BY 1),
+        n AS (SELECT a AS id, count(*) AS n_links FROM l GROUP BY 1)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM v JOIN c USING (id) LEFT JOIN n USING (id)""",
+    "op9_adaptive_prefix_join": r"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS id, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        d AS MATERIALIZED (SELECT id, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+        g AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS k FROM d),
+        l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.k = b.k AND a.id <> b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+              GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach AS (SELECT id, id AS r FROM d UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.r),
+        c AS (SELECT reach.id, min(x.doc_id) AS component_id FROM reach JOIN d x ON x.id = reach.r GROUP BY 1)
+        SELECT doc_id, len(s) AS n_shingles, component_id FROM d JOIN c USING (id)""",
 }
