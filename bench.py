@@ -53,8 +53,9 @@ def main() -> None:
     def drain(df):
         df.write.format("noop").mode("overwrite").save()
 
-    # Starting the first job loads and compiles code; that is not ingest.
-    timed("warm_up", lambda: drain(spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").sum("id")))
+    # Starting the first jobs loads and compiles code and starts the Python workers; that is not ingest.
+    timed("warm_up", lambda: [drain(spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").sum("id")),
+                              drain(spark.range(1000).mapInArrow(lambda batches: batches, "id long"))])
     timed("ingest", lambda: [d.points, d.scenarios, d.agents, d.map_points, d.lanes, d.signals])
     t = d.tables
     timed("motion_features", lambda: drain(I.individual_features(t.points, t.scenarios)))
