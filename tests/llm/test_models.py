@@ -14,6 +14,7 @@ import corpus_pipeline
 from lanewise.llm import decontamination as D
 from lanewise.llm import language as L
 from lanewise.llm import quality as Q
+from lanewise.llm.packing import Encoder, tokenizer_path
 from tests.llm.data import LOWER, clashing, documents, sentence
 
 
@@ -201,4 +202,9 @@ def test_pipeline(spark, tmp_path):
     assert n + 4 in kept[2] and n + 4 not in kept[3]
     packed = at.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {r["doc_id"] for r in packed} == set(kept[3]) and all(r["n"] == r["m"] for r in packed)
+    tokenizer, stored = Encoder(tokenizer_path()).tokenizer, {}
+    for r in at.orderBy("doc_id", "start").collect():
+        stored.setdefault(r["doc_id"], []).extend(r["ids"])
+    for doc, ids in stored.items():
+        assert ids == tokenizer.encode(kept[3][doc]["text"], add_special_tokens=False).ids + [2]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
