@@ -34,6 +34,7 @@ class PairType(IntEnum):
     OTHER = 10
 
 
+# Codes of pair statuses.
 class PairStatus(IntEnum):
     UNKNOWN = -1
     OK = 0
@@ -73,6 +74,7 @@ TRACK_SHAPE_WEIGHTS = {
 }
 
 
+# Codes of map polylines.
 class PolylineType(IntEnum):
     UNDEFINED = -1
     FREEWAY = 1
@@ -93,6 +95,7 @@ class PolylineType(IntEnum):
     SPEED_BUMP = 19
 
 
+# Codes of signal states.
 class SignalState(IntEnum):
     UNKNOWN = 0
     ARROW_STOP = 1
@@ -166,6 +169,7 @@ LANE_MARK_TO_POLYLINE = {
 DIFFICULTY_RELEVANCE = {0: 0.8, 1: 0.9, 2: 1.0}
 
 
+# Default thresholds of a scene.
 @dataclass(frozen=True)
 class Limits:
     """Scenario thresholds. A column of the same name on the scenarios table overrides a value per scenario."""
@@ -187,6 +191,7 @@ def _known(cls, values: dict | None):
     return {k: float(v) for k, v in (values or {}).items() if k in names}
 
 
+# Caps of scored features.
 @dataclass(frozen=True)
 class Caps:
     """Feature value at which the score contribution saturates."""
@@ -209,6 +214,7 @@ class Caps:
         return cls(**_known(cls, values))
 
 
+# Weights of scored features.
 @dataclass(frozen=True)
 class Weights:
     speed: float = 1.0
