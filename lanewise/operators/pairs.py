@@ -196,9 +196,10 @@ def pair_metrics(
 ) -> DataFrame:
     """Status and metrics of each pair row.
 
-    `pairs` has `keys`, type_i, type_j, steps_i, steps_j and, where thresholds are columns, those columns. A row is measured by
-    itself, in an Arrow kernel over many rows at once (:mod:`lanewise.operators.pair_kernel`), so nothing is shuffled. With `prefilter` pairs beyond the XY range and other-other pairs are too far; without it (an explicit
-    pair list) only the XYZ range counts; a column decides row by row.
+    `pairs` has `keys`, type_i, type_j, steps_i, steps_j and, where thresholds are columns, those columns. A row is measured by itself, in
+    an Arrow kernel over many rows at once (:mod:`lanewise.operators.pair_kernel`), so nothing is shuffled. With `prefilter` pairs beyond
+    the XY range and other-other pairs are too far; without it (an explicit pair list) only the XYZ range counts; a column decides row
+    by row.
     """
     if criterion not in ("critical", "average"):
         raise ValueError(f"unknown criterion {criterion!r}")
