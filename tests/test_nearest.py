@@ -108,3 +108,17 @@ def test_no_plan_joins_steps_with_points_by_scene_alone(spark):
     pts = points(spark, {0: [(0, 0, 0, 1, 0, 0, True), (1, 1, 0, 1, 0, 0, True)]})
     conflicts = spark.createDataFrame([(1, 5.0, 0.0, 0.0)], TARGET)
     assert "Join" not in plan(M.nearest_conflict(pts, conflicts))
+
+
+def test_no_side_that_grows_with_the_scenes_is_broadcast(spark, tmp_path):
+    """Maps compress to next to nothing, so Spark's estimate from a file lets tables of any number of rows through the driver."""
+    def kept(name, df):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    maps = kept("maps", spark.range(3).selectExpr(
+        "1L AS scenario_id", "'lane' AS feature_class", "id AS feature_idx", "0L AS point_idx", "id * 0.1D AS x", "0D AS y", "0D AS z"))
+    found = M.lane_intersections(maps, threshold=0.15)
+    assert found.count() == 4
+    for df in (found,):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
