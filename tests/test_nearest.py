@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lanewise.functions import nearest
 from lanewise.functions.nearest import nearest_distance
+from lanewise.operators import individual as I
 from lanewise.operators import maps as M
 from tests.helpers import by, points
 
@@ -118,7 +119,10 @@ def test_no_side_that_grows_with_the_scenes_is_broadcast(spark, tmp_path):
 
     maps = kept("maps", spark.range(3).selectExpr(
         "1L AS scenario_id", "'lane' AS feature_class", "id AS feature_idx", "0L AS point_idx", "id * 0.1D AS x", "0D AS y", "0D AS z"))
+    lanes = kept("lanes", spark.sql("SELECT 1L AS scenario_id, 0L AS lane_idx, 30D AS speed_limit_mph"))
+    near = kept("near", spark.sql("SELECT 1L AS scenario_id, 0L AS agent_idx, 0 AS t, 0L AS lane_idx"))
+    profile = kept("profile", spark.sql("SELECT 1L AS scenario_id, 0L AS agent_idx, 0 AS t, 5D AS speed"))
     found = M.lane_intersections(maps, threshold=0.15)
     assert found.count() == 4
-    for df in (found,):
+    for df in (found, I.speed_limit_gap(profile, near, lanes)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
