@@ -76,6 +76,16 @@ def test_edges(spark):
     assert got[(3,)].kalman_difficulty == -1.0
 
 
+def test_rounding_of_a_constant_speed_is_no_deceleration(spark):
+    """The means of the constant speed differ by roundings of either sign; only the steps that brake count."""
+    speed = [7.1] * 8 + [6.0] * 4
+    track = [(t, t, 0, v, 0, 0, True) for t, v in enumerate(speed)]
+    r = I.agent_summary(points(spark, {0: track}), scenarios(spark, now=3, n=12), criterion="average").collect()[0]
+    acc = slope(smoothed(np.array(speed)), np.arange(12) / 10)
+    assert r.deceleration == pytest.approx(-acc[acc < -1e-9].mean())
+    assert r.acceleration == pytest.approx(0, abs=1e-9)
+
+
 def test_repeated_timestamp_has_no_jerk(spark):
     p = points(spark, {0: [(t, t, 0, 5 + t % 2, 0, 0, True) for t in range(6)]})
     p = p.withColumn("ts_s", p.ts_s - p.t % 2 * 0.1)
