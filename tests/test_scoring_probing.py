@@ -128,6 +128,13 @@ def test_later_agent_wins_ties(spark):
     assert C.max_delta(c).collect()[0].probed == 5
 
 
+def test_rounding_decides_no_probe(spark):
+    c = spark.createDataFrame([(1, 3, 5.0 + 2e-15), (1, 5, 5.0), (1, 4, 1.0)], "scenario_id long, probed long, delta double")
+    assert C.max_delta(c).collect()[0].probed == 5
+    d = spark.createDataFrame([(1, 3, 0.1 + 0.2 + 0.7 - 2e-16), (1, 4, 0.999)], "scenario_id long, probed long, delta double")
+    assert [r.probed for r in C.candidates(d, 1.0).collect()] == [3]
+
+
 def test_affected_needs_a_critical_frame(spark):
     pts = points(spark, {0: [(t, 0, 0, 1, 0, 0, True) for t in range(3)], 1: [(t, 500, 0, 1, 0, 0, True) for t in range(3)]})
     df = P.pack_tracks(pts)
