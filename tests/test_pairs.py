@@ -211,3 +211,14 @@ def test_ego_pairs_are_dealt_by_pair(spark):
     p, s = points(spark, {0: [(0, 0, 0, 1, 0, 0, True)], 1: [(0, 1, 0, 1, 0, 0, True)]}, {0: 5, 1: 1}), scenarios(spark, n=1)
     plan = P.pair_features(p, s)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(scenario_id" in plan and any("i#" in x and "j#" in x for x in plan.split("\n") if "hashpartitioning(" in x)
+
+
+def test_packed_tracks_are_not_broadcast(spark, tmp_path):
+    """Tracks of equal steps shuffle as few bytes, so Spark would send all of them through the driver."""
+    points(spark, {a: [(t, 5.0 * a, t, 0, 1, 90, True) for t in range(4)] for a in range(3)}).write.parquet(f"{tmp_path}/points")
+    tracks = P.pack_tracks(spark.read.parquet(f"{tmp_path}/points"))
+    ego, near = P.ego_pair_tracks(tracks, scenarios(spark)), P.nearby_pairs(tracks)
+    assert (ego.count(), near.count()) == (2, 3)
+    for df in (ego, near):
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
