@@ -126,3 +126,11 @@ def test_no_side_that_grows_with_the_scenes_is_broadcast(spark, tmp_path):
     assert found.count() == 4
     for df in (found, I.speed_limit_gap(profile, near, lanes)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signals_are_not_broadcast(spark, tmp_path):
+    spark.range(3).selectExpr("1L AS scenario_id", "CAST(id AS INT) AS t", "0D AS x", "0D AS y", "0D AS z").write.parquet(f"{tmp_path}/signals")
+    first = M.dynamic_conflict_points(spark.read.parquet(f"{tmp_path}/signals"))
+    assert first.count() == 1
+    first.collect()
+    assert "BroadcastHashJoin" not in first._jdf.queryExecution().executedPlan().toString()
