@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import materialize, trimmed
@@ -114,13 +114,51 @@ class Sieve:
         self.shift, self.bits = state
 
 
-def link(star: DataFrame, fits: Callable, verify: Callable[[DataFrame], DataFrame], name: str, top: int = 3) -> DataFrame:
+def listings(held: DataFrame, fits: Callable, need: Callable | None) -> tuple[DataFrame, DataFrame]:
+    """(rows a, b, meta_a, meta_b of pairs in different components, one for each key that lists them; the entries of keys that may list any).
+
+    See :func:`link` for `fits` and `need`; `held` has key, node, meta and the component of the node.
+    """
+    mixed = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds"), F.sum("n").alias("holders")).filter("kinds > 1")
+    held = held.join(mixed.select("key", "largest", "holders"), "key")
+    # As many rows of a node as it has keys, at most.
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("holders"), "key")) if need else F.lit(1)
+    held = held.withColumn("place", place)
+    left = held.filter("component <> largest").select("key", F.col("node").alias("a"), F.col("meta").alias("meta_a"), F.col("component").alias("in_a"), F.col("place").alias("place_a"))
+    right = held.select("key", F.col("node").alias("b"), F.col("meta").alias("meta_b"), F.col("component").alias("in_b"), "largest", F.col("place").alias("place_b"))
+    pairs = left.join(right, "key").filter("in_a <> in_b AND (in_b = largest OR a < b)").filter(fits(None, F.col("meta_a"), F.col("meta_b")))
+    if need:
+        pairs = pairs.filter(F.least("place_a", "place_b") >= need(F.col("meta_a"), F.col("meta_b")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                         F.when(F.col("a") < F.col("b"), F.col("meta_a")).otherwise(F.col("meta_b")).alias("meta_a"),
+                         F.when(F.col("a") < F.col("b"), F.col("meta_b")).otherwise(F.col("meta_a")).alias("meta_b"))
+    return pairs, held
+
+
+def listed_pairs(held: DataFrame, fits: Callable, need: Callable | None) -> DataFrame:
+    """The pairs (a, b) in different components that share enough keys."""
+    pairs, held = listings(held, fits, need)
+    if need:
+        keys = held.groupBy("node").agg(F.collect_list("key").alias("keys"))
+        own = (keys.select(F.col("node").alias(n), F.col("keys").alias(f"keys_{n}")).hint("merge") for n in "ab")
+        pairs = pairs.distinct().join(next(own), "a").join(next(own), "b").withColumn("shared", F.size(F.array_intersect("keys_a", "keys_b")))
+    else:
+        pairs = pairs.groupBy("a", "b", "meta_a", "meta_b").agg(F.count("*").alias("shared"))
+    return pairs.filter(fits(F.col("shared"), F.col("meta_a"), F.col("meta_b"))).select("a", "b")
+
+
+def link(star: DataFrame, fits: Callable, verify: Callable[[DataFrame], DataFrame], name: str, top: int = 3, need: Callable | None = None) -> DataFrame:
     """(node, component) of all nodes that verified pairs join.
 
     `fits(shared, meta, other_meta)` is the condition for a pair worth verifying, by the number of keys it shares and what the
     two nodes posted; `verify` keeps the pairs (a, b) that are links. First every node meets the `top` hubs it shares most keys
     with, of those that fit. Then every pair of a key whose ends still lie in different components is listed, those of the key's largest component
     never with each other.
+
+    `need(meta, other_meta)` is the least number of keys that a pair worth verifying shares. Both ends order their keys alike, the widest held
+    first; the last key that they share stands at that place or later in both, so a pair is listed by such keys only. A key that many hold
+    then lists none of the pairs that share too few, and the keys shared by the listed ones are counted from both ends.
     """
     entries = materialize(star.select("key", "node", "meta").union(star.select("key", "hub", "hub_meta")).distinct(), f"{name}-entries")
     # The hub of a key is its holder that shares most keys at all: of near copies one that was changed little.
@@ -134,16 +172,5 @@ def link(star: DataFrame, fits: Callable, verify: Callable[[DataFrame], DataFram
     joined = components(near, f"{name}-near")
 
     held = materialize(entries.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), f"{name}-held")
-    mixed = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
-    held = held.join(mixed.select("key", "largest"), "key")
-    left = held.filter("component <> largest").select("key", F.col("node").alias("a"), F.col("meta").alias("meta_a"), F.col("component").alias("in_a"))
-    right = held.select("key", F.col("node").alias("b"), F.col("meta").alias("meta_b"), F.col("component").alias("in_b"), "largest")
-    pairs = left.join(right, "key").filter("in_a <> in_b AND (in_b = largest OR a < b)").filter(fits(None, F.col("meta_a"), F.col("meta_b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                         F.when(F.col("a") < F.col("b"), F.col("meta_a")).otherwise(F.col("meta_b")).alias("meta_a"),
-                         F.when(F.col("a") < F.col("b"), F.col("meta_b")).otherwise(F.col("meta_a")).alias("meta_b"))
-    pairs = pairs.groupBy("a", "b", "meta_a", "meta_b").agg(F.count("*").alias("shared")).filter(
-        fits(F.col("shared"), F.col("meta_a"), F.col("meta_b"))).select("a", "b")
-    rest = verify(pairs)
+    rest = verify(listed_pairs(held, fits, need))
     return components(near.union(rest), f"{name}-all")

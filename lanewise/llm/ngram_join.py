@@ -147,13 +147,19 @@ def _fits(shared: Column | None, a: Column, b: Column) -> Column:
     A link of sizes x and y has t / (1 + t) * (x + y) common shingles at least, and beyond the shorter-sighted of the two prefixes lie
     need - l of them at most, so the rest is shared in the prefixes: the smaller l, and more the closer the sizes are.
     """
-    size = lambda m: F.shiftright(m, 4)
-    ok = F.least(size(a), size(b)) * 100 >= F.greatest(size(a), size(b)) * SIMILARITY
-    if shared is None:
-        return ok
-    beyond = lambda m: F.floor((size(m) * SIMILARITY + 99) / 100) - m.bitwiseAND(F.lit(15))
-    common = F.ceil((size(a) + size(b)) * SIMILARITY / (100 + SIMILARITY))
-    return ok & (shared >= common - F.greatest(beyond(a), beyond(b)))
+    ok = F.least(_size(a), _size(b)) * 100 >= F.greatest(_size(a), _size(b)) * SIMILARITY
+    return ok if shared is None else ok & (shared >= _need(a, b))
+
+
+def _size(meta: Column) -> Column:
+    return F.shiftright(meta, 4)
+
+
+def _need(a: Column, b: Column) -> Column:
+    """The number of prefix shingles that a link shares at least."""
+    beyond = lambda m: F.floor((_size(m) * SIMILARITY + 99) / 100) - m.bitwiseAND(F.lit(15))
+    common = F.ceil((_size(a) + _size(b)) * SIMILARITY / (100 + SIMILARITY))
+    return common - F.greatest(beyond(a), beyond(b))
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -215,7 +221,7 @@ def row_components(docs: DataFrame) -> DataFrame:
         total = rows.agg(F.sum("n_shingles")).collect()[0][0] or 0
         parts = parts_for(spark, total * (1 - SIMILARITY / 100) * ENTRY_BYTES)
         star = stars(_prefixes(docs, _count_table(measured), parts), parts, "ngram-stars")
-        joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "ngram")
+        joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "ngram", need=_need)
     first = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = first.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
