@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lanewise.operators import individual as I
 from lanewise.operators import pairs as P
 from lanewise.operators import probing as C
 from lanewise.operators import scoring as S
@@ -168,3 +169,32 @@ def test_scenes_without_a_half_keep_their_rows(spark):
     assert kept == {2, 3} and scores.count() == 9
     some = jobs.scores(t, jobs.individual(t), P.pair_features(p, s), cfg, featured=s.filter("scenario_id = 3"))[1]
     assert {r.scenario_id for r in some.collect()} == {3}
+
+
+def test_no_row_per_scene_or_agent_is_broadcast(spark, tmp_path):
+    """Scores, weights and distances are a few bytes per agent, so Spark would send those of all scenes through the driver."""
+    from lanewise.operators import profiling as A
+
+    def kept(name, df):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    pts = kept("points", points(spark, {a: [(t, 5.0 * a, t, 0, 1, 90, True) for t in range(4)] for a in range(3)}))
+    scenes = kept("scenes", scenarios(spark, n=4))
+    own = kept("agents", agents(spark, {0: 5, 1: 1, 2: 2}))
+    pairs = kept("pairs", P.pair_features(pts, scenes))
+    ind = kept("individual", I.individual_features(pts, scenes))
+    cfg = PRESETS["pipeline_default"]
+    scores = kept("scores", S.agent_scores(S.agent_weights(own, scenes, cfg, points=pts), ind, pairs, cfg, scenes))
+    whole = kept("whole", S.all_scene_scores(scores, cfg).withColumnRenamed("scorer", "key"))
+    combined = whole.filter("key = 'combined'")
+    found = {
+        "agent scores": (S.agent_scores(S.agent_weights(own, scenes, cfg, points=pts), ind, pairs, cfg, scenes), 9),
+        "motion": (I.agent_summary(pts, scenes), 3), "complete": (A.complete_only(whole, ("individual", "interaction", "combined")), 3),
+        "thresholds": (A.exact_percentiles(scores, ["scorer"], "score", [50.0, 90.0]), 6), "totals": (P.pair_totals(own), 2),
+        "counts": (A.scenario_counts(scenes, own, ind, pairs), 1), "normalized": (A.normalized_scores(scores.filter("scorer = 'combined'"), scenes), 3),
+        "datasets": (A.per_dataset(combined, scenes), 2),
+        "folders": (A.percentile_folders(combined, scenes), 1)}
+    for name, (df, rows) in found.items():
+        assert len(df.collect()) == rows, name
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString(), name
