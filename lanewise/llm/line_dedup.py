@@ -28,6 +28,9 @@ SIMILARITY = 80
 BINS, ROWS = 48, 4
 #: Lines that `signatures` takes at most (it numbers them in 20 bits), and characters of candidate lines that are taken apart at once.
 LINES, CHARACTERS = 1 << 13, 1 << 18
+#: Distinct shingles and lines of a block of candidate lines, common shingles that a product of two blocks takes at once, and pairs below which
+#: two blocks are compared pair by pair.
+BLOCK, BLOCK_LINES, COLUMNS, FEW = 1 << 18, 512, 1 << 13, 48
 #: Texts or blocks that Spark hands to a task at once, and known lines after which a task forgets them: a repeated line costs a row, not an answer.
 BATCH, KNOWN = 1024, 1 << 17
 _EMPTY = U(2**64 - 1)
@@ -187,6 +190,127 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(both.sortWithinPartitions("a").mapInArrow(trimmed(task), "a long, b long"), "lines-verified")
 
 
+def dealt(held: DataFrame, block: int = BLOCK, lines: int = BLOCK_LINES) -> DataFrame:
+    """(key, i, j, block, node, component): the holders of every key that joins several components, in blocks of bounded size, a block once for
+    each pair of blocks (i, j) that it belongs to.
+
+    `held` has key, node, meta (distinct shingles) and component. Keys of the same holders are one.
+    """
+    keys = held.groupBy("key").agg(
+        F.count("*").alias("holders"), F.sum("meta").alias("size"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.min("meta").alias("least"),
+        F.max("meta").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
+    keys = keys.filter((F.col("low") < F.col("high")) & ((F.col("holders") > 2) | _fits(None, F.col("least"), F.col("most"))))
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("holders") / lines)).cast("int")
+    keys = keys.groupBy("holders", "size", "x", "y").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks"))
+    placed = held.select("key", "node", "component").join(keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of every two sorted sets, as a product of 0-1 matrices."""
+    flat = [np.concatenate(s) for s in (left, right)]
+    both = np.intersect1d(*flat)
+    places = []
+    for sets, x in zip((left, right), flat, strict=True):
+        at = np.searchsorted(both, x)
+        hit = at < len(both)
+        hit[hit] = both[at[hit]] == x[hit]
+        places.append((np.repeat(np.arange(len(sets)), list(map(len, sets)))[hit], at[hit]))
+    total = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, len(both), COLUMNS):
+        end = min(begin + COLUMNS, len(both))
+        part = []
+        for sets, (owner, at) in zip((left, right), places, strict=True):
+            now = (at >= begin) & (at < end)
+            m = np.zeros((len(sets), end - begin), np.float32)
+            m[owner[now], at[now] - begin] = 1
+            part.append(m)
+        total += part[0] @ part[1].T
+    return total.astype(np.int64)
+
+
+def links_between(left: list[np.ndarray], right: list[np.ndarray], in_left: np.ndarray, in_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in left, in right) of links of two lists of shingle sets, one for each two components that any joins."""
+    a, b = (np.fromiter(map(len, s), np.int64, len(s)) for s in (left, right))
+    ok = (in_left[:, None] != in_right) & (100 * np.minimum(a[:, None], b) >= SIMILARITY * np.maximum(a[:, None], b))
+    x, y = np.nonzero(ok)
+    if len(x) <= FEW:
+        good = np.fromiter((alike(left[i], right[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+    else:
+        # Sets that fit none are left out.
+        rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+        shared = np.zeros(ok.shape, np.int64)
+        shared[np.ix_(rows, columns)] = common([left[i] for i in rows], [right[j] for j in columns])
+        good = (100 * shared >= SIMILARITY * (a[:, None] + b - shared))[x, y]
+    x, y = x[good], y[good]
+    _, first = np.unique(np.stack((in_left[x], in_right[y])), axis=1, return_index=True)
+    return x[first], y[first]
+
+
+def _linked(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of `held` as all links between holders of the same key do.
+
+    Lines travel to pairs of blocks, not to pairs of lines: a key of g holders whose components stay apart costs g rows for each of its blocks.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        cut = _starts(rows)
+        i, j, block, node, component = (rows.column(c).to_numpy() for c in ("i", "j", "block", "node", "component"))
+        line = dict(zip(node.tolist(), rows.column("line").to_pylist(), strict=True))
+        size, own = np.fromiter(map(len, line.values()), np.int64, len(line)), []
+        for at, end in slices(size, CHARACTERS):
+            own += shingle_sets(list(line.values())[at:end])
+        own, found = dict(zip(line, own, strict=True)), ([], [])
+        for begin, end in zip(cut.tolist(), [*cut[1:].tolist(), len(node)], strict=True):
+            of = component[begin:end]
+            kinds, which, n = np.unique(of, return_inverse=True, return_counts=True)
+            if len(kinds) == 1:
+                continue
+            # Two lines of the largest component need no link.
+            outside, here = which != np.argmax(n), block[begin:end]
+            if i[begin] == j[begin]:
+                sides = [(outside, np.ones(end - begin, bool))]
+            else:
+                sides = [(outside & (here == i[begin]), here == j[begin]), (outside & (here == j[begin]), ~outside & (here == i[begin]))]
+            for side in sides:
+                x, y = (begin + np.flatnonzero(s) for s in side)
+                if len(x) and len(y):
+                    p, q = links_between([own[v] for v in node[x].tolist()], [own[v] for v in node[y].tolist()], component[x], component[y])
+                    found[0].append(node[x[p]])
+                    found[1].append(node[y[q]])
+        return pa.record_batch([pa.array(np.concatenate([*f, np.zeros(0, np.int64)])) for f in found], schema=schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            rows = pa.Table.from_batches([*(waiting.to_batches() if waiting else []), batch])
+            last = int(_starts(rows)[-1]) if rows.num_rows else 0
+            # The last pair of blocks may go on.
+            if last and pc.sum(pc.utf8_length(rows.column("line"))).as_py() >= CHARACTERS:
+                yield links(rows.slice(0, last))
+                rows = rows.slice(last)
+            waiting = rows
+        if waiting and waiting.num_rows:
+            yield links(waiting)
+
+    placed = materialize(dealt(held), "lines-blocks")
+    texts = _texts(docs, placed.select("node").distinct())
+    met = placed.join(texts.hint("merge"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return materialize(met.mapInArrow(trimmed(task), "a long, b long"), "lines-linked")
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where pairs of blocks begin among sorted rows."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in ("key", "i", "j"):
+        x = rows.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def line_components(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line, component, keep) of every line of `docs` (doc_id, row, text) that isn't blank; lines count from 0, rows are unique."""
     spark = docs.sparkSession
@@ -194,7 +318,7 @@ def line_components(docs: DataFrame) -> DataFrame:
         held = materialize(_held_lines(docs), "lines-held")
         parts = parts_for(spark, held.count() * (BINS // ROWS) * ENTRY_BYTES)
         star = stars(_posted(docs, parts), parts, "lines-stars")
-        joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "lines")
+        joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "lines", compare=lambda held: _linked(docs, held))
     # Of each text its first line, then of each component: two sums of small rows, whatever a text's copies.
     first = held.groupBy("node").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
     named = first.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

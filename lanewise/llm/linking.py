@@ -148,7 +148,8 @@ def listed_pairs(held: DataFrame, fits: Callable, need: Callable | None) -> Data
     return pairs.filter(fits(F.col("shared"), F.col("meta_a"), F.col("meta_b"))).select("a", "b")
 
 
-def link(star: DataFrame, fits: Callable, verify: Callable[[DataFrame], DataFrame], name: str, top: int = 3, need: Callable | None = None) -> DataFrame:
+def link(star: DataFrame, fits: Callable, verify: Callable[[DataFrame], DataFrame], name: str, top: int = 3, need: Callable | None = None,
+         compare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of all nodes that verified pairs join.
 
     `fits(shared, meta, other_meta)` is the condition for a pair worth verifying, by the number of keys it shares and what the
@@ -159,6 +160,8 @@ def link(star: DataFrame, fits: Callable, verify: Callable[[DataFrame], DataFram
     `need(meta, other_meta)` is the least number of keys that a pair worth verifying shares. Both ends order their keys alike, the widest held
     first; the last key that they share stands at that place or later in both, so a pair is listed by such keys only. A key that many hold
     then lists none of the pairs that share too few, and the keys shared by the listed ones are counted from both ends.
+
+    `compare(held)`, if given, finds the links between different components itself, from key, node, meta and component, and no pair is listed.
     """
     entries = materialize(star.select("key", "node", "meta").union(star.select("key", "hub", "hub_meta")).distinct(), f"{name}-entries")
     # The hub of a key is its holder that shares most keys at all: of near copies one that was changed little.
@@ -172,5 +175,5 @@ def link(star: DataFrame, fits: Callable, verify: Callable[[DataFrame], DataFram
     joined = components(near, f"{name}-near")
 
     held = materialize(entries.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), f"{name}-held")
-    rest = verify(listed_pairs(held, fits, need))
+    rest = compare(held) if compare else verify(listed_pairs(held, fits, need))
     return components(near.union(rest), f"{name}-all")
