@@ -165,8 +165,8 @@ def _fits(shared: Column | None, a: Column, b: Column) -> Column:
     return (F.least(a, b) + 2) * 100 >= F.greatest(a, b) * SIMILARITY
 
 
-def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose lines are alike. Only the lines of these nodes are fetched from the texts."""
+def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose lines, by `texts` (node, line), are alike."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +182,9 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.record_batch([part.column("a"), part.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
 
     pairs = materialize(pairs, "lines-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "lines-wanted")
-    texts = materialize(_texts(docs, wanted), "lines-texts")
     a, b = (texts.select(F.col("node").alias(n), F.col("line").alias(g)) for n, g in (("a", "x"), ("b", "y")))
     # Dealt anew by pair: a line with many candidates would leave all of them to one task.
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").repartition("a", "b")
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "x", "y").repartition("a", "b")
     return materialize(both.sortWithinPartitions("a").mapInArrow(trimmed(task), "a long, b long"), "lines-verified")
 
 
@@ -248,7 +246,7 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray], in_left: np.n
     return x[first], y[first]
 
 
-def _linked(docs: DataFrame, held: DataFrame) -> DataFrame:
+def _linked(texts: DataFrame, held: DataFrame) -> DataFrame:
     """Links (a, b) that join the components of `held` as all links between holders of the same key do.
 
     Lines travel to pairs of blocks, not to pairs of lines: a key of g holders whose components stay apart costs g rows for each of its blocks.
@@ -296,7 +294,6 @@ def _linked(docs: DataFrame, held: DataFrame) -> DataFrame:
             yield links(waiting)
 
     placed = materialize(dealt(held), "lines-blocks")
-    texts = _texts(docs, placed.select("node").distinct())
     met = placed.join(texts.hint("merge"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return materialize(met.mapInArrow(trimmed(task), "a long, b long"), "lines-linked")
 
@@ -318,7 +315,10 @@ def line_components(docs: DataFrame) -> DataFrame:
         held = materialize(_held_lines(docs), "lines-held")
         parts = parts_for(spark, held.count() * (BINS // ROWS) * ENTRY_BYTES)
         star = stars(_posted(docs, parts), parts, "lines-stars")
-        joined = link(star, _fits, lambda pairs: _verify(docs, pairs), "lines", compare=lambda held: _linked(docs, held))
+        # Lines that share a band with any other: only these are compared, and fetched once.
+        wanted = materialize(star.select("node").union(star.select("hub")).distinct(), "lines-wanted")
+        texts = materialize(_texts(docs, wanted), "lines-texts")
+        joined = link(star, _fits, lambda pairs: _verify(texts, pairs), "lines", compare=lambda held: _linked(texts, held))
     # Of each text its first line, then of each component: two sums of small rows, whatever a text's copies.
     first = held.groupBy("node").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
     named = first.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
