@@ -2,125 +2,129 @@
 
 Vectors of unit length are at most EPS apart exactly if their cosine reaches SIMILARITY. Their leading principal coordinates are cut into
 cells of width EPS, and all vectors are sorted by their cells, coordinate after coordinate: the epsilon grid order, a range partitioning
-in Spark. Consecutive vectors make blocks, blocks make intervals of FAN at each higher level. The join descends from the pair of whole
-sequences: a pair of intervals whose boxes are more than EPS apart is dropped, any other gives the pairs of its parts. Leaf pairs are
-multiplied as matrices in single precision with a margin, and what passes is decided in double precision.
+in Spark. Consecutive vectors make units of UNIT_BYTES, which are stored once, and a unit has blocks of consecutive vectors. Any two units
+whose boxes are at most EPS apart are read together, and of those any two such blocks are multiplied as matrices in single precision.
+What lies too close to SIMILARITY for that is decided in double precision.
 
-Equal vectors are one class from the start. A leaf pair returns counts and a spanning forest of its links, never the links themselves.
+In many dimensions few boxes are apart, and the work is that of all pairs. Units are therefore met by a cartesian product of their files: it
+reads them again and again, but shuffles and writes nothing, so that disk grows with the vectors and not with the pairs of units.
+
+Equal neighbours in the order are one vector with a count. A pair of units returns counts and a spanning forest of its links, never the links
+themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import few_rows, materialize
+from lanewise.llm.common import few_rows, materialize, trimmed
 from lanewise.llm.components import components
 
 SIMILARITY = 0.95
 EPS = math.sqrt(2 * (1 - SIMILARITY))
-#: Leading principal coordinates that are sorted by, vectors in a block, and parts of an interval.
-LEADING, BLOCK, FAN = 6, 2048, 8
+#: Leading principal coordinates that are sorted by, bytes of a unit's vectors, and vectors of a block.
+LEADING, UNIT_BYTES, BLOCK = 6, 1 << 23, 1024
+#: Parts in which either side of the product is read: so many at least, of so many full units at most.
+PARTS, PART_UNITS = 12, 4
 #: Vectors from which the principal axes are fitted, on average; they steer the order alone, never the result.
 AXES_FROM = 10_000
-_MARGIN = 1e-4
+#: Bits of a node that number it within its unit, which has at most that many vectors.
+_WITHIN = 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def axes(classes: DataFrame, size: int, count: int) -> np.ndarray:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings the largest component near 1: their cosines keep every digit, and squares stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _rows(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _one_list(values: pa.Array | np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def axes(vectors: DataFrame, size: int, count: int) -> np.ndarray:
     """Leading principal axes of a hash sample of about AXES_FROM vectors of one length."""
     share = min(1.0, AXES_FROM / max(count, 1))
-    drawn = classes.filter(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1_000_000)) <= share * 1_000_000).select("vector").collect()
+    drawn = vectors.filter(F.pmod(F.xxhash64("row", F.lit(2)), F.lit(1_000_000)) <= share * 1_000_000).select("vector").collect()
     if len(drawn) < 2:
         return np.eye(size)[:, :LEADING]
-    u = _unit(np.array([r["vector"] for r in drawn], np.float64))
+    u = _unit(_scaled(np.array([r["vector"] for r in drawn], np.float64)))
     _, v = np.linalg.eigh(np.cov(u.T).reshape(size, size))
     return v[:, ::-1][:, :LEADING]
 
 
-def _placed(classes: DataFrame, basis: np.ndarray) -> DataFrame:
-    """node, n, vector, and the cell of each leading coordinate."""
+def _placed(vectors: DataFrame, basis: np.ndarray) -> DataFrame:
+    """row, vec_id, vector, and the cell of each leading coordinate."""
     cells = [f"c{i}" for i in range(basis.shape[1])]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = _rows(batch.column("vector"), batch.num_rows)
-                c = np.floor(_unit(x) @ basis / EPS).astype(np.int32)
-                yield pa.record_batch([*(batch.column(k) for k in ("node", "n", "vector")), *(pa.array(c[:, i]) for i in range(len(cells)))],
-                                      names=["node", "n", "vector", *cells])
+                c = np.floor(_unit(_scaled(x)) @ basis / EPS).astype(np.int32)
+                yield pa.record_batch([*(batch.column(k) for k in ("row", "vec_id", "vector")), *(pa.array(c[:, i]) for i in range(len(cells)))],
+                                      names=["row", "vec_id", "vector", *cells])
 
-    return classes.select("node", "n", "vector").mapInArrow(task, "node long, n long, vector array<double>, " + ", ".join(f"{c} int" for c in cells))
+    return vectors.select("row", "vec_id", "vector").mapInArrow(
+        trimmed(task), "row long, vec_id long, vector array<double>, " + ", ".join(f"{c} int" for c in cells))
 
 
-def _rows(column: pa.Array, n: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-
-
-def _blocks(placed: DataFrame, basis: np.ndarray, parts: int) -> DataFrame:
-    """Blocks of consecutive vectors in the grid order: part, number in the part, box, and the vectors."""
-    cells = [c for c in placed.columns if c.startswith("c")]
-    schema = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
-                        ("nodes", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary())])
+def _units(vectors: DataFrame, basis: np.ndarray, count: int, most: int) -> DataFrame:
+    """Units of up to `most` consecutive rows in the grid order: part, number in the part, box, the vectors and their counts, and of each row
+    vec_id, place of its vector among them, and count."""
+    kind = ("part long, number long, low array<double>, high array<double>, vectors binary, counts binary, "
+            "ids array<long>, places array<long>, copies array<long>")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, number, held, held_rows = TaskContext.get().partitionId(), 0, [], 0
 
         def cut(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.combine_chunks().to_batches()[0]
-            x = _rows(rows.column("vector"), rows.num_rows)
+            x = _scaled(_rows(rows.column("vector"), rows.num_rows))
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]).any(1)
+            place = np.cumsum(new) - 1
+            x, n = x[new], np.bincount(place)
             y = _unit(x) @ basis
-            return pa.record_batch([pa.array(v, f.type) for v, f in zip((
-                [part], [number], [y.min(0)], [y.max(0)], [rows.column("node").to_numpy().tobytes()], [rows.column("n").to_numpy().tobytes()],
-                [x.tobytes()]), schema, strict=True)], schema=schema)
+            columns = {"part": [part], "number": [number], "low": _one_list(y.min(0)), "high": _one_list(y.max(0)), "vectors": [x.tobytes()],
+                       "counts": [n.tobytes()], "ids": _one_list(rows.column("vec_id")), "places": _one_list(place), "copies": _one_list(n[place])}
+            return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
         for batch in batches:
             held.append(batch)
-            size += batch.num_rows
-            while size >= BLOCK:
+            held_rows += batch.num_rows
+            while held_rows >= most:
                 rows = pa.Table.from_batches(held)
-                yield cut(rows.slice(0, BLOCK))
+                yield cut(rows.slice(0, most))
                 number += 1
-                held, size = rows.slice(BLOCK).to_batches(), size - BLOCK
-        if size:
+                held, held_rows = rows.slice(most).to_batches(), held_rows - most
+        if held_rows:
             yield cut(pa.Table.from_batches(held))
 
-    ordered = placed.repartitionByRange(parts, *cells, "node").sortWithinPartitions(*cells, "node").select("node", "n", "vector")
-    return ordered.mapInArrow(task, "part long, number long, low array<double>, high array<double>, nodes binary, counts binary, vectors binary")
-
-
-def near_blocks(boxes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a <= b, of blocks (rank, low, high) whose boxes are at most EPS apart, by descent from the whole sequence."""
-    most = boxes.agg(F.max("rank")).collect()[0][0]
-    if most is None:
-        return boxes.select(F.col("rank").alias("a"), F.col("rank").alias("b"))
-    step = FAN.bit_length() - 1
-    levels = max(1, -(-int(most).bit_length() // step))
-    width = len(boxes.select("low").first()["low"])
-    # The whole sequence is one interval, number 0; its pair with itself is where the descent begins.
-    whole = boxes.limit(1).select(F.lit(0).cast("long").alias("a_up"), F.lit(0).cast("long").alias("b_up"))
-    pairs = materialize(whole, "grid-pairs")
-    for level in range(levels - 1, -1, -1):
-        own = boxes.select(F.shiftright("rank", level * step).alias("id"), "low", "high").groupBy("id").agg(
-            *[F.min(F.col("low")[i]).alias(f"l{i}") for i in range(width)], *[F.max(F.col("high")[i]).alias(f"h{i}") for i in range(width)])
-        own = own.withColumn("up", F.shiftright("id", step))
-        left, right = (own.select(*[F.col(c).alias(f"{side}_{c}") for c in own.columns]) for side in ("a", "b"))
-        gap = [F.greatest(F.col(f"a_l{i}") - F.col(f"b_h{i}"), F.col(f"b_l{i}") - F.col(f"a_h{i}"), F.lit(0.0)) for i in range(width)]
-        apart = sum((g * g for g in gap), F.lit(0.0))
-        pairs = pairs.join(left, "a_up").join(right, "b_up").filter(F.col("a_id") <= F.col("b_id")).filter(apart <= EPS**2 + 1e-9).select(
-            F.col("a_id").alias("a_up"), F.col("b_id").alias("b_up"))
-        pairs = materialize(pairs, "grid-pairs")
-    return pairs.select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))
+    placed = _placed(vectors, basis)
+    cells = placed.columns[3:]
+    placed = placed.withColumn("mark", F.xxhash64("vector"))  # equal vectors become neighbours
+    # The row number lets copies of one vector go to several parts.
+    order = [*cells, "mark", "row"]
+    ordered = placed.repartitionByRange(max(1, -(-count // most)), *order).sortWithinPartitions(*order).select("vec_id", "vector")
+    with few_rows(vectors.sparkSession, min(10_000, most)):
+        return materialize(ordered.mapInArrow(trimmed(task), kind), "grid-units")
 
 
 def local_roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -138,58 +142,103 @@ def local_roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         root = least
 
 
-def links_between(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows with a cosine of SIMILARITY or more, decided in double precision."""
-    u, v = _unit(x), _unit(y)
-    near = np.argwhere(u.astype(np.float32) @ v.astype(np.float32).T >= np.float32(SIMILARITY - _MARGIN))
-    i, j = near[:, 0], near[:, 1]
-    keep = np.zeros(len(i), bool)
-    for at in range(0, len(i), 1 << 16):
-        a, b = x[i[at:at + (1 << 16)]], y[j[at:at + (1 << 16)]]
-        dot = np.einsum("ij,ij->i", a, b)
-        keep[at:at + (1 << 16)] = dot / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)) >= SIMILARITY
-    return i[keep], j[keep]
-
-
-def _pair_links(nodes: tuple[np.ndarray, np.ndarray], counts: tuple[np.ndarray, np.ndarray], vectors: tuple[np.ndarray, np.ndarray], same: bool):
-    """(node, vectors linked to it, root) of the nodes of a leaf pair that have links; `same` is a block against itself."""
-    n, m = len(nodes[0]), len(nodes[1])
-    starts = range(0, n, 512)
-    found = [links_between(vectors[0][a:a + 512], vectors[1]) for a in starts]
-    i = np.concatenate([x[0] + a for x, a in zip(found, starts, strict=True)])
-    j = np.concatenate([x[1] for x in found])
-    if same:
-        i, j = i[i < j], j[i < j]
-    total = np.zeros(n + m, np.int64)
-    np.add.at(total, i, counts[1][j])
-    at = j if same else j + n
-    np.add.at(total, at, counts[0][i])
-    root = local_roots(i, at, n + m)
-    both = np.concatenate(nodes)
+class _Side:
+    """The vectors of a unit, what they weigh, and the boxes of its blocks."""
+
+    def __init__(self, vectors: np.ndarray, counts: np.ndarray, basis: np.ndarray):
+        self.x, self.counts, self.squares = vectors, counts, np.einsum("ij,ij->i", vectors, vectors)
+        u = vectors / np.sqrt(self.squares)[:, None]
+        y = u @ basis
+        self.u, self.starts = u.astype(np.float32), np.arange(0, len(u), BLOCK)
+        self.low, self.high = np.minimum.reduceat(y, self.starts), np.maximum.reduceat(y, self.starts)
+
+    def near(self, other: _Side) -> np.ndarray:
+        """Pairs of starts of blocks whose boxes are at most EPS apart."""
+        gap = np.maximum(np.maximum(self.low[:, None] - other.high[None], other.low[None] - self.high[:, None]), 0.0)
+        return np.argwhere((gap * gap).sum(2) <= EPS**2 + 1e-9) * BLOCK
+
+
+def links_between(x: _Side, y: _Side, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs, counted from `at` and `to`, of vectors of two blocks with a cosine of SIMILARITY or more, as double precision has it."""
+    u, v = x.u[at:at + BLOCK], y.u[to:to + BLOCK]
+    # Twice what rounding to single precision may change a product of unit vectors by.
+    margin = max(1e-4, 2.4e-7 * (u.shape[1] + 2))
+    found, step = [], max(1, (1 << 18) // len(v))
+    for first in range(0, len(u), step):
+        cosine = (u[first:first + step] @ v.T).ravel()
+        near = np.flatnonzero(cosine >= np.float32(SIMILARITY - margin))
+        if not len(near):
+            continue
+        i, j = near // len(v) + first, near % len(v)
+        keep = cosine[near] >= np.float32(SIMILARITY + margin)
+        open_, some = np.flatnonzero(~keep), max(1, (1 << 21) // u.shape[1])
+        for k in (open_[k:k + some] for k in range(0, len(open_), some)):
+            a, b = i[k] + at, j[k] + to
+            keep[k] = np.einsum("ij,ij->i", x.x[a], y.x[b]) / np.sqrt(x.squares[a] * y.squares[b]) >= SIMILARITY
+        found.append((i[keep], j[keep]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def unit_links(x: _Side, y: _Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, vectors linked to it, root) of the vectors of two units that have links; those of `y` count on from those of `x`, unless it is `x`."""
+    same, n = x is y, len(x.x)
+    behind = 0 if same else n
+    total, trees = np.zeros(n if same else n + len(y.x), np.int64), []
+    for at, to in x.near(y):
+        if same and at > to:
+            continue
+        i, j = links_between(x, y, at, to)
+        if same and at == to:
+            i, j = i[i < j], j[i < j]
+        if not len(i):
+            continue
+        here, there = len(x.u[at:at + BLOCK]), len(y.u[to:to + BLOCK])
+        total[at:at + here] += np.bincount(i, y.counts[j + to], here).astype(np.int64)
+        total[behind + to:behind + to + there] += np.bincount(j, x.counts[i + at], there).astype(np.int64)
+        # Of the links of two blocks a forest is kept.
+        own = np.concatenate((np.arange(at, at + here), np.arange(behind + to, behind + to + there)))
+        root = local_roots(i, j + here, here + there)
+        moved = np.flatnonzero(root != np.arange(here + there))
+        trees.append((own[moved], own[root[moved]]))
     full = np.flatnonzero(total)
-    return both[full], total[full], both[root[full]]
+    if not len(full):
+        return full, full, full
+    root = local_roots(*(np.concatenate(t) for t in zip(*trees, strict=True)), len(total))
+    return full, total[full], root[full]
 
 
-def _linked(classes: DataFrame, size: int, count: int) -> DataFrame:
-    """(node, links, root) rows of all leaf pairs of the classes of vectors of one length."""
-    spark = classes.sparkSession
-    basis = axes(classes, size, count)
-    blocks = _blocks(_placed(classes, basis), basis, max(1, -(-count // BLOCK)))
-    blocks = materialize(blocks, "grid-blocks")
-    bits = int(blocks.agg(F.max("number")).collect()[0][0] or 0).bit_length()
-    blocks = blocks.withColumn("rank", F.shiftleft("part", bits) + F.col("number"))
-    pairs = near_blocks(blocks.select("rank", "low", "high"))
-    a, b = (blocks.select(F.col("rank").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("nodes", "counts", "vectors")]) for s in ("a", "b"))
+def unit_pairs(units: DataFrame, parts: int, width: int) -> DataFrame:
+    """Every two units (rank, low, high, vectors, counts) whose boxes are at most EPS apart, and every unit with itself; nothing is shuffled.
+
+    Of (a, b) and (b, a) the sum of the ranks says which, so that the parts of the product have like work.
+    """
+    a, b = (units.select(*[F.col(c).alias(f"{s}_{c}") for c in ("rank", "low", "high", "vectors", "counts")]).coalesce(parts) for s in "ab")
+    gap = [F.greatest(F.col("a_low")[i] - F.col("b_high")[i], F.col("b_low")[i] - F.col("a_high")[i], F.lit(0.0)) for i in range(width)]
+    apart = sum((g * g for g in gap), F.lit(0.0))
+    once = F.expr("a_rank = b_rank OR (a_rank < b_rank) = ((a_rank + b_rank) % 2 = 0)")
+    return a.join(b.hint("shuffle_replicate_nl"), once & (apart <= EPS**2 + 1e-9)).drop("a_low", "a_high", "b_low", "b_high")
+
+
+def _linked(units: DataFrame, basis: np.ndarray, parts: int) -> DataFrame:
+    """(node, links, root) rows of all pairs of units of vectors of one length."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                nodes, counts = (tuple(np.frombuffer(r[f"{s}_{c}"], np.int64) for s in "ab") for c in ("nodes", "counts"))
-                vectors = tuple(np.frombuffer(r[f"{s}_vectors"], np.float64).reshape(-1, size) for s in "ab")
-                yield pa.record_batch([pa.array(x) for x in _pair_links(nodes, counts, vectors, r["a"] == r["b"])], names=["node", "links", "root"])
+            for r in batch.to_struct_array():
+                def side(s: str, r: pa.StructScalar = r) -> _Side:
+                    vectors, counts = (np.frombuffer(r[f"{s}_{c}"].as_buffer(), kind) for c, kind in (("vectors", np.float64), ("counts", np.int64)))
+                    return _Side(vectors.reshape(len(counts), -1), counts, basis)
+
+                a, b = (r[f"{s}_rank"].as_py() for s in "ab")
+                x = side("a")
+                y = x if a == b else side("b")
+                index, links, root = unit_links(x, y)
+                if len(index):
+                    nodes = np.concatenate([(rank << _WITHIN) + np.arange(len(z.x)) for rank, z in ((a, x), (b, y))])
+                    yield pa.record_batch([pa.array(v) for v in (nodes[index], links, nodes[root])], names=["node", "links", "root"])
 
-    with few_rows(spark, 8):
-        return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(task, "node long, links long, root long"), "grid-links")
+    with few_rows(units.sparkSession, 1):
+        return materialize(unit_pairs(units, parts, basis.shape[1]).mapInArrow(trimmed(task), "node long, links long, root long"), "grid-links")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -202,22 +251,28 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
-    rows = rows.withColumn("vector", F.when(usable, F.col("vector")))
-    classes = materialize(rows.filter("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn(
-        "node", F.monotonically_increasing_id()), "grid-classes")
-    sizes = classes.groupBy(F.size("vector").alias("size")).count().collect()  # a row per length of vector
-    found = None
+    usable = F.coalesce(F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
+    alone = rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    some = rows.filter(usable).withColumn("row", F.monotonically_increasing_id())
+    sizes = some.groupBy(F.size("vector").alias("size")).count().collect()  # a row per length of vector
+    found, members, first = [], [], 0
     for size, count in sorted(map(tuple, sizes)):
-        own = _linked(classes.filter(F.size("vector") == size), size, count)
-        found = own if found is None else found.union(own)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        own = some.filter(F.size("vector") == size)
+        basis, most = axes(own, size, count), max(1, min(UNIT_BYTES // (8 * size), 1 << _WITHIN))
+        units = _units(own, basis, count, most)
+        part, number, stored = units.agg(F.max("part"), F.max("number"), F.count("*")).collect()[0]
+        bits = number.bit_length()
+        units = units.withColumn("rank", F.shiftleft("part", bits) + F.col("number") + F.lit(first))
+        first += (part + 1) << bits
+        found.append(_linked(units, basis, min(stored, max(PARTS, -(-count // (most * PART_UNITS))))))
+        members.append(units.select("rank", F.inline(F.arrays_zip("ids", "places", "copies"))).select(
+            (F.shiftleft("rank", _WITHIN) + F.col("places")).alias("node"), F.col("ids").alias("vec_id"), "copies"))
+    if not found:
+        return alone
+    found, members = (reduce(DataFrame.union, x) for x in (found, members))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "grid")
-    named = classes.join(joined, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    told = named.join(smallest, "component").select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.join(told, "vector", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "grid").join(links, "node")
+    named = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    out = named.join(smallest, "component").select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).union(alone)
